@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from paymend.functions.classify import amount_band
 from paymend.functions.messages import fill, template_rows, whole_rupees
 
 TOKEN = "[a-z₹0-9]+"
-BOOST_CATEGORY, BOOST_BAND, BOOST_CHANNEL = 0.15, 0.10, 0.05
+BOOSTS = (0.15, 0.10, 0.05)  # category, amount band, channel
+BATCH = 2000
 TOP_K = 3
 MIN_SIMILARITY = 0.0
-LIBRARY_LIMIT = 2000
+LIBRARY_LIMIT = 500
 
 
 def tokens(text: Column) -> Column:
@@ -59,24 +63,32 @@ def template_library(spark: SparkSession) -> DataFrame:
     )
 
 
-def packed_library(library: DataFrame) -> tuple[Column, Column]:
-    """The library with its weights, and the vocabulary ``token -> idf``, as two values.
+class FittedLibrary(NamedTuple):
+    """A template library small enough to travel with the tasks."""
 
-    Every task reads them as scalar subqueries. A library above
-    ``LIBRARY_LIMIT`` templates is refused rather than shipped.
+    rows: list
+    words: list[str]
+    idf: np.ndarray
+    weights: np.ndarray
+
+
+def fit_library(library: DataFrame) -> FittedLibrary:
+    """Weights of a message library, computed by Spark and fetched once like a fitted model.
+
+    A library above ``LIBRARY_LIMIT`` templates is refused rather than shipped.
     """
-    weights = term_weights(library, "template_id", "text")
-    vectors = weights.groupBy("template_id").agg(
-        F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("weights")
-    )
-    entry = F.struct("rank", "template_id", "category", "channel", "amount_band", "text", "weights")
-    too_many = F.raise_error(F.lit(f"template library above {LIBRARY_LIMIT} rows"))
-    packed = library.join(vectors, "template_id").agg(
-        F.when(F.count(F.lit(1)) > LIBRARY_LIMIT, too_many).otherwise(F.sort_array(F.collect_list(entry)))
-    )
-    words = weights.groupBy("token").agg(F.max("idf").alias("idf"))
-    vocabulary = words.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "idf")))))
-    return packed.scalar(), vocabulary.scalar()
+    rows = library.orderBy("rank").limit(LIBRARY_LIMIT + 1).collect()
+    if len(rows) > LIBRARY_LIMIT:
+        raise ValueError(f"template library above {LIBRARY_LIMIT} rows")
+    place = {r["template_id"]: i for i, r in enumerate(rows)}
+    found = term_weights(library, "template_id", "text").collect()
+    words = sorted({r["token"] for r in found})
+    index = {w: i for i, w in enumerate(words)}
+    idf, weights = np.zeros(len(words)), np.zeros((len(words), len(rows)))
+    for r in found:
+        idf[index[r["token"]]] = r["idf"]
+        weights[index[r["token"]], place[r["template_id"]]] = r["weight"]
+    return FittedLibrary(rows, words, idf, weights)
 
 
 def query_text(category: Column, amount_paise: Column, channel: Column, reason: Column) -> Column:
@@ -103,62 +115,70 @@ def rank_templates(
     top_k: int = TOP_K,
     min_score: float = MIN_SIMILARITY,
 ) -> DataFrame:
-    """Add ``hits``: the best templates of each row with ``cosine`` and boosted ``score``.
+    """Add ``hits`` (best templates with ``cosine`` and boosted ``score``) and ``best_text``.
 
-    A narrow transformation: the library is one small value, so no row meets
-    any other row and nothing is shuffled. Library order breaks ties.
+    A narrow transformation: the fitted library is one small value, so no row
+    meets any other row and nothing is shuffled. Each Arrow batch is one sparse
+    count matrix times the library matrix. Library order breaks ties.
     """
+    fitted = fit_library(library)
+    shared = df.sparkSession.sparkContext.broadcast(
+        (
+            fitted.words,
+            fitted.idf,
+            fitted.weights,
+            [np.array([str(r[c]).upper() for r in fitted.rows]) for c in ("category", "amount_band", "channel")],
+        )
+    )
+
+    @F.pandas_udf("at array<int>, cosine array<double>, score array<double>")
+    def best(tok: pd.Series, cat: pd.Series, band: pd.Series, chan: pd.Series) -> pd.DataFrame:
+        words, idf, weights, labels = shared.value
+        vocabulary = pd.Index(words)
+        out = {"at": [], "cosine": [], "score": []}
+        for start in range(0, len(tok), BATCH):
+            part = slice(start, start + BATCH)
+            lists = tok.iloc[part]
+            sizes = lists.str.len().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            word = vocabulary.get_indexer(np.concatenate(lists.to_list())) if len(row) else np.zeros(0, int)
+            known = word >= 0
+            counts = np.zeros((len(sizes), len(words)))
+            np.add.at(counts, (row[known], word[known]), 1.0)
+            # The length of the text scales all its weights alike and cancels in the cosine.
+            vectors = counts * idf
+            norm = np.sqrt((vectors * vectors).sum(axis=1))
+            cosine = vectors @ weights / np.where(norm > 0, norm, 1.0)[:, None]
+            score = cosine.copy()
+            for given, have, bonus in zip((cat, band, chan), labels, BOOSTS):
+                asked = given.iloc[part].fillna("").str.upper().to_numpy(dtype=str)
+                score += (asked[:, None] == have[None, :]) * bonus
+            rounded = np.round(score, 9)
+            order = np.argsort(-rounded, axis=1, kind="stable")[:, :top_k]
+            for i, picks in enumerate(order):
+                good = picks[rounded[i, picks] >= min_score]
+                out["at"].append(good.astype(np.int32))
+                out["cosine"].append(cosine[i, good])
+                out["score"].append(score[i, good])
+        return pd.DataFrame(out)
+
     band = amount_band(F.col(amount) / F.lit(100.0))
-    packed, vocabulary = packed_library(library)
-    out = df.withColumns({"_lib": packed, "_tok": tokens(F.col(text)), "_voc": vocabulary})
-    out = out.withColumn(
-        "_lib", F.transform("_lib", lambda t: t.withField("weights", F.map_from_entries(t.getField("weights"))))
+    ids = F.array(*[F.lit(r["template_id"]) for r in fitted.rows])
+    out = df.withColumn(
+        "_best", best(tokens(F.col(text)), F.col(category).cast("string"), band, F.col(channel).cast("string"))
     )
-    known = F.filter(F.array_distinct("_tok"), lambda t: F.map_contains_key(F.col("_voc"), t))
-    raw = F.transform(
-        known,
-        lambda t: F.struct(
-            t.alias("t"),
-            (
-                F.size(F.filter(F.col("_tok"), lambda x: x == t))
-                / F.size("_tok")
-                * F.element_at(F.col("_voc"), t)
-            ).alias("w"),
+    hits = F.transform(
+        F.arrays_zip("_best.at", "_best.cosine", "_best.score"),
+        lambda s: F.struct(
+            F.get(ids, s.getField("at")).alias("template_id"),
+            F.round(s.getField("cosine"), 4).alias("cosine"),
+            F.round(s.getField("score"), 4).alias("score"),
         ),
     )
-    out = out.withColumn("_q", raw)
-    out = out.withColumn(
-        "_n",
-        F.sqrt(F.aggregate("_q", F.lit(0.0), lambda a, x: a + x.getField("w") * x.getField("w"))),
-    )
-    out = out.withColumns({"_band": band, "_cat": F.upper(F.col(category)), "_ch": F.lower(F.col(channel))})
-
-    def scored(t: Column) -> Column:
-        dot = F.aggregate(
-            F.col("_q"),
-            F.lit(0.0),
-            lambda a, x: a
-            + x.getField("w") * F.coalesce(F.try_element_at(t.getField("weights"), x.getField("t")), F.lit(0.0)),
-        )
-        cosine = F.when(F.col("_n") > 0, dot / F.col("_n")).otherwise(0.0)
-        boost = (
-            F.when(F.upper(t.getField("category")) == F.col("_cat"), BOOST_CATEGORY).otherwise(0.0)
-            + F.when(t.getField("amount_band") == F.col("_band"), BOOST_BAND).otherwise(0.0)
-            + F.when(F.lower(t.getField("channel")) == F.col("_ch"), BOOST_CHANNEL).otherwise(0.0)
-        )
-        return F.struct(
-            (-F.round(cosine + boost, 9)).alias("order"),
-            t.getField("rank").alias("rank"),
-            t.getField("template_id").alias("template_id"),
-            F.round(cosine, 4).alias("cosine"),
-            F.round(cosine + boost, 4).alias("score"),
-            t.getField("text").alias("text"),
-        )
-
-    all_scores = F.transform("_lib", scored)
-    good = F.filter(all_scores, lambda s: -s.getField("order") >= min_score)
-    hits = F.slice(F.array_sort(good), 1, top_k)
-    return out.withColumn("hits", hits).drop("_lib", "_tok", "_voc", "_q", "_n", "_band", "_cat", "_ch")
+    texts = F.array(*[F.lit(r["text"]) for r in fitted.rows])
+    return out.withColumns(
+        {"hits": hits, "best_text": F.get(texts, F.get("_best.at", F.lit(0)))}
+    ).drop("_best")
 
 
 def personalise(
@@ -186,7 +206,7 @@ def personalise(
         F.lit("Your payment of "), money, F.lit(" rupees failed ("),
         F.coalesce(F.col(reason), F.col(category)), F.lit("). Please try again: {link}"),
     )
-    rendered = F.coalesce(fill(best.getField("text"), amount=money), plain)
+    rendered = F.coalesce(fill(F.col("best_text"), amount=money), plain)
     written = F.col(drafted) if drafted else F.lit(None).cast("string")
     return ranked.select(
         F.sha2(F.concat_ws("|", F.col("payment_id"), F.col(channel)), 256).alias("rag_log_id"),
