@@ -418,7 +418,7 @@ def ev_surface(spark, d):
     p = F.col("step") / F.lit(20.0)
     return grid.select(
         "merchant_id", "band", F.round(p, 2).alias("p"), "discount",
-        F.round(money.grid_ev(F.col("amount"), p, F.col("discount")), 4).alias("ev"),
+        F.round(money.grid_ev(F.col("amount"), p, F.col("discount")), 8).alias("ev"),
     )
 
 

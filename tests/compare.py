@@ -46,9 +46,11 @@ def compare(df, con, sql):
     a, b = rows_of(df.columns, got), rows_of(names, want)
     if a == b:
         return True, f"{len(a)} rows"
-    only_a = [x for x in a if x not in set(b)][:3]
-    only_b = [x for x in b if x not in set(a)][:3]
-    return False, f"{len(a)} vs {len(b)} rows; cols {sorted(names)}\n   spark {only_a}\n   duck  {only_b}"
+    in_a, in_b = set(a), set(b)
+    only_a, only_b = [x for x in a if x not in in_b], [x for x in b if x not in in_a]
+    differ = f"{len(only_a)}/{len(only_b)} differ"
+    only_a, only_b = only_a[:3], only_b[:3]
+    return False, f"{len(a)} vs {len(b)} rows, {differ}; cols {sorted(names)}\n   spark {only_a}\n   duck  {only_b}"
 
 
 def main(argv):
