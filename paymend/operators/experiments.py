@@ -308,7 +308,8 @@ def upper_bound(alpha: Column, beta: Column) -> Column:
 
 
 def recommend_retry(
-    df: DataFrame, methods: DataFrame, windows: DataFrame, key: str = "payment_id", mode: str = "thompson"
+    df: DataFrame, methods: DataFrame, windows: DataFrame, key: str = "payment_id", mode: str = "thompson",
+    digits: int = 2,
 ) -> DataFrame:
     """Add method, timing, probability, retry count and expected revenue per row.
 
@@ -340,7 +341,7 @@ def recommend_retry(
             "payment_method": F.col("_b.method"),
             "expected_success_probability": F.round("_p", 4),
             "retry_count_advised": F.when(F.col("_p") > 0.65, 1).otherwise(2),
-            "expected_revenue": F.round(F.col("amount_paise") / F.lit(100.0) * F.col("_p"), 2),
+            "expected_revenue": F.round(F.col("amount_paise") / F.lit(100.0) * F.col("_p"), digits),
             "context": context,
         }
     ).drop("_m", "_b", "_p")

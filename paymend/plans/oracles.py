@@ -389,8 +389,12 @@ def _mask_sql(source: str, target: str, pattern: str, mask: str) -> str:
 
 _digits = "regexp_replace(m, '[^0-9]', '', 'g')"
 _local = "split_part(m, '@', 1)"
-ORACLES["pii_masks"] = "WITH raw AS (SELECT doc_id, text AS t FROM documents),\n" + ",\n".join((
-    _mask_sql("raw", "c", _CARD, f"'**** **** **** ' || right({_digits}, 4)"),
+# A word border here is one between any letters, but this engine's \\b knows ASCII letters
+# only. Accented letters get an ASCII neighbour on both sides while cards are looked for.
+_marked = "regexp_replace(text, '([À-ÖØ-öø-ɏ])', '_' || chr(1) || '\\1' || chr(1) || '_', 'g')"
+ORACLES["pii_masks"] = f"WITH raw AS (SELECT doc_id, text AS t FROM documents), m AS (SELECT doc_id, {_marked} AS t FROM documents),\n" + ",\n".join((
+    _mask_sql("m", "c0", _CARD, f"'**** **** **** ' || right({_digits}, 4)"),
+    "c AS (SELECT doc_id, replace(replace(t, '_' || chr(1), ''), chr(1) || '_', '') AS t FROM c0)",
     _mask_sql("c", "e", _EMAIL, f"CASE WHEN len({_local}) > 2 THEN left({_local}, 1) || repeat('*', len({_local}) - 2) || right({_local}, 1) ELSE repeat('*', len({_local})) END || '@' || split_part(m, '@', 2)"),
     _mask_sql("e", "p", _PHONE, f"repeat('*', len({_digits}) - 4) || right({_digits}, 4)"),
 )) + "\nSELECT p.doc_id, md5(p.t) AS masked_md5, p.t <> raw.t AS changed FROM p JOIN raw USING (doc_id)"
@@ -597,7 +601,7 @@ SELECT doc_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6)
 oracle("template_ranking", "ranked", "SELECT payment_id, CAST(position AS INTEGER) AS position, template_id, cosine, score FROM ranked")
 oracle("personalised_messages", "ranked", "SELECT payment_id, channel, amount_band, retrieved_ids, top_similarity, drafted_message, llm_used FROM message_log")
 _terms = ("which", "recovered", "insufficient_funds", "payments", "were", "clicked", "the", "rule_engine")
-oracle("keyword_hits", "scored audit_seed", f""", u AS (SELECT payment_id, status, failure_category, created_at, NULL AS action_taken, NULL AS source FROM scored
+oracle("keyword_hits", "scored audit_seed", f""", u AS (SELECT payment_id, status, failure_category, created_at, NULL::VARCHAR AS action_taken, NULL::VARCHAR AS source FROM scored
   UNION ALL SELECT transaction_id, NULL, NULL, logged_at, action_taken, source FROM audit_seed),
 i AS (SELECT *, concat_ws(':', payment_id, action_taken, source, status) AS row_id FROM u),
 t AS (SELECT row_id, created_at, lower(concat_ws(' ', payment_id, status, failure_category, action_taken, source, row_id)) AS x FROM i),
@@ -623,4 +627,4 @@ p AS (SELECT payment_id, amount_paise, (SELECT option FROM best) AS method, (SEL
   greatest(0.01::DOUBLE, least(0.99::DOUBLE, CASE WHEN score = 0 THEN 0.35::DOUBLE ELSE score END
     + CASE WHEN failure_category IN ('GATEWAY_DOWN', 'NETWORK_TIMEOUT', 'GATEWAY_ERROR') THEN 0.08::DOUBLE ELSE 0 END + ((SELECT m FROM best) - 0.5) * 0.25::DOUBLE)) AS pr FROM scored)
 SELECT payment_id, method AS payment_method, minutes AS retry_timing_minutes, CASE WHEN pr > 0.65::DOUBLE THEN 1 ELSE 2 END AS retry_count_advised,
-  round(pr, 4) AS expected_success_probability, round(amount_paise / 100.0::DOUBLE * pr, 2) AS expected_revenue FROM p""")
+  round(pr, 4) AS expected_success_probability, round(amount_paise / 100.0::DOUBLE * pr, 6) AS expected_revenue FROM p""")

@@ -1018,7 +1018,7 @@ def advise(spark, d, mode):
     won = view(spark, d, "outcomes")
     methods = experiments.option_posteriors(experiments.with_method(won), "method", METHODS)
     windows = experiments.option_posteriors(with_window(won), "window_min", RETRY_WINDOWS_MIN)
-    return experiments.recommend_retry(scored(spark, d), methods, windows, mode=mode).select(
+    return experiments.recommend_retry(scored(spark, d), methods, windows, mode=mode, digits=6).select(
         "payment_id", "payment_method", "retry_timing_minutes", "retry_count_advised",
         "expected_success_probability", "expected_revenue",
     )
