@@ -628,3 +628,36 @@ p AS (SELECT payment_id, amount_paise, (SELECT option FROM best) AS method, (SEL
     + CASE WHEN failure_category IN ('GATEWAY_DOWN', 'NETWORK_TIMEOUT', 'GATEWAY_ERROR') THEN 0.08::DOUBLE ELSE 0 END + ((SELECT m FROM best) - 0.5) * 0.25::DOUBLE)) AS pr FROM scored)
 SELECT payment_id, method AS payment_method, minutes AS retry_timing_minutes, CASE WHEN pr > 0.65::DOUBLE THEN 1 ELSE 2 END AS retry_count_advised,
   round(pr, 4) AS expected_success_probability, round(amount_paise / 100.0::DOUBLE * pr, 6) AS expected_revenue FROM p""")
+
+# --- streams: the same result as a batch over all events ---------------------------------------
+
+ORACLES["stream_round_trip"] = "SELECT CAST(event_id AS VARCHAR) AS key, user_id, event_type FROM events"
+_CTE["env"] = (
+    ("txn",),
+    """env AS (SELECT * EXCLUDE (k) REPLACE (0 AS recovery_attempts, CASE WHEN k % 3 <> 0 AND failure_reason IS NOT NULL THEN failure_reason ELSE 'declined at source' END AS failure_reason)
+  FROM (SELECT *, CAST(split_part(payment_id, '_', 2) AS BIGINT) AS k FROM txn) WHERE k % 17 <> 0 AND k % 13 <> 0 AND k % 29 <> 0 AND k % 23 <> 0)""",
+)
+_CTE["env_plan"] = (
+    ("env",),
+    _CTE["scored"][1].replace("FROM txn", "FROM env") + ",\n"
+    + _plan(False).replace("CASE WHEN amount_paise % 3 = 0 THEN 'OFFER_EMI' END AS proposed", "NULL::VARCHAR AS proposed"),
+)
+oracle("stream_decisions", "env_plan", "SELECT payment_id, merchant_id, amount_paise, failure_category, score, arm, action, final_status, ev_rupees FROM plan")
+oracle("dead_letters", "txn", """, k AS (SELECT CAST(split_part(payment_id, '_', 2) AS BIGINT) AS k FROM txn),
+r AS (SELECT CASE WHEN k % 17 = 0 THEN 'malformed' WHEN k % 13 = 0 THEN NULL WHEN k % 29 = 0 THEN 'no order_id' WHEN k % 23 = 0 THEN 'amount not positive' END AS reason FROM k)
+SELECT reason, 0 AS attempt, count(*) AS n, (SELECT count(reason) FROM r) AS replayable FROM r WHERE reason IS NOT NULL GROUP BY 1""")
+ORACLES["stream_first_seen"] = ORACLES["first_seen_events"]
+oracle("stream_minute_counters", "outcomes", "SELECT date_trunc('minute', occurred_at) AS minute, merchant_id, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS amount_paise FROM outcomes GROUP BY 1, 2")
+oracle("stream_failure_bins", "outcomes", "SELECT time_bucket(INTERVAL 5 MINUTE, occurred_at) AS bin_start, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS amount_paise FROM outcomes GROUP BY 1")
+oracle("stream_posteriors", "live", _post + " SELECT arm, context, a AS alpha, b AS beta, n AS pulls, round(a / (a + b), 6) AS mean FROM post")
+ORACLES["stream_drift_monitor"] = ORACLES["drift_monitor"]
+oracle("provider_health", "outcomes", """, c AS (SELECT CASE strategy WHEN 'retry_now' THEN 'links' WHEN 'retry_15m' THEN 'whatsapp' WHEN 'offer_upi' THEN 'sms' ELSE 'email' END AS channel,
+  call_id, occurred_at AS at_time, recovered = 1 AS ok FROM outcomes),
+l AS (SELECT *, CASE channel WHEN 'links' THEN 5 WHEN 'email' THEN 5 ELSE 3 END AS lim, CASE channel WHEN 'links' THEN 30 WHEN 'email' THEN 120 ELSE 60 END AS wait,
+  sum(ok::INT) OVER (PARTITION BY channel ORDER BY call_id) AS g FROM c),
+r AS (SELECT *, CAST(sum((NOT ok)::INT) OVER (PARTITION BY channel, g ORDER BY call_id) AS BIGINT) AS run FROM l),
+p AS (SELECT *, coalesce(lag(run) OVER w, 0) AS before_run, lag(at_time) OVER w AS before_at FROM r WINDOW w AS (PARTITION BY channel ORDER BY call_id))
+SELECT channel, call_id, at_time AS "at", ok, run, CASE WHEN before_run < lim THEN 'CLOSED' WHEN at_time - before_at >= wait * INTERVAL 1 SECOND THEN 'HALF_OPEN' ELSE 'OPEN' END AS state_before,
+  CASE WHEN run >= lim THEN 'OPEN' ELSE 'CLOSED' END AS state_after FROM p""")
+ORACLES["stream_provider_health"] = ORACLES["provider_health"]
+ORACLES["stream_retries"] = """SELECT event_id, CAST(event_id % 5 AS INTEGER) AS attempt, CASE WHEN event_id % 5 = 4 THEN 'dead' ELSE 'done' END AS outcome FROM events"""

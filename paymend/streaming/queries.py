@@ -1 +1,121 @@
-STREAM_QUERIES = {}
+"""Named queries that run a stream over the given tables and return what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from paymend.functions import classify
+from paymend.operators import health
+from paymend.plans.queries import Query, coded, raw_events
+from paymend.sources.scratch import scratch_dir
+from paymend.sources.views import VIEWS, view
+from paymend.streaming import io, jobs
+
+STREAM_QUERIES: dict[str, Query] = {}
+
+
+def query(fn: Query) -> Query:
+    STREAM_QUERIES[fn.__name__] = fn
+    return fn
+
+
+def outcome_stream(spark, d) -> DataFrame:
+    """The outcomes view over a stream of the events table."""
+    text = VIEWS["outcomes"].replace("FROM events", "FROM {events}")
+    return spark.sql(text, events=io.file_events(spark, d, "events"))
+
+
+def envelope_files(spark, d) -> str:
+    """Event envelopes of every transaction as files, the input of a stream."""
+    path = scratch_dir(spark, "envelopes")
+    rows = raw_events(spark, d).select("raw", "merchant_id", F.col("created_at").alias("received_at"))
+    rows.write.parquet(f"{path}/envelopes.parquet")
+    return path
+
+
+def call_log(outcomes: DataFrame) -> DataFrame:
+    channel = classify.switch(
+        "strategy", {"retry_now": "links", "retry_15m": "whatsapp", "offer_upi": "sms", "offer_emi": "email"}, "links"
+    )
+    return outcomes.select(
+        channel.alias("channel"), "call_id", F.col("occurred_at").alias("at"), (F.col("recovered") == 1).alias("ok")
+    )
+
+
+@query
+def stream_round_trip(spark, d):
+    """Events through a keyed sink and back."""
+    stream = io.keyed(io.file_events(spark, d, "events").select("event_id", "user_id", "event_type"), "event_id")
+    back = io.run_to_parquet(stream, "keyed")
+    body = F.from_json("value", "event_id bigint, user_id bigint, event_type string")
+    return back.select("key", body.alias("v")).select("key", "v.user_id", "v.event_type")
+
+
+@query
+def stream_decisions(spark, d):
+    stream = io.file_events(spark, envelope_files(spark, d), "envelopes")
+    decisions, _ = jobs.decision_stream(stream)
+    return decisions.select("payment_id", "merchant_id", "amount_paise", "failure_category", "score", "arm", "action", "final_status", "ev_rupees")
+
+
+@query
+def dead_letters(spark, d):
+    """Rejected envelopes, and how many of them a replay would take in again."""
+    stream = io.file_events(spark, envelope_files(spark, d), "envelopes")
+    _, rejects = jobs.decision_stream(stream, label="dead")
+    again = jobs.replayable(rejects).agg(F.count(F.lit(1))).scalar()
+    return rejects.groupBy("reason", "attempt").agg(F.count(F.lit(1)).alias("n")).withColumn("replayable", again)
+
+
+@query
+def stream_first_seen(spark, d):
+    return jobs.first_seen_stream(io.file_events(spark, d, "events"), "user_id", "ts", "event_id")
+
+
+@query
+def stream_minute_counters(spark, d):
+    out = jobs.minute_counters(outcome_stream(spark, d), "occurred_at", by=("merchant_id",))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("minute"), "merchant_id", "n", "amount_paise")
+
+
+@query
+def stream_failure_bins(spark, d):
+    out = jobs.minute_counters(outcome_stream(spark, d), "occurred_at", width="5 minutes", label="bins")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("bin_start"), "n", "amount_paise")
+
+
+@query
+def stream_posteriors(spark, d):
+    rows = outcome_stream(spark, d).withColumn(
+        "context",
+        classify.context_key(F.col("failure_category"), F.col("ml_score"), F.col("amount_paise") / F.lit(100.0)),
+    )
+    return jobs.bandit_stream(rows, reward="recovered").select("arm", "context", "alpha", "beta", "pulls", F.round("mean", 6).alias("mean"))
+
+
+@query
+def stream_drift_monitor(spark, d):
+    rows = outcome_stream(spark, d).withColumns(
+        {"code_index": classify.code_index("failure_category"), "amount_rupees": F.col("amount_paise") / F.lit(100.0)}
+    )
+    reference = coded(spark, d).filter(~F.col("live"))
+    return jobs.drift_stream(rows, reference, "merchant_id", "call_id", "code_index", "amount_rupees")
+
+
+@query
+def provider_health(spark, d):
+    return health.provider_health(call_log(view(spark, d, "outcomes")))
+
+
+@query
+def stream_provider_health(spark, d):
+    out = jobs.health_stream(call_log(outcome_stream(spark, d)))
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query
+def stream_retries(spark, d):
+    """Event n fails n mod 5 times: four failures end as a dead letter."""
+    stream = io.file_events(spark, d, "events").select("event_id")
+    done, dead = jobs.retry_stream(stream, F.col("attempt") < F.col("event_id") % 5)
+    return done.withColumn("outcome", F.lit("done")).unionByName(dead.withColumn("outcome", F.lit("dead")))
