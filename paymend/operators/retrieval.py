@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from paymend.functions.binding import bind
 from paymend.functions.classify import amount_band
 from paymend.functions.messages import fill, template_rows, whole_rupees
 
@@ -24,29 +25,47 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def term_counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc, token, tf, n`` for every distinct token of every document, without a shuffle.
+
+    A document is one row, so its tokens are sorted and run-length counted
+    inside that row.
+    """
+    split = bind(docs.select(F.col(doc), F.col(text)), {"_t": F.array_sort(tokens(F.col(text)))}).drop(text)
+    place = F.transform("_t", lambda x, i: F.struct(x.alias("token"), i.alias("at")))
+    firsts = F.filter(
+        place, lambda m: (m.getField("at") == 0) | (m.getField("token") != F.get(F.col("_t"), m.getField("at") - 1))
+    )
+    counted = bind(split, {"_f": firsts})
+    entries = F.transform(
+        "_f",
+        lambda m, j: F.struct(
+            m.getField("token").alias("token"),
+            (F.coalesce(F.get(F.col("_f"), j + 1).getField("at"), F.size("_t")) - m.getField("at")).alias("tf"),
+        ),
+    )
+    counted = counted.select(doc, F.size("_t").alias("n"), entries.alias("_e"))
+    return counted.select(doc, "n", F.inline("_e"))
+
+
 def term_weights(docs: DataFrame, doc: str, text: str, salts: int = 8) -> DataFrame:
     """Sparse TF-IDF rows ``doc, token, idf, weight``; every document has length 1.
 
-    Term counts combine on the map side. The document frequencies come back by
+    The document frequencies are a map-side combined count. They come back by
     a join on (token, salt): a word found in a third of the documents is spread
-    over ``salts`` tasks, and the small frequency side is repeated instead.
+    over ``salts`` tasks, and the small frequency side is repeated instead. The
+    merge hint keeps the planner from broadcasting a side that only looks small
+    because it does not see how many rows a text becomes.
     """
-    split = docs.select(F.col(doc), tokens(F.col(text)).alias("_t"))
-    counts = (
-        split.select(doc, F.size("_t").alias("_n"), F.explode("_t").alias("token"))
-        .groupBy(doc, "token")
-        .agg(F.count(F.lit(1)).alias("_tf"), F.max("_n").alias("_n"))
-    )
+    counts = term_counts(docs, doc, text)
     size = docs.agg(F.count(F.lit(1))).scalar()
     frequency = counts.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    spread = frequency.withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    repeated = frequency.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = counts.withColumn("_s", F.pmod(F.xxhash64(doc), F.lit(salts)).cast("int"))
-    joined = salted.join(spread, ["token", "_s"]).withColumn(
+    joined = salted.join(repeated.hint("merge"), ["token", "_s"]).withColumn(
         "idf", F.log((size + 1) / (F.col("_df") + 1)) + 1.0
     )
-    raw = joined.withColumn("_w", F.col("_tf") / F.col("_n") * F.col("idf"))
+    raw = joined.withColumn("_w", F.col("tf") / F.col("n") * F.col("idf"))
     # One window partition is one document, which already fitted into one row.
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return raw.withColumn("_norm", norm).select(

@@ -14,7 +14,7 @@ from paymend.plans.decision import audit_rows, decide, review_rows, shadow_rows
 from paymend.policy import METHODS, RETRY_WINDOWS_MIN, Policy
 from paymend.sources import envelope, tables
 from paymend.sources.scratch import scratch_dir
-from paymend.sources.views import table, view
+from paymend.sources.views import spread, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -542,8 +542,8 @@ def feature_importance(spark, d):
 
 @query
 def pii_masks(spark, d):
-    masked = privacy.mask_text(F.col("text"))
-    return table(spark, d, "documents").withColumn("masked", masked).select(
+    docs = spread(table(spark, d, "documents"), "doc_id")
+    return privacy.mask_text(docs, "text", "masked").select(
         "doc_id", F.md5("masked").alias("masked_md5"), (F.col("masked") != F.col("text")).alias("changed")
     )
 
@@ -574,7 +574,7 @@ def redacted_fields(spark, d):
 @query
 def encrypted_columns(spark, d):
     key, other = crypto.derive_key("column-secret"), crypto.derive_key("another-secret")
-    sealed = table(spark, d, "documents").select("doc_id", "text", crypto.encrypt(F.col("text"), key).alias("sealed"))
+    sealed = spread(table(spark, d, "documents"), "doc_id").select("doc_id", "text", crypto.encrypt(F.col("text"), key).alias("sealed"))
     return sealed.select(
         "doc_id", crypto.is_encrypted(F.col("sealed")).alias("encrypted"),
         F.md5(crypto.decrypt(F.col("sealed"), key)).alias("restored_md5"),
@@ -901,6 +901,16 @@ def anomaly_bins(spark, d):
     return anomaly.anomaly_report(timeseries.rolling_z(timeseries.resample(view(spark, d, "failures")), threshold=2.0))
 
 
+@query
+def anomaly_report(spark, d):
+    """Bins that the rolling threshold or the isolation forest flags."""
+    bins = timeseries.resample(view(spark, d, "failures"))
+    flagged = anomaly.isolation_flags(bins, ["failures", "amount_paise"]).select("merchant_id", "bin", "isolation_anomaly")
+    start = F.timestamp_seconds("bin").cast("timestamp_ntz").alias("bin_start")
+    joined = timeseries.rolling_z(bins).join(flagged.select("merchant_id", start, "isolation_anomaly"), ["merchant_id", "bin_start"])
+    return anomaly.anomaly_report(joined, "isolation_anomaly")
+
+
 @query
 def failure_forecast(spark, d):
     return timeseries.forecast(timeseries.resample(view(spark, d, "failures")))
@@ -946,7 +956,7 @@ def first_seen_events(spark, d):
 
 @query
 def term_weights(spark, d):
-    return retrieval.term_weights(table(spark, d, "documents"), "doc_id", "text").select(
+    return retrieval.term_weights(spread(table(spark, d, "documents"), "doc_id"), "doc_id", "text").select(
         "doc_id", "token", F.round("weight", 6).alias("weight")
     )
 

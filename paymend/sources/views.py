@@ -87,6 +87,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows over all cores when the scan has fewer splits than cores.
+
+    For heavy per-row work on a small table. A large table has more splits than
+    cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def tables_of(text: str) -> list[str]:
     """Base tables a view text reads."""
     return [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)]
