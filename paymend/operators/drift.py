@@ -145,14 +145,17 @@ def monitor(
         .select(key, "tick", F.col(code).alias("_c"), F.col(amount).cast("double").alias("_a"))
     )
     ref = reference.select(key, F.col(code).alias("_c"), F.col(amount).cast("double").alias("_a"))
-    live_codes = live.groupBy(key, "tick").pivot("_c", list(range(7))).agg(F.count(F.lit(1)))
-    ref_codes = ref.groupBy(key).pivot("_c", list(range(7))).agg(F.count(F.lit(1)))
-    lc = live_codes.select(key, "tick", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"l{i}") for i in range(7)])
-    rc = ref_codes.select(key, *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"r{i}") for i in range(7)])
-    both = lc.join(rc, key)
-    n_live = sum((F.col(f"l{i}") for i in range(1, 7)), F.col("l0"))
-    n_ref = sum((F.col(f"r{i}") for i in range(1, 7)), F.col("r0"))
-    both = both.withColumns({"n_live": n_live, "n_ref": n_ref})
+    per_code = lambda prefix: [
+        F.sum(F.when(F.col("_c") == i, 1).otherwise(0)).alias(f"{prefix}{i}") for i in range(7)
+    ]
+    size = F.count(F.lit(1))
+    checks = live.groupBy(key, "tick").agg(
+        *per_code("l"), size.alias("n_live"), F.min("_a").alias("_l"), F.max("_a").alias("_h")
+    )
+    base = ref.groupBy(key).agg(
+        *per_code("r"), size.alias("n_ref"), F.min("_a").alias("_rl"), F.max("_a").alias("_rh")
+    )
+    both = checks.join(base, key).withColumns({"_lo": F.least("_l", "_rl"), "_hi": F.greatest("_h", "_rh")})
     gaps, cl, cr = [], F.lit(0), F.lit(0)
     for i in range(7):
         cl, cr = cl + F.col(f"l{i}"), cr + F.col(f"r{i}")
@@ -164,7 +167,7 @@ def monitor(
         F.when(enough, ks_p_value(F.col("n_ref").cast("double"), F.col("n_live").cast("double"), F.col("ks_stat")))
         .otherwise(1.0),
     )
-    stability = _monitor_psi(live, ref, key)
+    stability = _monitor_psi(live, ref, both.select(key, "tick", "n_live", "n_ref", "_lo", "_hi"), key)
     return both.join(stability, [key, "tick"]).select(
         key,
         F.col("tick").cast("bigint").alias("tick"),
@@ -176,52 +179,63 @@ def monitor(
     )
 
 
-def _monitor_psi(live: DataFrame, ref: DataFrame, key: str, buckets: int = 10) -> DataFrame:
-    """PSI per (group, check): the joint range differs from check to check only at its ends.
+def _bucket(value: Column, lo: Column, hi: Column, buckets: int) -> Column:
+    """Unclipped equal-width bucket position of a value."""
+    return (value - lo) / (hi - lo) * buckets
+
+
+def _edges(lo: Column, hi: Column, buckets: int) -> Column:
+    """Borders 1 .. buckets-1: the smallest double that falls into each bucket or a later one.
 
-    Reference rows are first counted per distinct amount; a check then needs
-    the cumulative reference count at nine bucket borders, read with one
-    aggregate over the checks of the group.
+    A computed border may be a few rounding steps off the one the bucket
+    formula uses, so its neighbours are asked too.
     """
-    span = live.groupBy(key, "tick").agg(F.min("_a").alias("_l"), F.max("_a").alias("_h"))
-    edge = ref.groupBy(key).agg(F.min("_a").alias("_rl"), F.max("_a").alias("_rh"), F.count("_a").alias("_nr"))
-    span = span.join(edge, key).withColumns(
-        {"_lo": F.least("_l", "_rl"), "_hi": F.greatest("_h", "_rh")}
-    )
-    index = lambda: F.when(
-        F.col("_hi") > F.col("_lo"),
-        F.least(
-            F.floor((F.col("_a") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1)
-        ),
-    ).otherwise(0)
+
+    def border(i: Column) -> Column:
+        guess = lo + (hi - lo) * i / buckets
+        near = F.transform(F.sequence(F.lit(-8), F.lit(8)), lambda k: guess + F.abs(guess) * k * F.lit(2.0**-53))
+        return F.coalesce(F.array_min(F.filter(near, lambda v: _bucket(v, lo, hi, buckets) >= i)), guess)
+
+    return F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), border)
+
+
+def _monitor_psi(live: DataFrame, ref: DataFrame, span: DataFrame, key: str, buckets: int = 10) -> DataFrame:
+    """PSI per (group, check); every check has its own joint range in ``span``.
+
+    The reference share of a bucket is the difference of its cumulative counts
+    at two borders. All borders of all checks are put between the reference
+    values as rows of weight zero and read off one running total, so the cost
+    is reference rows plus nine rows per check, never their product.
+    """
+    lo, hi = F.col("_lo"), F.col("_hi")
+    index = F.when(hi > lo, F.least(F.floor(_bucket(F.col("_a"), lo, hi, buckets)), F.lit(buckets - 1))).otherwise(0)
     live_counts = (
         live.join(span.select(key, "tick", "_lo", "_hi"), [key, "tick"])
+        .withColumn("_i", index)
         .groupBy(key, "tick")
-        .agg(
-            F.count(F.lit(1)).alias("_nl"),
-            *[F.sum(F.when(index() == i, 1).otherwise(0)).alias(f"_l{i}") for i in range(buckets)],
-        )
+        .agg(*[F.sum(F.when(F.col("_i") == i, 1).otherwise(0)).alias(f"_l{i}") for i in range(buckets)])
     )
-    # Checks of a group share few distinct ranges (the reference range dominates),
-    # so the reference is bucketed once per distinct range, not once per check.
-    ranges = span.select(key, "_lo", "_hi").distinct()
-    ref_counts = (
-        ref.groupBy(key, "_a")
-        .agg(F.count(F.lit(1)).alias("_w"))
-        .join(ranges, key)
-        .groupBy(key, "_lo", "_hi")
-        .agg(*[F.sum(F.when(index() == i, F.col("_w")).otherwise(0)).alias(f"_r{i}") for i in range(buckets)])
+    borders = span.filter(hi > lo).select(
+        key,
+        "tick",
+        F.posexplode(_edges(lo, hi, buckets)).alias("_p", "_a"),
     )
-    joined = (
-        live_counts.join(span.select(key, "tick", "_lo", "_hi", "_nr"), [key, "tick"])
-        .join(ref_counts, [key, "_lo", "_hi"])
+    points = ref.select(key, "_a", F.lit(1).alias("w")).unionByName(borders.select(key, "_a", F.lit(0).alias("w")))
+    running = cumulative_counts(points, [key], "_a", {"w": F.col("w")})
+    below = running.select(key, "_a", (F.col("cum_w") - F.col("w")).alias("_below"))
+    # A border is one value of a group; the merge join may meet many equal ones, AQE splits them.
+    at_borders = borders.join(below, [key, "_a"]).groupBy(key, "tick").agg(
+        *[F.max(F.when(F.col("_p") == i, F.col("_below"))).alias(f"_c{i + 1}") for i in range(buckets - 1)]
     )
+    joined = span.join(live_counts, [key, "tick"]).join(at_borders, [key, "tick"], "left")
     total = F.lit(0.0)
     for i in range(buckets):
-        cur = F.greatest(F.col(f"_l{i}") / F.col("_nl"), F.lit(1e-6))
-        old = F.greatest(F.col(f"_r{i}") / F.col("_nr"), F.lit(1e-6))
+        upper = F.col("n_ref") if i == buckets - 1 else F.col(f"_c{i + 1}")
+        lower = F.lit(0) if i == 0 else F.col(f"_c{i}")
+        cur = F.greatest(F.col(f"_l{i}") / F.col("n_live"), F.lit(1e-6))
+        old = F.greatest((upper - lower) / F.col("n_ref"), F.lit(1e-6))
         total = total + (cur - old) * F.log(cur / old)
-    usable = (F.col("_nl") >= MIN_SAMPLE) & (F.col("_nr") >= MIN_SAMPLE) & (F.col("_hi") > F.col("_lo"))
+    usable = (F.col("n_live") >= MIN_SAMPLE) & (F.col("n_ref") >= MIN_SAMPLE) & (hi > lo)
     return joined.select(key, "tick", F.when(usable, F.round(total, 4)).otherwise(0.0).alias("psi"))
 
 

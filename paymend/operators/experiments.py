@@ -237,8 +237,8 @@ def choose_arm(
 ) -> DataFrame:
     """Add ``chosen_arm``: thompson, ucb or epsilon_greedy; the first arm wins a tie.
 
-    The posterior has at most arms x 63 contexts, a bound set by the closed
-    context vocabulary, so it is broadcast as one row per context.
+    The posterior comes as one row per context (63 with the closed category
+    list). No hint: the planner broadcasts it when its measured size allows.
     """
     states = post.groupBy("context").agg(
         *[
@@ -247,7 +247,7 @@ def choose_arm(
         ]
     )
     total = post.agg(F.sum("pulls")).scalar()
-    joined = df.join(F.broadcast(states.withColumnRenamed("context", context)), context, "left")
+    joined = df.join(states.withColumnRenamed("context", context), context, "left")
     joined = joined.withColumn("_t", F.greatest(F.coalesce(total, F.lit(0)), F.lit(1)))
     scores = []
     for i, name in enumerate(arms):

@@ -13,7 +13,7 @@ from paymend.operators.drift import BRIER_LIMIT, drift_report
 from paymend.sources.scratch import scratch_dir
 
 
-def pipeline(kind: str = "boosted", trees: int = 50, label: str = "label") -> Pipeline:
+def estimator(kind: str = "boosted", trees: int = 50, label: str = "label") -> Pipeline:
     """Boosted trees (50, depth 3), or scaled logistic regression."""
     raw = VectorAssembler(inputCols=list(FEATURES), outputCol="raw", handleInvalid="skip")
     if kind == "boosted":
@@ -53,7 +53,7 @@ def brier_of(model: PipelineModel, hold_out: DataFrame, label: str = "label") ->
 def train(df: DataFrame, key: str, kind: str = "boosted", trees: int = 50) -> tuple[PipelineModel, float, bool]:
     """Fit on the training part; returns the model, its hold-out Brier score and the verdict."""
     training, hold_out = split(df, key)
-    model = pipeline(kind, trees).fit(training)
+    model = estimator(kind, trees).fit(training)
     value = brier_of(model, hold_out)
     return model, value, value <= BRIER_LIMIT
 

@@ -290,33 +290,30 @@ def centroids(df: DataFrame, label: str = "label", vector: str = "embedding") ->
 def dense_top_k(
     df: DataFrame, library: DataFrame, label: str = "label", vector: str = "embedding", top_k: int = TOP_K
 ) -> DataFrame:
-    """Add ``hits``: the nearest library vectors of each row by cosine.
+    """Add ``hits``: the nearest library vectors of each row by cosine, ties by label.
 
-    Like :func:`rank_templates` the library travels as one size-checked value
-    and the big side is never shuffled.
+    The library travels as size-bounded values and the big side is never
+    shuffled. A library above ``LIBRARY_LIMIT`` is cut into parts by a hash of
+    the label, and the best of each part are merged, which is exact.
     """
+    parts = max(1, -(-library.count() // LIBRARY_LIMIT))
     entry = F.struct(F.col(label).alias("label"), F.col("vector"))
-    too_many = F.raise_error(F.lit(f"vector library above {LIBRARY_LIMIT} rows"))
-    packed = library.agg(
-        F.when(F.count(F.lit(1)) > LIBRARY_LIMIT, too_many).otherwise(F.sort_array(F.collect_list(entry)))
-    ).scalar()
-    out = df.withColumns({"_lib": packed, "_v": F.col(vector).cast("array<double>")})
-    out = out.withColumn("_n", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)))
-    scored = F.transform(
-        "_lib",
-        lambda c: F.struct(
-            (
-                -F.round(
-                    F.aggregate(
-                        F.zip_with(F.col("_v"), c.getField("vector"), lambda x, y: x * y),
-                        F.lit(0.0),
-                        lambda a, x: a + x,
-                    )
-                    / F.col("_n"),
-                    9,
-                )
-            ).alias("order"),
-            c.getField("label").alias("label"),
-        ),
-    )
-    return out.withColumn("hits", F.slice(F.array_sort(scored), 1, top_k)).drop("_lib", "_v", "_n")
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    out = bind(df, {"_v": F.col(vector).cast("array<double>")})
+    out = bind(out, {"_n": norm})
+
+    def near(c: Column) -> Column:
+        dot = F.aggregate(
+            F.zip_with(F.col("_v"), c.getField("vector"), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x
+        )
+        return F.struct((-F.round(dot / F.col("_n"), 9)).alias("order"), c.getField("label").alias("label"))
+
+    for i in range(parts):
+        part = library.filter(F.pmod(F.xxhash64(label), F.lit(parts)) == i)
+        packed = part.agg(F.sort_array(F.collect_list(entry))).scalar()
+        out = bind(out, {"_lib": packed})
+        found = F.transform("_lib", near)
+        if i:
+            found = F.concat(F.col("hits"), found)
+        out = bind(out, {"hits": F.slice(F.array_sort(found), 1, top_k)})
+    return out.drop("_lib", "_v", "_n")

@@ -61,7 +61,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 def routed(spark: SparkSession, d: str) -> DataFrame:
     """Scored transactions with a channel and a measured latency."""
     amount = F.col("amount_paise")
-    return scored(spark, d).withColumns(
+    return spread(scored(spark, d), "payment_id").withColumns(
         {
             "channel": F.when(amount % 3 == 0, "whatsapp").when(amount % 3 == 1, "sms").otherwise("email"),
             "latency_ms": (amount % 400) / F.lit(4.0),
@@ -221,7 +221,7 @@ def inserted_or_ignored(spark, d):
 @query
 def monthly_partitions(spark, d):
     path = scratch_dir(spark, "monthly")
-    tables.write_monthly(view(spark, d, "txn"), path, spread=2)
+    tables.write_monthly(view(spark, d, "txn"), path)
     back = spark.read.parquet(path)
     return back.groupBy(F.col("created_month").cast("string").alias("created_month")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount_paise").alias("amount_paise")

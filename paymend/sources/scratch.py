@@ -28,6 +28,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/paymend/{label}-{uuid.uuid4().hex}"
 
 
+def home(spark: SparkSession, label: str) -> str:
+    """The folder of a long-lived job: an absolute ``label`` itself, else a new scratch folder."""
+    return label if "/" in label else scratch_dir(spark, label)
+
+
 def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write the frame once and read it back, cutting its lineage.
 

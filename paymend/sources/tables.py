@@ -97,20 +97,16 @@ def attempts_from_log(
     )
 
 
-def write_monthly(df: DataFrame, path: str, at: str = "created_at", spread: int = 8) -> None:
+def write_monthly(df: DataFrame, path: str, at: str = "created_at") -> None:
     """Parquet partitioned by calendar month.
 
-    Rows are spread by (month, salt) before the write: a busy month is written
-    by ``spread`` tasks instead of one, and a quiet one does not get a file
-    from every task.
+    The rebalance hint brings the rows of a month together and lets the
+    adaptive planner cut a big month into several well-sized files and merge
+    small ones, so neither a busy month nor many tasks decide the file sizes.
     """
-    month = F.date_format(F.col(at), "yyyy-MM")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns[:2]]), F.lit(spread))
     (
-        df.withColumn("created_month", month)
-        .withColumn("_salt", salt)
-        .repartition("created_month", "_salt")
-        .drop("_salt")
+        df.withColumn("created_month", F.date_format(F.col(at), "yyyy-MM"))
+        .hint("rebalance", "created_month")
         .write.mode("errorifexists")
         .partitionBy("created_month")
         .parquet(path)

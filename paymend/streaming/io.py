@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paymend.sources.scratch import scratch_dir
+from paymend.sources.scratch import home, scratch_dir
 
 
 def file_events(spark: SparkSession, folder: str, name: str, files_per_batch: int = 100) -> DataFrame:
@@ -82,7 +83,7 @@ def run_batches(
     running = (
         df.writeStream.foreachBatch(step)
         .outputMode(mode)
-        .option("checkpointLocation", checkpoint or scratch_dir(df.sparkSession, f"{label}-checkpoint"))
+        .option("checkpointLocation", checkpoint or home(df.sparkSession, f"{label}-checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
@@ -93,28 +94,31 @@ class BatchTable:
     """A folder with one part per micro-batch.
 
     A part is overwritten when its batch is replayed after a failure, so each
-    batch counts once although the stream itself is at least once.
+    batch counts once although the stream itself is at least once. With an
+    absolute ``label`` the folder outlives the job, and the next run goes on
+    where this one stopped.
     """
 
-    def __init__(self, spark: SparkSession, label: str, path: str | None = None):
+    def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.path = path or scratch_dir(spark, label)
-        self.schema: str | None = None
+        self.path = home(spark, label)
 
     def write(self, df: DataFrame, batch_id: int) -> None:
-        self.schema = df.schema
         df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
     def read(self, up_to: int | None = None) -> DataFrame | None:
         """All parts, or those before batch ``up_to``; None while there are none."""
-        if self.schema is None:
-            return None
-        rows = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch_id=*")
+        try:
+            rows = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch_id=*")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
         return rows if up_to is None else rows.filter(F.col("batch_id") < up_to)
 
     def part(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch_id={batch_id}")
+        return self.spark.read.parquet(f"{self.path}/batch_id={batch_id}")
 
     def last_before(self, batch_id: int) -> DataFrame | None:
         """The part of the batch before, for tables whose part is a full state."""
-        return self.part(batch_id - 1) if self.schema is not None and batch_id > 0 else None
+        return self.part(batch_id - 1) if batch_id > 0 else None

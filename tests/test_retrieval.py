@@ -86,6 +86,14 @@ def test_dense_neighbours(spark):
     assert [(r.vec_id, r.hits[0].label) for r in out] == [(1, 0), (2, 0), (3, 1)]
 
 
+def test_a_large_vector_library_is_searched_in_parts(spark, monkeypatch):
+    df = spark.range(40).select("id", F.array(F.cos("id"), F.sin("id")).alias("embedding"), F.col("id").alias("label"))
+    library = retrieval.centroids(df)
+    whole = retrieval.dense_top_k(df, library).select("id", "hits").collect()
+    monkeypatch.setattr(retrieval, "LIBRARY_LIMIT", 7)
+    assert sorted(retrieval.dense_top_k(df, library).select("id", "hits").collect()) == sorted(whole)
+
+
 def test_keyword_hits(spark):
     df = spark.createDataFrame([("a", "card declined", 1), ("b", "card", 2), ("c", "none", 3)], "id string, note string, at int")
     assert [r.id for r in retrieval.keyword_hits(df, "declined card?", "at", "id").collect()] == ["a", "b"]

@@ -47,6 +47,16 @@ def test_first_seen(spark, calls, tmp_path):
     same(jobs.first_seen_stream(stream, "key", "at", "call_id", ttl_seconds=7200), want)
 
 
+def test_a_restarted_job_remembers_its_locks(spark, calls, tmp_path):
+    part = calls.select("key", "at", "call_id")
+    job = str(tmp_path / "job")
+    as_files(spark, tmp_path, part.filter("call_id < 500"), 2)
+    jobs.first_seen_stream(io.file_events(spark, str(tmp_path), "calls", 1), "key", "at", "call_id", 7200, label=job)
+    as_files(spark, tmp_path, part.filter("call_id >= 500"), 2)
+    out = jobs.first_seen_stream(io.file_events(spark, str(tmp_path), "calls", 1), "key", "at", "call_id", 7200, label=job)
+    same(out, timeseries.first_seen(calls, "key", "at", "call_id", ttl_seconds=7200))
+
+
 def test_health(spark, calls, tmp_path):
     stream = as_files(spark, tmp_path, calls.select("channel", "call_id", "at", "ok"), 5)
     out = jobs.health_stream(stream).withColumn("at", F.col("at").cast("timestamp_ntz"))

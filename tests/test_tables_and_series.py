@@ -48,7 +48,7 @@ def test_tenants_are_apart_and_no_tenant_sees_nothing(spark):
 def test_monthly_layout_prunes_partitions(spark, tmp_path):
     df = spark.createDataFrame([(i, T0 + timedelta(days=i)) for i in range(90)], "id int, created_at timestamp_ntz")
     path = str(tmp_path / "txn")
-    tables.write_monthly(df, path, spread=2)
+    tables.write_monthly(df, path)
     back = spark.read.parquet(path).filter(F.col("created_month") == "2024-02")
     assert back.count() == 29
     assert "PartitionFilters: [isnotnull(created_month" in back._jdf.queryExecution().executedPlan().toString()
