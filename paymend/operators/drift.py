@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paymend.operators.ranks import cumulative_counts, running_index
+from paymend.sources.scratch import materialise
 
 KS_P_LIMIT = 0.05
 PSI_LIMIT = 0.20
@@ -156,6 +157,9 @@ def monitor(
         *per_code("r"), size.alias("n_ref"), F.min("_a").alias("_rl"), F.max("_a").alias("_rh")
     )
     both = checks.join(base, key).withColumns({"_lo": F.least("_l", "_rl"), "_hi": F.greatest("_h", "_rh")})
+    # One row per check, read by several branches below: written once, so the
+    # windowed calls behind it are worked out once and not per branch.
+    both = materialise(both, "drift-checks")
     gaps, cl, cr = [], F.lit(0), F.lit(0)
     for i in range(7):
         cl, cr = cl + F.col(f"l{i}"), cr + F.col(f"r{i}")

@@ -195,9 +195,8 @@ def rank_templates(
         ),
     )
     texts = F.array(*[F.lit(r["text"]) for r in fitted.rows])
-    return out.withColumns(
-        {"hits": hits, "best_text": F.get(texts, F.get("_best.at", F.lit(0)))}
-    ).drop("_best")
+    # Bound, so that an explode of the hits does not run the Python function again in a filter.
+    return bind(out, {"hits": hits, "best_text": F.get(texts, F.get("_best.at", F.lit(0)))}).drop("_best")
 
 
 def personalise(
