@@ -108,7 +108,7 @@ p6 AS (SELECT *, CASE WHEN stage = 'DECIDED' THEN {_review('discount_pct')} END
 p8 AS (SELECT * REPLACE (CASE WHEN gated THEN recoverable_amt END AS recoverable_amt, CASE WHEN gated THEN total_cost END AS total_cost,
        CASE WHEN gated THEN ev_rupees END AS ev_rupees, CASE WHEN gated THEN {decision} END AS ev_decision)
        FROM (SELECT *, stage = 'DECIDED' AND review_reason IS NULL AS gated FROM p7)),
-plan AS (SELECT *, CASE WHEN gated THEN {_REASON} END AS ev_reason,
+plan AS MATERIALIZED (SELECT *, CASE WHEN gated THEN {_REASON} END AS ev_reason,
        CASE WHEN stage <> 'DECIDED' THEN stage WHEN review_reason IS NOT NULL THEN 'PENDING_APPROVAL'
             WHEN ev_decision = 'BYPASS' THEN 'EV_BYPASSED' ELSE 'ACTION_TRIGGERED' END AS final_status,
        recovery_attempts + CASE WHEN gated THEN 1 ELSE 0 END AS recovery_attempts_after FROM p8)"""

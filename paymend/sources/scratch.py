@@ -16,9 +16,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     Only a local session without that setting gets a temporary folder; on a
     cluster every executor must see the folder, so the setting is required.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
-        context = spark.sparkContext
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         key = context.applicationId
