@@ -124,16 +124,20 @@ def _redact_any(column: Column, kind: T.DataType, field: str) -> Column:
     if isinstance(kind, T.ArrayType):
         return F.transform(column, lambda item: _redact_any(item, kind.elementType, field))
     if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
-        if isinstance(kind.valueType, T.StringType):
-            return F.transform_values(column, _redact_entry)
-        return F.transform_values(column, lambda _, item: _redact_any(item, kind.valueType, ""))
+        inner = kind.valueType
+        if isinstance(inner, (T.StructType, T.ArrayType, T.MapType)):
+            # Which key is sensitive is only known per row, so values become text: masked whole, or cleaned inside.
+            return F.transform_values(
+                column, lambda key, item: _redact_entry(key, F.to_json(item), F.to_json(_redact_any(item, inner, "")))
+            )
+        return F.transform_values(column, lambda key, item: _redact_entry(key, item.cast("string")))
     if not sensitive:
         return column
     return redact_field(column.cast("string"), field)
 
 
-def _redact_entry(key: Column, value: Column) -> Column:
-    """Map entry whose field name is only known per row."""
+def _redact_entry(key: Column, value: Column, clean: Column | None = None) -> Column:
+    """Map entry whose field name is only known per row; ``clean`` is what other fields show."""
     name = F.lower(key)
     plain = redact_field(value, "other")
     masked = (
@@ -142,11 +146,14 @@ def _redact_entry(key: Column, value: Column) -> Column:
         .when(F.regexp_like(name, F.lit("phone|mobile|contact")), redact_field(value, "phone"))
         .otherwise(plain)
     )
-    return F.when(name.isin(*SENSITIVE_FIELDS), masked).otherwise(value)
+    return F.when(name.isin(*SENSITIVE_FIELDS), masked).otherwise(value if clean is None else clean)
 
 
 def redact_frame(df: DataFrame) -> DataFrame:
-    """Mask every sensitive field of any depth; other columns pass unchanged."""
+    """Mask every sensitive field of any depth; other columns pass unchanged.
+
+    Values of a map with text keys come out as text, as any of them may have to be masked.
+    """
     return df.select(
         *[_redact_any(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields]
     )

@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paymend.functions.crypto import hmac_sha256
 
 BLOCK_SPAN = 1024
-FIELDS = ("action_taken", "logged_at", "recoverability_score", "source", "transaction_id")
+#: What a row's hash covers. ``seq`` is always there; the others where the ledger has them.
+FIELDS = (
+    "action_taken", "decision_rationale", "logged_at", "merchant_id", "recoverability_score", "seq", "source", "transaction_id",
+)
+#: Folds after which one hash is left of any 64-bit block number.
+LEVELS = 7
 
 
 def genesis(chain: Column, block: Column) -> Column:
@@ -21,10 +26,10 @@ def genesis(chain: Column, block: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit("GENESIS"), chain, block.cast("string")), 256)
 
 
-def canonical(fields: tuple[str, ...] = FIELDS) -> Column:
-    """One text per row: fields in name order, each with its length; null is marked."""
+def canonical(columns: list[str], fields: tuple[str, ...] = FIELDS) -> Column:
+    """One text per row: the fields that ``columns`` has, in name order, each with its length; null is marked."""
     parts = []
-    for name in sorted(fields):
+    for name in sorted(f for f in fields if f in columns):
         if name == "logged_at":
             text = F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         else:
@@ -48,7 +53,7 @@ def append(
     ``heads`` (``chain_key, block, head``) carries blocks that are still open. A
     block is at most ``span`` rows, so it folds inside one row of one task.
     """
-    payload = canonical()
+    payload = canonical(rows.columns)
     names = [c for c in rows.columns if c not in ("chain_key", "seq")]
     shaped = rows.withColumns({"block": block_of(F.col("seq"), span), "_text": payload})
     shaped = shaped.withColumn("hmac_signature", hmac_sha256(F.col("_text"), key))
@@ -84,12 +89,41 @@ def heads(chain: DataFrame) -> DataFrame:
     return chain.groupBy("chain_key", "block").agg(F.max_by("current_hash", "seq").alias("head"))
 
 
-def seal(chain: DataFrame, fan: int = 256, levels: int = 3) -> DataFrame:
-    """One root hash per chain key.
+def seal_blocks(chain: DataFrame) -> DataFrame:
+    """What must be kept apart from the ledger: ``first_seq, last_seq, records, head`` of every block.
 
-    Block heads are folded ``fan`` at a time in block order; after the given
-    levels the few remaining hashes of a chain are folded into its root.
+    The rows of a chain alone cannot show that its last rows, or whole blocks, are gone. Their
+    root (``seal``) proves that this table is complete itself.
     """
+    return chain.groupBy("chain_key", "block").agg(
+        F.min("seq").alias("first_seq"),
+        F.max("seq").alias("last_seq"),
+        F.count(F.lit(1)).alias("records"),
+        F.max_by("current_hash", "seq").alias("head"),
+    )
+
+
+def missing(chain: DataFrame, sealed: DataFrame) -> DataFrame:
+    """Blocks of ``chain`` that differ from the sealed ones: ``chain_key, block, kind, lost``.
+
+    ``kind``: missing block, unsealed block, missing rows, added rows, or head (as many rows,
+    another last hash). ``lost`` is the number of rows that are gone (negative: too many).
+    """
+    now = seal_blocks(chain).select("chain_key", "block", F.col("records").alias("_n"), F.col("head").alias("_h"))
+    both = sealed.join(now, ["chain_key", "block"], "full")
+    lost = F.coalesce("records", F.lit(0)) - F.coalesce("_n", F.lit(0))
+    kind = (
+        F.when(F.col("_n").isNull(), "missing block")
+        .when(F.col("records").isNull(), "unsealed block")
+        .when(lost > 0, "missing rows")
+        .when(lost < 0, "added rows")
+        .when(F.col("head") != F.col("_h"), "head")
+    )
+    return both.select("chain_key", "block", kind.alias("kind"), lost.alias("lost")).where("kind IS NOT NULL")
+
+
+def seal(chain: DataFrame, fan: int = 256, levels: int = LEVELS) -> DataFrame:
+    """One root hash per chain key: block heads are folded ``fan`` at a time in block order until one is left."""
     level = heads(chain).select("chain_key", F.col("block").alias("_n"), F.col("head").alias("_h"))
     for _ in range(levels):
         level = _fold(level.withColumn("_g", F.floor(F.col("_n") / fan)), ["chain_key", "_g"]).select(
@@ -112,7 +146,7 @@ def with_breaks(chain: DataFrame, key: str | bytes, span: int = BLOCK_SPAN) -> D
     neighbour and itself only, in parallel.
     """
     order = Window.partitionBy("chain_key", "block").orderBy("seq")
-    checked = chain.withColumns({"block": block_of(F.col("seq"), span), "_text": canonical()})
+    checked = chain.withColumns({"block": block_of(F.col("seq"), span), "_text": canonical(chain.columns)})
     expected = F.coalesce(
         F.lag("current_hash").over(order), genesis(F.col("chain_key"), F.col("block"))
     )
@@ -128,11 +162,15 @@ def with_breaks(chain: DataFrame, key: str | bytes, span: int = BLOCK_SPAN) -> D
     ).drop("_text")
 
 
-def verify(chain: DataFrame, key: str | bytes, span: int = BLOCK_SPAN) -> DataFrame:
+def verify(chain: DataFrame, key: str | bytes, span: int = BLOCK_SPAN, sealed: DataFrame | None = None) -> DataFrame:
     """One row per chain key: ``ok, records, kind, first_bad_seq, hmac_failures``.
 
     ``kind`` is link, hash (a link break on the same row goes first), hmac
     (counted only while the chain holds) or ok. No rows, no broken chains.
+    With ``sealed`` (``seal_blocks`` at writing time) lost and added rows count too:
+    where the rows that are there hold, ``kind`` is the first such finding in block order
+    and ``first_bad_seq`` the first sequence number of its block. A chain that is gone
+    as a whole has a row with no records.
     """
     checked = with_breaks(chain, key, span)
     broken = F.col("link_break") | F.col("hash_break")
@@ -142,7 +180,7 @@ def verify(chain: DataFrame, key: str | bytes, span: int = BLOCK_SPAN) -> DataFr
         F.sum(F.when(F.col("hmac_break"), 1).otherwise(0)).alias("_m"),
     )
     holds = F.col("_b").isNull()
-    return agg.select(
+    out = agg.select(
         "chain_key",
         "records",
         F.when(~holds, F.col("_b.kind")).when(F.col("_m") > 0, "hmac").otherwise("ok").alias("kind"),
@@ -150,6 +188,19 @@ def verify(chain: DataFrame, key: str | bytes, span: int = BLOCK_SPAN) -> DataFr
         F.when(holds, F.col("_m")).otherwise(0).alias("hmac_failures"),
         (holds & (F.col("_m") == 0)).alias("ok"),
     )
+    if sealed is None:
+        return out
+    gaps = missing(chain, sealed).groupBy("chain_key").agg(F.min(F.struct("block", "kind")).alias("_g"))
+    both = out.join(gaps, "chain_key", "full")
+    sound = F.coalesce("ok", F.lit(True))
+    return both.select(
+        "chain_key",
+        F.coalesce("records", F.lit(0)).alias("records"),
+        F.when(sound & F.col("_g").isNotNull(), F.col("_g.kind")).otherwise(F.col("kind")).alias("kind"),
+        F.when(sound & F.col("_g").isNotNull(), F.col("_g.block") * span).otherwise(F.col("first_bad_seq")).alias("first_bad_seq"),
+        F.coalesce("hmac_failures", F.lit(0)).alias("hmac_failures"),
+        (sound & F.col("_g").isNull()).alias("ok"),
+    )
 
 
 def tampered_rows(chain: DataFrame, key: str | bytes, span: int = BLOCK_SPAN) -> DataFrame:

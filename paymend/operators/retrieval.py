@@ -15,10 +15,11 @@ from paymend.functions.messages import fill, template_rows, whole_rupees
 
 TOKEN = "[a-z₹0-9]+"
 BOOSTS = (0.15, 0.10, 0.05)  # category, amount band, channel
-BATCH = 2000
+BATCH = 500
 TOP_K = 3
 MIN_SIMILARITY = 0.0
-LIBRARY_LIMIT = 500
+#: Library entries that are compared at once; larger libraries take several rounds.
+BLOCK = 500
 
 
 def tokens(text: Column) -> Column:
@@ -82,32 +83,48 @@ def template_library(spark: SparkSession) -> DataFrame:
     )
 
 
+class Block(NamedTuple):
+    """Consecutive templates: their ids, texts and labels, and their weights for the words they use."""
+
+    ids: np.ndarray
+    texts: np.ndarray
+    labels: list[np.ndarray]
+    words: np.ndarray
+    weights: np.ndarray
+
+
 class FittedLibrary(NamedTuple):
-    """A template library small enough to travel with the tasks."""
+    """Weights of a template library, in blocks in library order."""
 
-    rows: list
     words: list[str]
     idf: np.ndarray
-    weights: np.ndarray
+    blocks: list[Block]
 
 
 def fit_library(library: DataFrame) -> FittedLibrary:
-    """Weights of a message library, computed by Spark and fetched once like a fitted model.
-
-    A library above ``LIBRARY_LIMIT`` templates is refused rather than shipped.
-    """
-    rows = library.orderBy("rank").limit(LIBRARY_LIMIT + 1).collect()
-    if len(rows) > LIBRARY_LIMIT:
-        raise ValueError(f"template library above {LIBRARY_LIMIT} rows")
+    """Weights of a message library, computed by Spark and fetched once like a fitted model."""
+    rows = library.orderBy("rank").collect()
     place = {r["template_id"]: i for i, r in enumerate(rows)}
     found = term_weights(library, "template_id", "text").collect()
     words = sorted({r["token"] for r in found})
     index = {w: i for i, w in enumerate(words)}
-    idf, weights = np.zeros(len(words)), np.zeros((len(words), len(rows)))
+    idf = np.zeros(len(words))
+    entries: dict[int, list[tuple[int, int, float]]] = {}
     for r in found:
-        idf[index[r["token"]]] = r["idf"]
-        weights[index[r["token"]], place[r["template_id"]]] = r["weight"]
-    return FittedLibrary(rows, words, idf, weights)
+        word, at = index[r["token"]], place[r["template_id"]]
+        idf[word] = r["idf"]
+        entries.setdefault(at // BLOCK, []).append((word, at % BLOCK, r["weight"]))
+    blocks = []
+    for start in range(0, len(rows), BLOCK):
+        part, own = rows[start : start + BLOCK], entries.get(start // BLOCK, [])
+        used = np.unique(np.array([w for w, _, _ in own], int))
+        weights = np.zeros((len(used), len(part)))
+        for word, at, weight in own:
+            weights[np.searchsorted(used, word), at] = weight
+        labels = [np.array([str(r[c]).upper() for r in part]) for c in ("category", "amount_band", "channel")]
+        ids, texts = (np.array([r[c] for r in part], object) for c in ("template_id", "text"))
+        blocks.append(Block(ids, texts, labels, used, weights))
+    return FittedLibrary(words, idf, blocks)
 
 
 def query_text(category: Column, amount_paise: Column, channel: Column, reason: Column) -> Column:
@@ -136,67 +153,69 @@ def rank_templates(
 ) -> DataFrame:
     """Add ``hits`` (best templates with ``cosine`` and boosted ``score``) and ``best_text``.
 
-    A narrow transformation: the fitted library is one small value, so no row
-    meets any other row and nothing is shuffled. Each Arrow batch is one sparse
-    count matrix times the library matrix. Library order breaks ties.
+    A narrow transformation: the fitted library travels like a model, so no row
+    meets any other row and nothing is shuffled. Each Arrow batch is a count
+    matrix times the library matrix, one block of templates after the other;
+    the best so far go along, so a library may have any size. Library order
+    breaks ties.
     """
-    fitted = fit_library(library)
-    shared = df.sparkSession.sparkContext.broadcast(
-        (
-            fitted.words,
-            fitted.idf,
-            fitted.weights,
-            [np.array([str(r[c]).upper() for r in fitted.rows]) for c in ("category", "amount_band", "channel")],
-        )
-    )
+    shared = df.sparkSession.sparkContext.broadcast(fit_library(library))
 
-    @F.pandas_udf("at array<int>, cosine array<double>, score array<double>")
+    @F.pandas_udf("id array<string>, cosine array<double>, score array<double>, text string")
     def best(tok: pd.Series, cat: pd.Series, band: pd.Series, chan: pd.Series) -> pd.DataFrame:
-        words, idf, weights, labels = shared.value
+        words, idf, blocks = shared.value
         vocabulary = pd.Index(words)
-        out = {"at": [], "cosine": [], "score": []}
+        out = {"id": [], "cosine": [], "score": [], "text": []}
         for start in range(0, len(tok), BATCH):
             part = slice(start, start + BATCH)
             lists = tok.iloc[part]
             sizes = lists.str.len().to_numpy()
             row = np.repeat(np.arange(len(sizes)), sizes)
             word = vocabulary.get_indexer(np.concatenate(lists.to_list())) if len(row) else np.zeros(0, int)
-            known = word >= 0
-            counts = np.zeros((len(sizes), len(words)))
-            np.add.at(counts, (row[known], word[known]), 1.0)
+            cell, tf = np.unique(row[word >= 0] * len(words) + word[word >= 0], return_counts=True)
+            row, word = cell // max(1, len(words)), cell % max(1, len(words))
             # The length of the text scales all its weights alike and cancels in the cosine.
-            vectors = counts * idf
-            norm = np.sqrt((vectors * vectors).sum(axis=1))
-            cosine = vectors @ weights / np.where(norm > 0, norm, 1.0)[:, None]
-            score = cosine.copy()
-            for given, have, bonus in zip((cat, band, chan), labels, BOOSTS):
-                asked = given.iloc[part].fillna("").str.upper().to_numpy(dtype=str)
-                score += (asked[:, None] == have[None, :]) * bonus
-            rounded = np.round(score, 9)
-            order = np.argsort(-rounded, axis=1, kind="stable")[:, :top_k]
-            for i, picks in enumerate(order):
-                good = picks[rounded[i, picks] >= min_score]
-                out["at"].append(good.astype(np.int32))
-                out["cosine"].append(cosine[i, good])
-                out["score"].append(score[i, good])
+            value = tf * idf[word]
+            norm = np.sqrt(np.bincount(row, value * value, len(sizes)))
+            norm = np.where(norm > 0, norm, 1.0)[:, None]
+            asked = [given.iloc[part].fillna("").str.upper().to_numpy(dtype=str)[:, None] for given in (cat, band, chan)]
+            ids = texts = np.zeros((len(sizes), 0), object)
+            cosine = score = np.zeros((len(sizes), 0))
+            for block in blocks:
+                at = np.searchsorted(block.words, word)
+                here = np.zeros(len(word), bool)
+                if len(block.words):
+                    here = block.words[np.minimum(at, len(block.words) - 1)] == word
+                vectors = np.zeros((len(sizes), len(block.words)))
+                vectors[row[here], at[here]] = value[here]
+                near = vectors @ block.weights / norm
+                boosted = near + sum((a == have[None, :]) * bonus for a, have, bonus in zip(asked, block.labels, BOOSTS))
+                # What was found before stands first, so equal scores keep library order.
+                wide = [np.hstack([old, np.broadcast_to(new, near.shape)]) for old, new in ((ids, block.ids), (texts, block.texts), (cosine, near), (score, boosted))]
+                order = np.argsort(-np.round(wide[3], 9), axis=1, kind="stable")[:, :top_k]
+                ids, texts, cosine, score = (np.take_along_axis(w, order, axis=1) for w in wide)
+            for i in range(len(sizes)):
+                good = np.round(score[i], 9) >= min_score
+                out["id"].append(ids[i][good])
+                out["cosine"].append(cosine[i][good])
+                out["score"].append(score[i][good])
+                out["text"].append(texts[i][good][0] if good.any() else None)
         return pd.DataFrame(out)
 
     band = amount_band(F.col(amount) / F.lit(100.0))
-    ids = F.array(*[F.lit(r["template_id"]) for r in fitted.rows])
     out = df.withColumn(
         "_best", best(tokens(F.col(text)), F.col(category).cast("string"), band, F.col(channel).cast("string"))
     )
     hits = F.transform(
-        F.arrays_zip("_best.at", "_best.cosine", "_best.score"),
+        F.arrays_zip("_best.id", "_best.cosine", "_best.score"),
         lambda s: F.struct(
-            F.get(ids, s.getField("at")).alias("template_id"),
+            s.getField("id").alias("template_id"),
             F.round(s.getField("cosine"), 4).alias("cosine"),
             F.round(s.getField("score"), 4).alias("score"),
         ),
     )
-    texts = F.array(*[F.lit(r["text"]) for r in fitted.rows])
     # Bound, so that an explode of the hits does not run the Python function again in a filter.
-    return bind(out, {"hits": hits, "best_text": F.get(texts, F.get("_best.at", F.lit(0)))}).drop("_best")
+    return bind(out, {"hits": hits, "best_text": F.col("_best.text")}).drop("_best")
 
 
 def personalise(
@@ -292,10 +311,10 @@ def dense_top_k(
     """Add ``hits``: the nearest library vectors of each row by cosine, ties by label.
 
     The library travels as size-bounded values and the big side is never
-    shuffled. A library above ``LIBRARY_LIMIT`` is cut into parts by a hash of
+    shuffled. A library above ``BLOCK`` entries is cut into parts by a hash of
     the label, and the best of each part are merged, which is exact.
     """
-    parts = max(1, -(-library.count() // LIBRARY_LIMIT))
+    parts = max(1, -(-library.count() // BLOCK))
     entry = F.struct(F.col(label).alias("label"), F.col("vector"))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
     out = bind(df, {"_v": F.col(vector).cast("array<double>")})

@@ -176,9 +176,16 @@ _CTE["zscores"] = (
 zscores AS (SELECT merchant_id, make_timestamp(bin * 1000000) AS bin_start, failures, amount_paise,
        CASE WHEN n >= 2 THEN round((failures - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) END AS failure_zscore FROM framed)""",
 )
-_text = "||';'||".join(
-    f"CAST(length({x}) AS VARCHAR) || ':' || {x}"
-    for x in ("action_taken", "strftime(logged_at, '%Y-%m-%d %H:%M:%S.%f')", "CAST(recoverability_score AS VARCHAR)", "source", "transaction_id")
+
+
+def _framed(*fields: str) -> str:
+    return "||';'||".join(f"coalesce(CAST(length({x}) AS VARCHAR) || ':' || {x}, '-')" for x in fields)
+
+
+_at = "strftime(logged_at, '%Y-%m-%d %H:%M:%S.%f')"
+_text = _framed("action_taken", _at, "CAST(recoverability_score AS VARCHAR)", "CAST(seq AS VARCHAR)", "source", "transaction_id")
+_decided_text = _framed(
+    "action_taken", "decision_rationale", _at, "merchant_id", "CAST(recoverability_score AS VARCHAR)", "CAST(seq AS VARCHAR)", "source", "transaction_id"
 )
 _KEY = b"ledger-test-key".ljust(64, b"\0")
 _HOOK = b"hook-test-key".ljust(64, b"\0")
@@ -258,7 +265,7 @@ FROM txn t FULL OUTER JOIN firsts f ON t.payment_id = f.payment_id LEFT JOIN las
 oracle("partial_updates", "plan", """SELECT payment_id, final_status AS status, coalesce(failure_category, 'UNKNOWN') AS failure_category,
   coalesce(score, 0.5::DOUBLE) AS recoverability_score FROM plan""")
 oracle("tenant_rows", "txn", "SELECT payment_id, amount_paise, status FROM txn WHERE merchant_id = 'BUILDING'")
-oracle("tenant_leaks", "txn", "SELECT count(*) AS shared FROM (SELECT payment_id FROM txn WHERE merchant_id = 'BUILDING' INTERSECT SELECT payment_id FROM txn WHERE merchant_id = 'MACHINERY')")
+oracle("tenant_leaks", "txn", "SELECT count(*) AS shared FROM (SELECT payment_id FROM txn GROUP BY 1 HAVING count(DISTINCT merchant_id) > 1)")
 oracle("inserted_or_ignored", "dispatch_log hitl_queue", """SELECT payment_id, dispatch_id, channel, sent_at FROM dispatch_log
 WHERE payment_id NOT IN (SELECT transaction_id FROM hitl_queue) QUALIFY row_number() OVER (PARTITION BY payment_id ORDER BY sent_at, dispatch_id) = 1""")
 oracle("monthly_partitions", "txn", "SELECT strftime(created_at, '%Y-%m') AS created_month, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS amount_paise FROM txn GROUP BY 1")
@@ -318,14 +325,31 @@ oracle("recovery_funnel", "plan", """SELECT merchant_id, count(*) AS ingested, c
   CAST(coalesce(sum(amount_paise) FILTER (final_status = 'ACTION_TRIGGERED'), 0) AS BIGINT) AS pursued_paise,
   CAST(coalesce(sum(ev_rupees) FILTER (final_status = 'ACTION_TRIGGERED'), 0) AS DECIMAL(28,2)) AS expected_rupees FROM plan GROUP BY 1""")
 _sc = "CAST(CAST(score AS DECIMAL(6,4)) AS VARCHAR)"
-oracle("decision_audit", "plan", f""", e AS (
+_CTE["decided"] = (
+    ("plan",),
+    f"""steps AS (
 SELECT payment_id, 0 AS o, 'NO_ACTION' AS a, 'system' AS s, 'attempts used up: ' || CAST(recovery_attempts AS VARCHAR) AS t FROM plan WHERE final_status = 'EXPIRED'
 UNION ALL SELECT payment_id, 1, 'ML_SCORED', 'ml_scorer', 'score ' || {_sc} FROM plan WHERE score IS NOT NULL
 UNION ALL SELECT payment_id, 2, 'LOW_PRIORITY_SKIP', 'system', 'score ' || {_sc} || ' below 0.15' FROM plan WHERE final_status = 'LOW_PRIORITY_SKIP'
 UNION ALL SELECT payment_id, 3, 'PENDING_APPROVAL', 'system', 'review: ' || review_reason FROM plan WHERE final_status = 'PENDING_APPROVAL'
 UNION ALL SELECT payment_id, 4, 'EV_BYPASS', 'system', ev_reason FROM plan WHERE final_status = 'EV_BYPASSED'
-UNION ALL SELECT payment_id, 5, action, source, 'arm ' || arm || '; category ' || failure_category || '; score ' || {_sc} || '; ' || ev_reason FROM plan WHERE final_status = 'ACTION_TRIGGERED')
-SELECT payment_id AS transaction_id, CAST(row_number() OVER (PARTITION BY payment_id ORDER BY o) - 1 AS INTEGER) AS step, a AS action_taken, s AS source, t AS decision_rationale FROM e""")
+UNION ALL SELECT payment_id, 5, action, source, 'arm ' || arm || '; category ' || failure_category || '; score ' || {_sc} || '; ' || ev_reason FROM plan WHERE final_status = 'ACTION_TRIGGERED'),
+decided AS MATERIALIZED (SELECT p.merchant_id AS chain_key, p.merchant_id, steps.payment_id AS transaction_id,
+  CAST(split_part(steps.payment_id, '_', 2) AS BIGINT) * 8 + row_number() OVER (PARTITION BY steps.payment_id ORDER BY o) - 1 AS seq,
+  CAST(coalesce(p.score, 0) AS DECIMAL(7,6)) AS recoverability_score, p.created_at AS logged_at, a AS action_taken, t AS decision_rationale, s AS source
+  FROM steps JOIN plan p USING (payment_id)),
+d_texts AS MATERIALIZED (SELECT chain_key, seq, seq // 1024 AS block, action_taken, {_decided_text} AS t,
+  row_number() OVER (PARTITION BY chain_key, seq // 1024 ORDER BY seq) AS rn FROM decided),
+d_walk AS (SELECT chain_key, block, seq, action_taken, t, rn, sha256('GENESIS|' || chain_key || '|' || CAST(block AS VARCHAR)) AS previous_hash,
+    sha256(sha256('GENESIS|' || chain_key || '|' || CAST(block AS VARCHAR)) || t) AS current_hash FROM d_texts WHERE rn = 1
+  UNION ALL SELECT x.chain_key, x.block, x.seq, x.action_taken, x.t, x.rn, w.current_hash, sha256(w.current_hash || x.t)
+  FROM d_walk w JOIN d_texts x ON x.chain_key = w.chain_key AND x.block = w.block AND x.rn = w.rn + 1)""",
+)
+oracle("decision_audit", "decided", """SELECT transaction_id, CAST(seq % 8 AS INTEGER) AS step, action_taken, source, decision_rationale FROM decided""")
+oracle("decision_ledger", "decided", "SELECT chain_key, seq, action_taken, previous_hash, current_hash FROM d_walk")
+# A forged rationale changes the hash of its own row; rows after it still build on the stored one.
+oracle("audit_forged_rationale", "decided", """SELECT chain_key, count(*) AS records, CASE WHEN bool_or(seq // 8 % 97 = 0) THEN 'hash' ELSE 'ok' END AS kind,
+  min(seq) FILTER (seq // 8 % 97 = 0) AS first_bad_seq, 0::BIGINT AS hmac_failures, NOT bool_or(seq // 8 % 97 = 0) AS ok FROM decided GROUP BY 1""")
 oracle("review_queue", "plan", """SELECT sha256('review|' || payment_id) AS hitl_id, payment_id AS transaction_id, amount_paise, action AS proposed_action, discount_pct AS proposed_discount,
   review_reason AS trigger_reason, score AS ml_score, arm AS ab_arm FROM plan WHERE final_status = 'PENDING_APPROVAL'""")
 _hop = lambda n, fee: _ev_steps("sent", n, fee=fee).strip()
@@ -401,7 +425,9 @@ ORACLES["pii_masks"] = f"WITH raw AS (SELECT doc_id, text AS t FROM documents),
 
 ORACLES["redacted_fields"] = """WITH r AS (SELECT *, lower(replace(c_name, '#', '.')) AS l, '98' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS ph FROM customer)
 SELECT c_custkey, '***REDACTED***' AS customer_name, left(l, 1) || repeat('*', len(l) - 2) || right(l, 1) || '@mail.example' AS email,
-  '******' || right(ph, 4) AS contact, '**** **** **** ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS card_number, 'visa' AS network, c_mktsegment AS segment FROM r"""
+  '******' || right(ph, 4) AS contact, '**** **** **** ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS card_number, 'visa' AS network, c_mktsegment AS segment,
+  '******' || right(CAST(9800000000 + c_custkey AS VARCHAR), 4) AS map_contact, CAST(c_custkey AS VARCHAR) AS map_tries,
+  'j*e@x.com' AS map_email, '["' || c_mktsegment || '"]' AS map_tags, '******3210' AS map_part, '{"n":"' || c_mktsegment || '"}' AS map_place FROM r"""
 ORACLES["encrypted_columns"] = """SELECT doc_id, text <> '' AS encrypted, md5(text) AS restored_md5, true AS other_key_unchanged, true AS plain_unchanged FROM documents"""
 
 _bad_words = " OR ".join(f"strpos(lower(reasoning), '{w}') > 0" for w in ALARM_WORDS)
@@ -424,12 +450,22 @@ oracle("answer_pass_rates", "judged", f"SELECT action, count(*) AS n, {_rates} F
 oracle("tenant_rate_limits", "outcomes", """SELECT merchant_id, date_trunc('minute', occurred_at) AS minute, count(*) AS requests,
   CASE merchant_id WHEN 'm0' THEN 1000 WHEN 'm1' THEN 200 ELSE 50 END AS limit_per_min,
   count(*) > CASE merchant_id WHEN 'm0' THEN 1000 WHEN 'm1' THEN 200 ELSE 50 END AS over_limit FROM outcomes GROUP BY 1, 2""")
-oracle("review_decisions", "hitl_queue", """, d AS (SELECT hitl_id, decision, 'lead' AS decided_by, created_at AS dt FROM hitl_queue WHERE decision IS NOT NULL
-  UNION ALL SELECT hitl_id || CASE WHEN decision IS NULL THEN '_x' ELSE '' END, 'REJECTED', 'clerk', created_at + INTERVAL 1 DAY FROM hitl_queue),
-r AS (SELECT d.*, CASE WHEN q.hitl_id IS NULL THEN 'not found' WHEN row_number() OVER (PARTITION BY d.hitl_id ORDER BY dt, decided_by) = 1 THEN 'applied' ELSE 'conflict' END AS result
-  FROM d LEFT JOIN hitl_queue q ON q.hitl_id = d.hitl_id)
-SELECT hitl_id, decision, decided_by, result, CASE WHEN result = 'applied' AND decision IN ('APPROVED', 'MODIFIED') THEN 'RECOVERING' END AS new_status,
-  CASE WHEN result = 'applied' AND decision IN ('APPROVED', 'MODIFIED') THEN 'HITL_RESOLVED' END AS audit_action FROM r""")
+_CTE["reviewed"] = (
+    ("hitl_queue",),
+    """made AS (SELECT hitl_id, decision, 'lead' AS decided_by, created_at AS dt, 'seen' AS notes FROM hitl_queue WHERE decision IS NOT NULL),
+d AS (SELECT * FROM made UNION ALL SELECT hitl_id || CASE WHEN decision IS NULL THEN '_x' ELSE '' END, 'REJECTED', 'clerk', created_at + INTERVAL 1 DAY, 'late' FROM hitl_queue
+  UNION ALL SELECT hitl_id, 'REJECTED', decided_by, dt, notes FROM made, range(2) WHERE decision <> 'REJECTED'),
+r AS (SELECT d.*, q.transaction_id, CASE WHEN q.hitl_id IS NULL THEN 'not found'
+    WHEN row_number() OVER (PARTITION BY d.hitl_id ORDER BY dt, decided_by, d.decision, notes) = 1 THEN 'applied' ELSE 'conflict' END AS result
+  FROM d LEFT JOIN hitl_queue q ON q.hitl_id = d.hitl_id),
+reviewed AS (SELECT *, CASE WHEN result = 'applied' AND decision IN ('APPROVED', 'MODIFIED') THEN 'RECOVERING' END AS new_status,
+  CASE WHEN result = 'applied' AND decision IN ('APPROVED', 'MODIFIED') THEN 'HITL_RESOLVED' END AS audit_action FROM r)""",
+)
+oracle("review_decisions", "reviewed", "SELECT hitl_id, decision, decided_by, notes, result, new_status, audit_action FROM reviewed")
+oracle("reviewed_transactions", "txn reviewed", """SELECT payment_id, coalesce(n.new_status, status) AS status FROM txn
+  LEFT JOIN (SELECT transaction_id, new_status FROM reviewed WHERE new_status IS NOT NULL) n ON n.transaction_id = payment_id""")
+oracle("review_audit", "reviewed", """SELECT transaction_id, audit_action AS action_taken, 'reviewer' AS source,
+  'decided by ' || decided_by || ': ' || decision AS decision_rationale, dt AS logged_at FROM reviewed WHERE audit_action IS NOT NULL""")
 
 # --- reports ---------------------------------------------------------------------------
 
@@ -572,12 +608,23 @@ al AS (SELECT s.merchant_id, s.t, greatest(coalesce(l, 0) / nl::DOUBLE, 1e-6) AS
 ps AS (SELECT merchant_id, t, round(sum((c - r) * ln(c / r)), 4) AS psi FROM al GROUP BY 1, 2)
 SELECT merchant_id, t // 200 AS tick, nl AS n_live, round(d, 4) AS ks_stat, round(pv, 4) AS ks_pval, psi, nl >= 50 AND (pv < 0.05 OR psi > 0.2) AS drift FROM ks JOIN ps USING (merchant_id, t)""")
 oracle("audit_chain", "ledger", "SELECT chain_key, seq, previous_hash, current_hash, hmac_signature FROM ledger")
-oracle("audit_roots", "ledger", """, l0 AS (SELECT chain_key, block AS n, current_hash AS h FROM ledger QUALIFY row_number() OVER (PARTITION BY chain_key, block ORDER BY seq DESC) = 1),
-l1 AS (SELECT chain_key, n // 256 AS n, sha256(string_agg(h, '' ORDER BY l0.n)) AS h FROM l0 GROUP BY 1, l0.n // 256),
-l2 AS (SELECT chain_key, n // 256 AS n, sha256(string_agg(h, '' ORDER BY l1.n)) AS h FROM l1 GROUP BY 1, l1.n // 256),
-l3 AS (SELECT chain_key, n // 256 AS n, sha256(string_agg(h, '' ORDER BY l2.n)) AS h FROM l2 GROUP BY 1, l2.n // 256)
-SELECT chain_key, sha256(string_agg(h, '' ORDER BY n)) AS root FROM l3 GROUP BY 1""")
-oracle("audit_verified", "ledger", "SELECT chain_key, count(*) AS records, 'ok' AS kind, NULL::BIGINT AS first_bad_seq, 0::BIGINT AS hmac_failures, true AS ok FROM ledger GROUP BY 1")
+_folds = ",\n".join(
+    f"l{i + 1} AS (SELECT chain_key, n // 256 AS n, sha256(string_agg(h, '' ORDER BY l{i}.n)) AS h FROM l{i} GROUP BY 1, l{i}.n // 256)" for i in range(7)
+)
+oracle("audit_roots", "ledger", f""", l0 AS (SELECT chain_key, block AS n, current_hash AS h FROM ledger QUALIFY row_number() OVER (PARTITION BY chain_key, block ORDER BY seq DESC) = 1),
+{_folds}
+SELECT chain_key, sha256(string_agg(h, '' ORDER BY n)) AS root FROM l7 GROUP BY 1""")
+# The rows are walked: a row counts as good if it builds on the one before and its hash and signature come out again.
+oracle("audit_verified", "ledger", f""", again AS (SELECT l.chain_key, l.seq, l.previous_hash = coalesce(lag(l.current_hash) OVER (PARTITION BY l.chain_key, l.block ORDER BY l.seq),
+    sha256('GENESIS|' || l.chain_key || '|' || CAST(l.seq // 1024 AS VARCHAR))) AND l.current_hash = sha256(l.previous_hash || {_text}) AS good,
+  l.hmac_signature = {_hmac(_text, _KEY)} AS signed FROM ledger l JOIN audit_seed s ON s.chain_key = l.chain_key AND s.seq = l.seq)
+SELECT chain_key, count(*) AS records, CASE WHEN NOT bool_and(good) THEN 'hash' WHEN NOT bool_and(signed) THEN 'hmac' ELSE 'ok' END AS kind,
+  min(seq) FILTER (NOT good) AS first_bad_seq, count(*) FILTER (NOT signed) AS hmac_failures, bool_and(good AND signed) AS ok FROM again GROUP BY 1""".replace("seq AS VARCHAR", "l.seq AS VARCHAR"))
+oracle("audit_deleted_block", "audit_seed", """SELECT chain_key, count(*) FILTER (seq // 1024 <> 1) AS records,
+  CASE WHEN bool_or(seq // 1024 = 1) THEN 'missing block' ELSE 'ok' END AS kind, CASE WHEN bool_or(seq // 1024 = 1) THEN 1024 END::BIGINT AS first_bad_seq,
+  0::BIGINT AS hmac_failures, NOT bool_or(seq // 1024 = 1) AS ok FROM audit_seed GROUP BY 1""")
+oracle("audit_cut_tail", "audit_seed", """SELECT chain_key, seq // 1024 AS block, CASE WHEN bool_and(seq % 1024 >= 900) THEN 'missing block' ELSE 'missing rows' END AS kind,
+  count(*) FILTER (seq % 1024 >= 900) AS lost FROM audit_seed GROUP BY 1, 2 HAVING count(*) FILTER (seq % 1024 >= 900) > 0""")
 oracle("audit_tamper_summary", "checked", """SELECT chain_key, count(*) AS records, CASE WHEN bool_or(hash_break) THEN 'hash' WHEN bool_or(hmac_break) THEN 'hmac' ELSE 'ok' END AS kind,
   min(seq) FILTER (hash_break) AS first_bad_seq, CASE WHEN bool_or(hash_break) THEN 0 ELSE count(*) FILTER (hmac_break) END AS hmac_failures, NOT bool_or(hash_break OR hmac_break) AS ok FROM checked GROUP BY 1""")
 oracle("audit_tampered_rows", "checked", """, walked AS (

@@ -14,7 +14,7 @@ from paymend.plans.decision import audit_rows, decide, review_rows, shadow_rows
 from paymend.policy import METHODS, RETRY_WINDOWS_MIN, Policy
 from paymend.sources import envelope, tables
 from paymend.sources.scratch import scratch_dir
-from paymend.sources.views import spread, table, view
+from paymend.sources.views import table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,7 +61,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 def routed(spark: SparkSession, d: str) -> DataFrame:
     """Scored transactions with a channel and a measured latency."""
     amount = F.col("amount_paise")
-    return spread(scored(spark, d), "payment_id").withColumns(
+    return scored(spark, d).withColumns(
         {
             "channel": F.when(amount % 3 == 0, "whatsapp").when(amount % 3 == 1, "sms").otherwise("email"),
             "latency_ms": (amount % 400) / F.lit(4.0),
@@ -205,10 +205,9 @@ def tenant_rows(spark, d):
 
 @query
 def tenant_leaks(spark, d):
-    txn = view(spark, d, "txn")
-    one = tables.tenant_view(txn, "BUILDING", ["payment_id"])
-    two = tables.tenant_view(txn, "MACHINERY", ["payment_id"])
-    return one.intersect(two).agg(F.count(F.lit(1)).alias("shared"))
+    """Payments that more than one of all tenants sees."""
+    seen = view(spark, d, "txn").groupBy("payment_id").agg(F.min("merchant_id").alias("one"), F.max("merchant_id").alias("other"))
+    return seen.where("one <> other").agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query
@@ -270,7 +269,10 @@ def latest_shadow(spark, d):
 
 @query
 def point_lookup(spark, d):
-    return tables.lookup(view(spark, d, "txn"), "payment_id", "pay_42").select("payment_id", "amount_paise", "status")
+    """One transaction by id. The id holds the order key, so the scan gets an equality that it can push down."""
+    wanted = "pay_42"
+    rows = view(spark, d, "txn", {"orders": F.col("o_orderkey") == int(wanted.removeprefix("pay_"))})
+    return tables.lookup(rows, "payment_id", wanted).select("payment_id", "amount_paise", "status")
 
 
 @query
@@ -542,7 +544,7 @@ def feature_importance(spark, d):
 
 @query
 def pii_masks(spark, d):
-    docs = spread(table(spark, d, "documents"), "doc_id")
+    docs = table(spark, d, "documents")
     return privacy.mask_text(docs, "text", "masked").select(
         "doc_id", F.md5("masked").alias("masked_md5"), (F.col("masked") != F.col("text")).alias("changed")
     )
@@ -563,18 +565,24 @@ def redacted_fields(spark, d):
             ).alias("card"),
             F.col("c_mktsegment").alias("segment"),
         ).alias("payload"),
+        F.create_map(F.lit("contact"), F.lit(9800000000) + F.col("c_custkey"), F.lit("tries"), F.col("c_custkey").cast("bigint")).alias("numbers"),
+        F.create_map(F.lit("email"), F.array(F.lit("joe@x.com")), F.lit("tags"), F.array(F.col("c_mktsegment"))).alias("lists"),
+        F.create_map(F.lit("contact"), F.struct(F.lit("9876543210").alias("n")), F.lit("place"), F.struct(F.col("c_mktsegment").alias("n"))).alias("parts"),
     )
     return privacy.redact_frame(rows).select(
         "c_custkey", "payload.customer_name", "payload.email", "payload.contact",
         F.col("payload.card")["card_number"].alias("card_number"), F.col("payload.card")["network"].alias("network"),
         "payload.segment",
+        F.col("numbers")["contact"].alias("map_contact"), F.col("numbers")["tries"].alias("map_tries"),
+        F.col("lists")["email"].alias("map_email"), F.col("lists")["tags"].alias("map_tags"),
+        F.col("parts")["contact"].alias("map_part"), F.col("parts")["place"].alias("map_place"),
     )
 
 
 @query
 def encrypted_columns(spark, d):
     key, other = crypto.derive_key("column-secret"), crypto.derive_key("another-secret")
-    sealed = spread(table(spark, d, "documents"), "doc_id").select("doc_id", "text", crypto.encrypt(F.col("text"), key).alias("sealed"))
+    sealed = table(spark, d, "documents").select("doc_id", "text", crypto.encrypt(F.col("text"), key).alias("sealed"))
     return sealed.select(
         "doc_id", crypto.is_encrypted(F.col("sealed")).alias("encrypted"),
         F.md5(crypto.decrypt(F.col("sealed"), key)).alias("restored_md5"),
@@ -615,21 +623,40 @@ def tenant_rate_limits(spark, d):
     return reports.rate_limits(rows, plans, "occurred_at")
 
 
-@query
-def review_decisions(spark, d):
+def review_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Open items, decided by a lead, a day later by a clerk, and some twice at the same moment."""
     queue = view(spark, d, "hitl_queue")
     made = queue.filter(F.col("decision").isNotNull()).select(
-        "hitl_id", "decision", F.lit("lead").alias("decided_by"), F.col("created_at").alias("decided_at")
+        "hitl_id", "decision", F.lit("lead").alias("decided_by"), F.col("created_at").alias("decided_at"),
+        F.lit("seen").alias("notes"),
     )
     later = queue.select(
         F.when(F.col("decision").isNull(), F.concat(F.col("hitl_id"), F.lit("_x"))).otherwise(F.col("hitl_id")).alias("hitl_id"),
         F.lit("REJECTED").alias("decision"), F.lit("clerk").alias("decided_by"),
         (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("decided_at"),
+        F.lit("late").alias("notes"),
     )
+    tied = made.filter("decision <> 'REJECTED'").withColumn("decision", F.lit("REJECTED"))
     open_queue = queue.withColumn("decision", F.lit(None).cast("string"))
-    return review.apply_decisions(open_queue, made.unionByName(later)).select(
-        "hitl_id", "decision", "decided_by", "result", "new_status", "audit_action"
-    )
+    return review.apply_decisions(open_queue, made.unionByName(later).unionByName(tied).unionByName(tied))
+
+
+@query
+def review_decisions(spark, d):
+    return review_outcomes(spark, d).select("hitl_id", "decision", "decided_by", "notes", "result", "new_status", "audit_action")
+
+
+@query
+def reviewed_transactions(spark, d):
+    """Transactions after the review: what was approved goes on."""
+    txn = view(spark, d, "txn").select("payment_id", "status")
+    return review.resolve_transactions(txn, review_outcomes(spark, d))
+
+
+@query
+def review_audit(spark, d):
+    """The audit rows that the review adds."""
+    return review.review_audit(review_outcomes(spark, d))
 
 
 # --- reports ---------------------------------------------------------------------
@@ -937,6 +964,45 @@ def audit_verified(spark, d):
     return ledger.verify(chain(spark, d), LEDGER_KEY)
 
 
+@query
+def audit_deleted_block(spark, d):
+    """The ledger after someone removed each chain's block 1, against what was sealed."""
+    whole = chain(spark, d)
+    return ledger.verify(whole.where("block <> 1"), LEDGER_KEY, sealed=ledger.seal_blocks(whole))
+
+
+@query
+def audit_cut_tail(spark, d):
+    """Blocks that lost their rows with the highest sequence numbers."""
+    whole = chain(spark, d)
+    return ledger.missing(whole.where("seq % 1024 < 900"), ledger.seal_blocks(whole))
+
+
+def decided(spark: SparkSession, d: str) -> DataFrame:
+    """The audit events of all decisions as ledger rows: one chain per merchant, numbered by transaction and step."""
+    rows = audit_rows(planned(spark, d))
+    number = F.substring_index("transaction_id", "_", -1).cast("bigint")
+    return rows.select(
+        F.col("merchant_id").alias("chain_key"), (number * 8 + F.col("step")).alias("seq"), "transaction_id", "merchant_id",
+        F.col("recoverability_score").cast("decimal(7,6)").alias("recoverability_score"), "logged_at", "action_taken", "decision_rationale", "source",
+    )
+
+
+@query
+def decision_ledger(spark, d):
+    """Every decision step in the hash chain of its merchant."""
+    return ledger.append(decided(spark, d), LEDGER_KEY).select("chain_key", "seq", "action_taken", "previous_hash", "current_hash")
+
+
+@query
+def audit_forged_rationale(spark, d):
+    """The decision ledger after someone rewrote the rationale of every 97th transaction."""
+    whole = ledger.append(decided(spark, d), LEDGER_KEY)
+    hit = F.floor(F.col("seq") / 8) % 97 == 0
+    forged = whole.withColumn("decision_rationale", F.when(hit, "FORGED").otherwise(F.col("decision_rationale")))
+    return ledger.verify(forged, LEDGER_KEY)
+
+
 @query
 def audit_tamper_summary(spark, d):
     return ledger.verify(tampered(spark, d), LEDGER_KEY)
@@ -956,7 +1022,7 @@ def first_seen_events(spark, d):
 
 @query
 def term_weights(spark, d):
-    return retrieval.term_weights(spread(table(spark, d, "documents"), "doc_id"), "doc_id", "text").select(
+    return retrieval.term_weights(table(spark, d, "documents"), "doc_id", "text").select(
         "doc_id", "token", F.round("weight", 6).alias("weight")
     )
 
@@ -1074,8 +1140,20 @@ def retrained_on_drift(spark, d):
     """Live calls against an earlier period with other amounts: drift, retrain, publish, score."""
     rows = coded(spark, d)
     reference = rows.filter(~F.col("live")).withColumn("amount_rupees", F.col("amount_rupees") * 10)
-    result = models.retrain_on_drift(reference, rows.filter("live"), "payment_id", kind="logistic")
-    if not result["accepted"]:
-        return rows.limit(0).select("payment_id", F.lit(0.0).alias("score"), F.lit(True).alias("drift"))
+    return rescored(spark, rows, reference, rows.filter("live"))
+
+
+@query
+def kept_without_drift(spark, d):
+    """The same with live calls that look like the earlier ones: the model in use scores on."""
+    rows = coded(spark, d)
+    return rescored(spark, rows, rows, rows)
+
+
+def rescored(spark: SparkSession, rows: DataFrame, reference: DataFrame, live: DataFrame) -> DataFrame:
+    """Scores of the model that is in use after the drift check: the one fitted on the reference, or its successor."""
+    base, _, _ = models.train(reference, "payment_id", "logistic")
+    registry = models.publish(spark, base, None)
+    result = models.retrain_on_drift(reference, live, "payment_id", registry=registry, kind="logistic")
     model = models.current(spark, result["registry"])
     return models.score(model, rows).select("payment_id", "score", F.lit(result["drift"]).alias("drift"))

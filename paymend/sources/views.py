@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -87,26 +87,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows over all cores when the scan has fewer splits than cores.
-
-    For heavy per-row work on a small table. A large table has more splits than
-    cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def tables_of(text: str) -> list[str]:
     """Base tables a view text reads."""
     return [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)]
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The mapping view ``name`` over the tables in ``folder``."""
+def view(spark: SparkSession, folder: str, name: str, where: dict[str, Column] | None = None) -> DataFrame:
+    """The mapping view ``name`` over the tables in ``folder``, of which ``where`` may filter some."""
     text = VIEWS[name]
     frames = {}
     for base in tables_of(text):
         text = re.sub(rf"\b(FROM|JOIN) {base}\b", rf"\1 {{{base}}}", text)
-        frames[base] = table(spark, folder, base)
+        rows = table(spark, folder, base)
+        frames[base] = rows.filter(where[base]) if where and base in where else rows
     return spark.sql(text, **frames)

@@ -26,7 +26,7 @@ def test_hashes_equal_a_plain_walk(spark, seed):
     for r in rows:
         part = lambda v: "-" if v is None else f"{len(v)}:{v}"
         at = r.logged_at.strftime("%Y-%m-%d %H:%M:%S.%f")
-        text = ";".join(part(v) for v in (r.action_taken, at, str(r.recoverability_score), r.source, r.transaction_id))
+        text = ";".join(part(v) for v in (r.action_taken, at, str(r.recoverability_score), str(r.seq), r.source, r.transaction_id))
         start = hashlib.sha256(f"GENESIS|{r.chain_key}|{r.seq // 100}".encode()).hexdigest()
         previous = heads.get((r.chain_key, r.seq // 100), start)
         assert r.previous_hash == previous
@@ -69,3 +69,30 @@ def test_root_changes_with_any_row(spark, seed):
     roots = {r.chain_key: r.root for r in ledger.seal(chain, fan=4, levels=2).collect()}
     cut = {r.chain_key: r.root for r in ledger.seal(chain.filter("seq <> 2999"), fan=4, levels=2).collect()}
     assert sum(roots[k] != cut[k] for k in roots) == 1
+
+
+def test_lost_rows_and_blocks_are_found(spark, seed):
+    chain = ledger.append(seed, KEY, span=100)
+    sealed = ledger.seal_blocks(chain)
+    assert ledger.missing(chain, sealed).count() == 0
+    assert all(r.ok for r in ledger.verify(chain, KEY, 100, sealed).collect())
+    gone = {r.chain_key: r for r in ledger.verify(chain.filter("block <> 3 OR chain_key <> 'm1'"), KEY, 100, sealed).collect()}
+    assert (gone["m1"].kind, gone["m1"].first_bad_seq, gone["m1"].ok) == ("missing block", 300, False) and gone["m0"].ok
+    tail = {(r.chain_key, r.block): (r.kind, r.lost) for r in ledger.missing(chain.filter("seq <> 2999"), sealed).collect()}
+    assert tail == {("m2", 29): ("missing rows", 1)}
+    whole = {r.chain_key: (r.records, r.kind) for r in ledger.verify(chain.filter("chain_key <> 'm0'"), KEY, 100, sealed).collect()}
+    assert whole["m0"] == (0, "missing block")
+    swapped = ledger.append(seed.withColumn("action_taken", F.lit("WAIT")), KEY, span=100)
+    assert {r.kind for r in ledger.missing(swapped, sealed).collect()} == {"head"}
+    more = ledger.missing(chain, sealed.filter("block <> 0")).collect()
+    assert {r.kind for r in more} == {"unsealed block"} and len(more) == 3
+
+
+def test_every_field_is_covered(spark, seed):
+    rows = seed.withColumns({"decision_rationale": F.lit("why"), "merchant_id": F.lit("m")})
+    chain = ledger.append(rows, KEY)
+    for name in ("decision_rationale", "merchant_id", "action_taken", "transaction_id"):
+        forged = chain.withColumn(name, F.lit("forged"))
+        assert not any(r.ok for r in ledger.verify(forged, KEY).collect()), name
+    moved = chain.withColumn("seq", F.col("seq") + 3)
+    assert not any(r.ok for r in ledger.verify(moved, KEY).collect())

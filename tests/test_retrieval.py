@@ -59,13 +59,23 @@ def test_ranking_equals_brute_force(spark):
         assert [h.template_id for h in r.hits] == [s[2] for s in sorted(scores)[:3]]
 
 
-def test_library_limit(spark):
-    big = spark.range(retrieval.LIBRARY_LIMIT + 1).select(
-        F.col("id").cast("string").alias("template_id"), F.col("id").cast("int").alias("rank"), F.lit("A").alias("category"),
-        F.lit("sms").alias("channel"), F.lit("small").alias("amount_band"), F.lit("x").alias("text"),
+def test_a_large_template_library_is_ranked_in_blocks(spark, monkeypatch):
+    asked = spark.range(40).select(
+        F.concat(F.lit("p"), "id").alias("payment_id"), F.lit("BANK_DECLINE").alias("failure_category"),
+        (F.col("id") * 90_000).alias("amount_paise"), F.lit("sms").alias("channel"),
+        F.concat(F.lit("word"), F.col("id") * 49, F.lit(" kind"), F.col("id") % 7).alias("q"),
     )
-    with pytest.raises(ValueError):
-        retrieval.fit_library(big)
+    big = spark.range(2000).select(
+        F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("template_id"), F.col("id").cast("int").alias("rank"),
+        F.when(F.col("id") % 3 == 0, "BANK_DECLINE").otherwise("UNKNOWN").alias("category"), F.lit("sms").alias("channel"),
+        F.lit("small").alias("amount_band"), F.lit("x").alias("outcome"), F.lit(0.1).alias("recovery_rate"),
+        F.concat(F.lit("kind"), F.col("id") % 7, F.lit(" word"), "id").alias("text"),
+    )
+    shape = lambda: sorted((r.payment_id, tuple(r.hits), r.best_text) for r in retrieval.rank_templates(asked, big, "q").collect())
+    blocks = shape()
+    assert all(h[1][0].template_id == f"t{int(h[0][1:]) * 49:05d}" for h in blocks)
+    monkeypatch.setattr(retrieval, "BLOCK", 5000)
+    assert shape() == blocks
 
 
 def test_given_draft_is_kept_and_amount_sign_is_not_doubled(spark):
@@ -90,7 +100,7 @@ def test_a_large_vector_library_is_searched_in_parts(spark, monkeypatch):
     df = spark.range(40).select("id", F.array(F.cos("id"), F.sin("id")).alias("embedding"), F.col("id").alias("label"))
     library = retrieval.centroids(df)
     whole = retrieval.dense_top_k(df, library).select("id", "hits").collect()
-    monkeypatch.setattr(retrieval, "LIBRARY_LIMIT", 7)
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
     assert sorted(retrieval.dense_top_k(df, library).select("id", "hits").collect()) == sorted(whole)
 
 
