@@ -22,25 +22,25 @@ from pyspark.sql import DataFrame, functions as F
 from paymend.llm import partenum
 from paymend.llm.batches import chunks, emit, map_chunks, mix, raw
 from paymend.llm.components import components
-from paymend.llm.shingles import set_digest, shingle_sets, similar
+from paymend.llm.shingles import SKETCH, set_digest, shingle_sets, similar, sketch
 from paymend.sources.scratch import materialise
 
 #: Signatures that a map task gathers before it sends them on, and that a bucket should hold.
 FLUSH, BUCKET = 2_000_000, 500_000
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
 _PACKED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("tops", pa.binary()), ("lows", pa.binary()), ("which", pa.binary()), ("tied", pa.binary())])
 _MEMBER = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
 
 
 def shingle_table(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2): size and 128-bit name of each document's set."""
+    """(doc_id, n_shingles, d1, d2, sketch): size, 128-bit name and sketch of each document's set."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(raw(batch), width)
         names = [set_digest(s) for s in sets]
-        return emit(_SETS, doc_id=batch.column("doc_id"), n_shingles=[len(s) for s in sets], d1=[a for a, _ in names], d2=[b for _, b in names])
+        return emit(_SETS, doc_id=batch.column("doc_id"), n_shingles=[len(s) for s in sets], d1=[a for a, _ in names], d2=[b for _, b in names], sketch=[sketch(s) for s in sets])
 
-    return map_chunks(docs.select("doc_id", "text"), work, "doc_id long, n_shingles long, d1 long, d2 long")
+    return map_chunks(docs.select("doc_id", "text"), work, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
 
 
 def _pack(sig: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -126,6 +126,25 @@ def shared_signatures(docs: DataFrame, width: int, percent: int, buckets: int) -
     return packed.groupBy("bucket").applyInArrow(shared, "sig long, doc_id long")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose sizes and sketches do not rule similarity out; exact, as sketches only bound from below."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                cells = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, SKETCH).astype(np.int16) for c in ("sketch_a", "sketch_b")]
+                differ = abs(cells[0] - cells[1]).sum(axis=1)
+                x, y = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
+                # 100 * i >= p * u with i + u = x + y and u - i >= differ
+                ok = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (differ * (100 + percent) <= (x + y) * (100 - percent))
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    left, right = (sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    joined = pairs.repartition("a", "b").join(left, "a").join(right, "b")
+    return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(check, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) pairs whose texts are similar. Rows of one b follow each other, so its set is kept."""
 
@@ -142,7 +161,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+    return pairs.repartition("b", "a").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -157,7 +176,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sets = materialise(shingle_table(docs, width), "shingles")
+    sets = known = materialise(shingle_table(docs, width), "shingles")
     classes = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     sets = materialise(sets.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", "rep"), "classes")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
@@ -168,24 +187,29 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     rep_of = sets.where("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
     members = materialise(shared.join(rep_of, "doc_id").select("sig", "rep").distinct(), "members")
     hubs = members.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").drop("top")
-    pairs = materialise(members.join(hubs, "sig").where("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    compared = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(docs.join(compared, "doc_id", "left_semi").distinct(), "texts")
-    links = materialise(_verified(pairs, texts, width, percent), "links")
+    pairs = members.join(hubs, "sig").where("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    # A document with several texts is compared by each of them.
+    pairs = materialise(_possible(pairs, known, percent).distinct(), "pairs")
+    links = _verified(pairs, _texts(docs, pairs), width, percent)
     # One document with several texts ties their classes.
     ties = rep_of.where("rep <> doc_id").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b")
     ties = rep_of.join(ties.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b")
     links = materialise(links.unionByName(ties), "links")
     parts = components(links)
-    open_pairs = materialise(_open_pairs(members, hubs, parts), "pairs")
+    open_pairs = materialise(_possible(_open_pairs(members, hubs, parts), known, percent).distinct(), "pairs")
     if not open_pairs.isEmpty():
-        # All that they name was compared with a hub before, so its text is there.
-        more = _verified(open_pairs, texts, width, percent)
+        more = _verified(open_pairs, _texts(docs, open_pairs), width, percent)
         parts = components(links.unionByName(more))
     out = sets.join(parts, sets.rep == parts.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts that ``pairs`` name."""
+    named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return materialise(docs.join(named, "doc_id", "left_semi").distinct(), "texts")
+
+
 def _open_pairs(members: DataFrame, hubs: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs of a group that are in different components and of which neither is the group's hub."""
     part = parts.withColumnRenamed("node", "rep").withColumnRenamed("component", "part")

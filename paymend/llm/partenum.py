@@ -14,8 +14,9 @@ from paymend.llm.batches import mix
 #: (differences allowed inside a first-level part, sub-parts of it): the first that a similarity reaches is used.
 #: Looser similarities leave smaller parts, for which subsets are empty too often, so parts stay whole there.
 SHAPES = ((90, 1, 2), (0, 0, 1))
-#: Levels of signatures put in place of an empty subset before it is emitted plainly.
-DEPTH = 3
+#: Levels of signatures put in place of an empty subset before it is emitted plainly, and empty subsets that sets of an
+#: instance have on average up to which that is done. With more, spared parts make it rare that one is emitted at all.
+DEPTH, FEW = 3, 0.5
 #: Chance that a set has more parts with an empty subset than an instance has spare parts.
 RARE = 1e-4
 
@@ -39,6 +40,7 @@ class Instance:
     k: int
     n1: int
     spare: int
+    deeper: bool
 
 
 def _instance(number: int, high: int, smallest: int, percent: int) -> Instance:
@@ -53,7 +55,7 @@ def _instance(number: int, high: int, smallest: int, percent: int) -> Instance:
         tail = 1.0 if more <= rate else math.exp(more - rate + more * math.log(rate / more)) if rate else 0.0
         cost = count * (1 + tail * max(1.0, rate))
         if best is None or cost < best[0]:
-            best = cost, Instance(number, high, k, n1, spare)
+            best = cost, Instance(number, high, k, n1, spare, rate <= FEW)
         if tail < RARE or spare > k + 16:
             break
     return best[1]
@@ -73,7 +75,7 @@ def bands(percent: int) -> tuple[Instance, ...]:
 @lru_cache(maxsize=16)
 def _tables(percent: int) -> tuple[np.ndarray, ...]:
     rows = bands(percent)
-    return tuple(np.array([getattr(b, f) for b in rows], np.int64) for f in ("high", "k", "n1", "spare"))
+    return tuple(np.array([getattr(b, f) for b in rows], np.int64) for f in ("high", "k", "n1", "spare", "deeper"))
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
@@ -82,7 +84,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     Sets that can only be similar to equal ones get none, nor does the empty set.
     """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    high, k, _, _ = _tables(percent)
+    high, k, *_ = _tables(percent)
     band = np.searchsorted(high, sizes)
     # A set signs for its own band, as the larger of a pair, and for the next, as the smaller.
     owner = np.repeat(np.arange(len(sets)), 2)
@@ -99,7 +101,7 @@ def _level(sets, number, tag, percent, depth):
     """Signatures of ``sets[i]`` under instance ``number[i]``, and the i of each."""
     if not len(sets):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    _, _, n1s, spares = _tables(percent)
+    _, _, n1s, spares, deeper = _tables(percent)
     _, parts, subsets = shape(percent)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     n1, values = n1s[number], np.concatenate(sets)
@@ -128,9 +130,13 @@ def _level(sets, number, tag, percent, depth):
     left = empty & short[part_of][:, None]
     if left.any():
         tags, owner = found[left], of[left]
-        if depth < DEPTH:  # sets that agree on an empty subset still agree on a signature of all their elements
-            tags, inner = _level([sets[i] for i in owner], number[owner], tags, percent, depth + 1)
-            owner = owner[inner]
-        out.append(tags)
-        owners.append(owner)
+        # Sets that agree on an empty subset still agree on a signature of all their elements.
+        few = deeper[number][owner].astype(bool) & (depth < DEPTH)
+        out.append(tags[~few])
+        owners.append(owner[~few])
+        tags, owner = tags[few], owner[few]
+        if len(tags):
+            more, inner = _level([sets[i] for i in owner], number[owner], tags, percent, depth + 1)
+            out.append(more)
+            owners.append(owner[inner])
     return np.concatenate(out), np.concatenate(owners)

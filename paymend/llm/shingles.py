@@ -12,6 +12,7 @@ _LETTERS = mix(np.arange(256))
 _LETTERS[65:91] = _LETTERS[97:123]  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+SKETCH = 256
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -87,6 +88,12 @@ def set_digest(values: np.ndarray) -> tuple[int, int]:
     return int(a.sum().astype(np.int64)), int(b.sum().astype(np.int64))
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """How many elements fall into each of SKETCH cells. Two sets differ in as many elements at least as their sketches do."""
+    cells = (mix(values ^ np.uint64(0x8EBC6AF09C88C6E3)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, for sorted distinct hashes."""
     small, large = min(len(a), len(b)), max(len(a), len(b))
