@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 CHUNK_BYTES = 1_000_000
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds some ``CHUNK_BYTES`` at most, or a single row."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that ``column`` holds some ``size`` bytes at most, or a single row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -23,7 +23,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -11,6 +11,7 @@ sequences), which tasks look up by a piece's number among the pieces of its leng
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,8 @@ from paymend.sources.scratch import materialise
 CAPACITY, END_ID = 4096, 1
 #: Lengths up to a capacity's sixteenth are small. Groups of large lengths.
 SMALL_SHARE, GROUPS = 16, 160
-#: Pieces numbered by one window group, and words a worker remembers.
-BLOCK, WORDS = 500, 300_000
+#: Pieces numbered by one window group, words that each of a worker's two generations remembers, and bytes of text tokenized at once.
+BLOCK, WORDS, TEXT_BYTES = 500, 60_000, 250_000
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 #: What the tokenizer's pattern makes of a Latin-1 character: 0 white space, 1 letter, 2 digit (each its own), 3 other.
 _CLASS = np.full(256, 3, np.uint8)
@@ -43,6 +44,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -136,7 +138,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _TOKENS:
             _TOKENS[tokenizer] = WordTokens(tokenizer)
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=TEXT_BYTES):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), _TOKENS[tokenizer].encode(batch.column("text").to_pylist())):
                 ids += end
