@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -33,3 +37,15 @@ def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
+
+
+def ship(spark: SparkSession) -> str:
+    """Send this package to the executors, for clusters where it is not installed.
+
+    The archive is fetched by every executor, also by one that joins later. Returns its path.
+    """
+    package = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="paymend-")) / package.name
+    archive = shutil.make_archive(str(base), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    return archive

@@ -30,3 +30,12 @@ def test_materialise_reads_back_what_was_written(spark):
 
 def test_an_absolute_label_is_its_own_home(spark):
     assert scratch.home(spark, "/shared/job") == "/shared/job"
+
+
+def test_the_shipped_archive_holds_the_package(spark):
+    import zipfile
+
+    from paymend.session import ship
+
+    names = zipfile.ZipFile(ship(spark)).namelist()
+    assert "paymend/session.py" in names and "paymend/operators/ledger.py" in names
