@@ -484,6 +484,10 @@ oracle("shadow_summary", "shadow_plan", """SELECT count(*) AS total_events, coun
   CAST(sum(recoverable_amt) AS DECIMAL(30,2)) AS total_recoverable, count(DISTINCT payment_id) AS unique_transactions FROM shadow_plan WHERE ev_decision = 'BYPASS'""")
 oracle("dispatch_summary", "ranked", """SELECT count(*) AS total_dispatches, 0::BIGINT AS llm_drafted, count(*) AS template_only, round(avg(top_similarity), 4) AS avg_similarity,
   round(avg(latency_ms), 4) AS avg_latency_ms, count(DISTINCT failure_category) AS unique_categories FROM message_log""")
+oracle("message_audit", "ranked", """SELECT payment_id AS transaction_id, 'RAG_PERSONALIZED' AS action_taken, 'templates ' || retrieved_ids || ' similarity '
+  || CAST(CAST(CAST(top_similarity AS VARCHAR) AS DECIMAL(6,3)) AS VARCHAR) || ' channel ' || channel AS decision_rationale, 'system' AS source FROM message_log""")
+oracle("message_log_appended", "ranked", """SELECT sha256(payment_id || '|' || channel) AS rag_log_id, payment_id, channel, top_similarity FROM message_log
+  WHERE CAST(split_part(payment_id, '_', 2) AS BIGINT) % 2 = 1""")
 oracle("dispatch_by_category", "ranked", "SELECT failure_category, count(*) AS dispatches, round(avg(top_similarity), 4) AS avg_sim FROM message_log GROUP BY 1")
 oracle("template_influence", "ranked", "SELECT template_id, count(*) AS uses FROM ranked GROUP BY 1")
 

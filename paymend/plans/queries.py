@@ -692,6 +692,20 @@ def shadow_summary(spark, d):
     return reports.shadow_summary(shadow_rows(planned(spark, d, policy), policy))
 
 
+@query
+def message_audit(spark, d):
+    """The audit row of every personalised message."""
+    return retrieval.dispatch_audit(message_log(spark, d))
+
+
+@query
+def message_log_appended(spark, d):
+    """Messages that the log does not hold yet; the log has those of even order keys."""
+    log = message_log(spark, d).select("rag_log_id", "payment_id", "channel", "top_similarity", "created_at")
+    stored = log.where(F.substring_index("payment_id", "_", -1).cast("bigint") % 2 == 0).select("rag_log_id")
+    return tables.insert_or_ignore(stored, log, "rag_log_id", F.struct("created_at", "payment_id")).select("rag_log_id", "payment_id", "channel", "top_similarity")
+
+
 @query
 def dispatch_summary(spark, d):
     return reports.dispatch_summary(message_log(spark, d))

@@ -63,11 +63,11 @@ def partial_update(snapshot: DataFrame, updates: DataFrame, key: str = "payment_
 
 
 def insert_or_ignore(table: DataFrame, rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """Rows of ``rows`` to append: first per key by ``order``, keys already stored left out."""
+    """Rows of ``rows`` to append: first per key by ``order``, keys already stored left out before anything is sorted."""
     others = [c for c in rows.columns if c != key]
-    first = rows.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("_row"))
-    fresh = first.select(key, "_row.*").select(*rows.columns)
-    return fresh.join(table.select(key), key, "left_anti")
+    fresh = rows.join(table.select(key), key, "left_anti")
+    first = fresh.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("_row"))
+    return first.select(key, "_row.*").select(*rows.columns)
 
 
 def tenant_view(df: DataFrame, tenant: str | None, columns: list[str] | None = None) -> DataFrame:
