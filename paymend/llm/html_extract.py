@@ -164,16 +164,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
     pages_of = rows.groupBy("host", "path").agg(F.approx_count_distinct("page", 0.02).alias("m"))
     values = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"))
     # Style: entropy over the variants, zero for one. Content: one less the mean entropy of a value's spread over pages.
-    joined = values.join(pages_of.where(F.col("m") >= LEAST_PAGES), ["host", "path"]).withColumn("lm", F.log(F.col("m").cast("double")))
-    total = joined.groupBy("host", "path", "lm").agg(
+    # Only sums leave the tasks, so a host with a third of all pages costs no task more than others.
+    total = values.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("n"),
         F.sum(F.when(F.col("kind") == 0, F.col("k") * F.log("k"))).alias("klogk"),
         F.count(F.when(F.col("kind") == 0, 1)).alias("styles"),
-        F.avg(F.when(F.col("kind") == 1, F.least(F.lit(1.0), F.log("k") / F.col("lm")))).alias("spread"),
+        F.avg(F.when(F.col("kind") == 1, F.log("k"))).alias("mean_log"),
     )
+    total = total.join(pages_of.where(F.col("m") >= LEAST_PAGES), ["host", "path"]).withColumn("lm", F.log(F.col("m").cast("double")))
     shape = F.least(F.lit(1.0), (F.log("n") - F.col("klogk") / F.col("n")) / F.col("lm"))
+    spread = F.least(F.lit(1.0), F.col("mean_log") / F.col("lm"))
     weight = F.pow(F.lit(CONTENT), F.col("styles"))
-    scored = total.select("host", "path", ((1 - weight) * shape + weight * (1 - F.col("spread"))).alias("importance"))
+    scored = total.select("host", "path", ((1 - weight) * shape + weight * (1 - spread)).alias("importance"))
     return scored.where(F.col("importance") < NOISE).groupBy("host").agg(F.collect_set("path").alias("noise"))
 
 
