@@ -89,19 +89,21 @@ def shared_signatures(docs: DataFrame, width: int, percent: int, buckets: int) -
     """(sig, doc_id) of every signature that two rows or more have."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, seen = [], 0, set()
         for batch in chunks(batches):
-            sets = shingle_sets(raw(batch), width)
-            found = partenum.signatures(sets, percent)
-            known = np.asarray(batch.column("doc_id").is_valid())
-            ids = np.asarray(batch.column("doc_id").fill_null(0))
-            for s, i, ok in zip(found, ids, known):
-                if ok and len(s):
+            rows = []
+            for s, i in zip(shingle_sets(raw(batch), width), batch.column("doc_id").to_pylist()):
+                name = set_digest(s)
+                if i is not None and name not in seen:  # equal sets are one class, so one of them signs
+                    seen.add(name)
+                    rows.append((s, i))
+            for s, (_, i) in zip(partenum.signatures([s for s, _ in rows], percent), rows):
+                if len(s):
                     held.append((s, np.full(len(s), i)))
                     size += len(s)
             if size >= FLUSH:
                 yield _pack(*map(np.concatenate, zip(*held)), buckets)
-                held, size = [], 0
+                held, size, seen = [], 0, set()
         if held:
             yield _pack(*map(np.concatenate, zip(*held)), buckets)
 
