@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +29,31 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def grams_of(words: list[str]) -> np.ndarray:
-    """Codes of all n-grams of the words, each word between blanks."""
-    if not words:
+@lru_cache(maxsize=1)
+def _letter_table() -> np.ndarray:
+    return np.array([bool(_LETTERS.fullmatch(chr(i))) for i in range(1 << 16)])
+
+
+def grams_of(text: str | None) -> np.ndarray:
+    """Codes of all n-grams of the words of a text, each word between blanks."""
+    if not text:
         return np.empty(0, np.int64)
-    points = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), "<u4").astype(np.int64)
-    out = [points[points != 32]]
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    if points.max() < 1 << 16:
+        points[~_letter_table()[points]] = 32
+    else:
+        points = np.frombuffer(f" {' '.join(words_of(text))} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    blank = points == 32
+    out = [points[~blank]]
     for n in range(2, LONGEST + 1):
-        code, inner = points[: len(points) - n + 1], np.zeros(len(points) - n + 1, bool)
+        count = len(points) - n + 1
+        code, inner = points[:count], np.zeros(count, bool)
         for i in range(1, n):
-            code = code << 21 | points[i : len(points) - n + 1 + i]
+            code = code << 21 | points[i : count + i]
             if i < n - 1:
-                inner |= points[i : len(points) - n + 1 + i] == 32
-        out.append(code[~inner])
+                inner |= blank[i : count + i]
+        # A blank is only an end of a word, so two in a row are nothing.
+        out.append(code[~(inner | (blank[:-1] & blank[1:] if n == 2 else False))])
     return np.concatenate(out)
 
 
@@ -51,7 +64,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         distinct = list(words)
         codes, times = [], []
         for word in distinct:
-            found = grams_of([word])
+            found = grams_of(word)
             codes.append(found)
             times.append(np.full(len(found), words[word]))
         gram, place = np.unique(np.concatenate(codes), return_inverse=True)
@@ -99,7 +112,7 @@ class Ranker:
 
     def distances(self, text: str | None) -> np.ndarray | None:
         """Mean rank difference to each profile as a share of the worst one; None for a text without letters."""
-        codes = grams_of(words_of(text))
+        codes = grams_of(text)
         if not len(codes):
             return None
         codes.sort()
