@@ -685,7 +685,7 @@ SELECT payment_id, method AS payment_method, minutes AS retry_timing_minutes, CA
 ORACLES["stream_round_trip"] = "SELECT CAST(event_id AS VARCHAR) AS key, user_id, event_type FROM events"
 _CTE["env"] = (
     ("txn",),
-    """env AS (SELECT * EXCLUDE (k) REPLACE (0 AS recovery_attempts, CASE WHEN k % 3 <> 0 AND failure_reason IS NOT NULL THEN failure_reason ELSE 'declined at source' END AS failure_reason)
+    """env AS (SELECT * EXCLUDE (k) REPLACE (CASE WHEN k % 3 <> 0 AND failure_reason IS NOT NULL THEN failure_reason ELSE 'declined at source' END AS failure_reason)
   FROM (SELECT *, CAST(split_part(payment_id, '_', 2) AS BIGINT) AS k FROM txn) WHERE k % 17 <> 0 AND k % 13 <> 0 AND k % 29 <> 0 AND k % 23 <> 0)""",
 )
 _CTE["env_plan"] = (
@@ -697,6 +697,9 @@ oracle("stream_decisions", "env_plan", "SELECT payment_id, merchant_id, amount_p
 oracle("dead_letters", "txn", """, k AS (SELECT CAST(split_part(payment_id, '_', 2) AS BIGINT) AS k FROM txn),
 r AS (SELECT CASE WHEN k % 17 = 0 THEN 'malformed' WHEN k % 13 = 0 THEN NULL WHEN k % 29 = 0 THEN 'no order_id' WHEN k % 23 = 0 THEN 'amount not positive' END AS reason FROM k)
 SELECT reason, 0 AS attempt, count(*) AS n, (SELECT count(reason) FROM r) AS replayable FROM r WHERE reason IS NOT NULL GROUP BY 1""")
+oracle("dead_letters_replayed", "txn", """, k AS (SELECT merchant_id, CAST(split_part(payment_id, '_', 2) AS BIGINT) AS k FROM txn),
+r AS (SELECT merchant_id, CASE WHEN k % 17 = 0 THEN 'malformed' WHEN k % 13 = 0 THEN NULL WHEN k % 29 = 0 THEN 'no order_id' WHEN k % 23 = 0 THEN 'amount not positive' END AS reason FROM k)
+SELECT merchant_id, reason, 1 AS attempt, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1, 2""")
 ORACLES["stream_first_seen"] = ORACLES["first_seen_events"]
 oracle("stream_minute_counters", "outcomes", "SELECT date_trunc('minute', occurred_at) AS minute, merchant_id, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS amount_paise FROM outcomes GROUP BY 1, 2")
 oracle("stream_failure_bins", "outcomes", "SELECT time_bucket(INTERVAL 5 MINUTE, occurred_at) AS bin_start, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS amount_paise FROM outcomes GROUP BY 1")

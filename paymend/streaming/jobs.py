@@ -57,13 +57,15 @@ def decision_stream(
     text: str = "raw",
     event_time: str = "received_at",
     ttl_seconds: int = 86400,
+    attempts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Envelopes in, decisions and dead letters out.
 
     Accepted events pass the payment id's time-to-live lock once, then are
-    decided by the same plan as in batch. Rejected ones all go to the
-    dead-letter table with payload, reason, attempt and time. Returns both
-    tables.
+    decided by the same plan as in batch, with the attempts made so far: those
+    of ``attempts`` (payment_id, recovery_attempts) and the actions this job
+    triggered in earlier batches. Rejected ones all go to the dead-letter table
+    with payload, reason, attempt, time and tenant. Returns both tables.
     """
     spark = raw.sparkSession
     decisions, rejects = BatchTable(spark, label), BatchTable(spark, f"{label}-rejects")
@@ -75,9 +77,14 @@ def decision_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         parsed = envelope.parse_events(batch, text).withColumn("merchant_id", merchant)
         good = parsed.filter(F.col("outcome") == "accepted").withColumn("body", F.struct(*fields))
-        once = locks.pass_through(good, batch_id).select("payment_id", "body.*").withColumns(
-            {"created_at": F.timestamp_seconds("event_epoch"), "recovery_attempts": F.lit(0)}
+        once = locks.pass_through(good, batch_id).select("payment_id", "body.*").withColumn(
+            "created_at", F.timestamp_seconds("event_epoch")
         )
+        made = _attempts_before(attempts, decisions.read(batch_id))
+        if made is None:
+            once = once.withColumn("recovery_attempts", F.lit(0))
+        else:
+            once = once.join(made, "payment_id", "left").withColumn("recovery_attempts", F.coalesce("recovery_attempts", F.lit(0)))
         planned = decide(once, policy).select(
             "payment_id", "order_id", "merchant_id", "amount_paise", "failure_category", "score", "arm",
             "action", "final_status", "ev_rupees",
@@ -85,7 +92,7 @@ def decision_stream(
         decisions.write(planned, batch_id)
         bad = parsed.filter(F.col("outcome") == "rejected").select(
             F.col(text).alias("payload"), F.col("reject_reason").alias("reason"),
-            attempt.alias("attempt"), F.col(event_time).alias("failed_at"),
+            attempt.alias("attempt"), F.col(event_time).alias("failed_at"), "merchant_id",
         )
         rejects.write(bad, batch_id)
 
@@ -93,10 +100,23 @@ def decision_stream(
     return decisions.read().drop("batch_id"), rejects.read().drop("batch_id")
 
 
+def _attempts_before(known: DataFrame | None, decided: DataFrame | None) -> DataFrame | None:
+    """Attempts per payment: those known from outside and the actions triggered since."""
+    parts = []
+    if known is not None:
+        parts.append(known.select("payment_id", F.col("recovery_attempts").cast("int").alias("n")))
+    if decided is not None:
+        parts.append(decided.filter("final_status = 'ACTION_TRIGGERED'").select("payment_id", F.lit(1).alias("n")))
+    if not parts:
+        return None
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.groupBy("payment_id").agg(F.sum("n").cast("int").alias("recovery_attempts"))
+
+
 def replayable(rejects: DataFrame, limit: int = MAX_RETRIES) -> DataFrame:
     """Dead letters to put back into the input, one attempt higher, while attempts are left."""
     return rejects.filter(F.col("attempt") + 1 <= limit).select(
-        F.col("payload").alias("raw"), (F.col("attempt") + 1).alias("attempt"), F.col("failed_at").alias("received_at")
+        F.col("payload").alias("raw"), (F.col("attempt") + 1).alias("attempt"), F.col("failed_at").alias("received_at"), "merchant_id"
     )
 
 

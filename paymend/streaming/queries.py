@@ -54,7 +54,8 @@ def stream_round_trip(spark, d):
 @query
 def stream_decisions(spark, d):
     stream = io.file_events(spark, envelope_files(spark, d), "envelopes")
-    decisions, _ = jobs.decision_stream(stream)
+    made = view(spark, d, "txn").select("payment_id", "recovery_attempts")
+    decisions, _ = jobs.decision_stream(stream, attempts=made)
     return decisions.select("payment_id", "merchant_id", "amount_paise", "failure_category", "score", "arm", "action", "final_status", "ev_rupees")
 
 
@@ -67,6 +68,16 @@ def dead_letters(spark, d):
     return rejects.groupBy("reason", "attempt").agg(F.count(F.lit(1)).alias("n")).withColumn("replayable", again)
 
 
+@query
+def dead_letters_replayed(spark, d):
+    """Rejected envelopes put back into the input: they come out again, one attempt higher and with their tenant."""
+    _, rejects = jobs.decision_stream(io.file_events(spark, envelope_files(spark, d), "envelopes"), label="dead")
+    path = scratch_dir(spark, "replay")
+    jobs.replayable(rejects).write.parquet(f"{path}/envelopes.parquet")
+    _, again = jobs.decision_stream(io.file_events(spark, path, "envelopes"), label="replayed")
+    return again.groupBy("merchant_id", "reason", "attempt").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def stream_first_seen(spark, d):
     return jobs.first_seen_stream(io.file_events(spark, d, "events"), "user_id", "ts", "event_id")
