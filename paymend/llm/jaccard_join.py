@@ -7,8 +7,9 @@ choose what is compared.
 
 Groups that share a signature are never expanded into pairs. Round one compares each
 member with the smallest one. Where a group is in one component afterwards, its other
-pairs cannot change the result. Round two compares, in groups that are still in several
-components, the members outside the hub's component with those of other components.
+pairs cannot change the result. Round two compares, around hubs whose groups are still in
+several components, the members outside the hub's component with those of other components,
+in blocks and by sketches first.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from paymend.llm.components import components
 from paymend.llm.shingles import SKETCH, set_digest, shingle_sets, similar, sketch
 from paymend.sources.scratch import materialise
 
-#: Signatures that a map task gathers before it sends them on, and that a bucket should hold.
-FLUSH, BUCKET = 2_000_000, 500_000
+#: Signatures that a map task gathers before it sends them on, that a bucket should hold, and members of a group compared at once.
+FLUSH, BUCKET, BLOCK = 2_000_000, 500_000, 4096
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
 _PACKED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("tops", pa.binary()), ("lows", pa.binary()), ("which", pa.binary()), ("tied", pa.binary())])
 _MEMBER = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
@@ -198,7 +199,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     ties = rep_of.join(ties.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b")
     links = materialise(links.unionByName(ties), "links")
     parts = components(links)
-    open_pairs = materialise(_possible(_open_pairs(members, hubs, parts), known, percent).distinct(), "pairs")
+    open_pairs = materialise(_open_pairs(members, hubs, parts, known, percent), "pairs")
     if not open_pairs.isEmpty():
         more = _verified(open_pairs, _texts(docs, open_pairs), width, percent)
         parts = components(links.unionByName(more))
@@ -212,13 +213,44 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(docs.join(named, "doc_id", "left_semi").distinct(), "texts")
 
 
-def _open_pairs(members: DataFrame, hubs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of a group that are in different components and of which neither is the group's hub."""
+def _open_pairs(members: DataFrame, hubs: DataFrame, parts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs around a hub that are in different components, are no hub, and may be similar by their sketches.
+
+    Groups in several components are taken by hub. Their members outside the hub's component are
+    held against all others in blocks of some ``BLOCK`` rows a side, so a group of any size is many
+    small tasks; pairs that the sketches rule out never become rows.
+    """
     part = parts.withColumnRenamed("node", "rep").withColumnRenamed("component", "part")
     known = members.join(hubs, "sig").join(part, "rep", "left").select("sig", "rep", "hub", F.coalesce("part", "rep").alias("part"))
-    home = known.where("rep = hub").select("sig", F.col("part").alias("home"))
     mixed = known.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q and n > 2").select("sig")
-    rest = known.where("rep <> hub").join(mixed, "sig").join(home, "sig")
-    away = rest.where("part <> home").select("sig", F.col("rep").alias("x"), F.col("part").alias("x_part"))
-    pairs = away.join(rest, "sig").where("part <> x_part and rep <> x and (part = home or rep < x)")
-    return pairs.select(F.greatest("rep", "x").alias("a"), F.least("rep", "x").alias("b")).distinct()
+    around = materialise(known.join(mixed, "sig").select("hub", "rep", "part").distinct(), "around")
+    home = around.where("rep = hub").select("hub", F.col("part").alias("home"))
+    rows = around.where("rep <> hub").join(home, "hub").withColumn("away", F.col("part") != F.col("home"))
+    size = rows.groupBy("hub").agg(F.ceil(F.sum(F.col("away").cast("int")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"))
+    rows = rows.join(size.where("lefts > 0"), "hub")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("away").select("hub", "rep", "part", "away", F.lit(True).alias("is_left"), block("lefts").alias("i"), every("rights").alias("j"))
+    right = rows.select("hub", "rep", "part", "away", F.lit(False).alias("is_left"), every("lefts").alias("i"), block("rights").alias("j"))
+    about = sketches.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("is_left"))
+        columns = {c: np.asarray(table.column(c)) for c in ("rep", "part", "away", "n_shingles")}
+        cells = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(side), SKETCH).astype(np.int16)
+        rep, part, away, n = (columns[c][~side] for c in ("rep", "part", "away", "n_shingles"))
+        others, a, b = cells[~side], [], []
+        for k in np.flatnonzero(side):
+            mine, size = columns["rep"][k], columns["n_shingles"][k]
+            # Two members outside the hub's component meet twice; the larger one asks.
+            ok = (part != columns["part"][k]) & (~away | (rep < mine)) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+            at = np.flatnonzero(ok)
+            differ = abs(others[at] - cells[k]).sum(axis=1)
+            at = at[differ * (100 + percent) <= (n[at] + size) * (100 - percent)]
+            a.append(np.maximum(rep[at], mine))
+            b.append(np.minimum(rep[at], mine))
+        none = np.empty(0, np.int64)
+        return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
+
+    blocks = left.unionByName(right).join(about, "rep").groupBy("hub", "i", "j")
+    return blocks.applyInArrow(compare, "a long, b long").distinct()
