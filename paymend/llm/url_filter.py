@@ -1,27 +1,26 @@
 """URL filter: a sorted array of 64-bit rule digests, probed by binary search.
 
 A rule is a host and a path prefix, ``example.net/en/``, with a verdict. The list becomes one
-file: sorted xxhash keys, memory-mapped by the tasks, and the rule strings, read only to
-confirm a hit, so equal digests of different rules never decide. Spark ships the file once to
-every executor, also to one that joins later; tasks map it instead of loading it.
+file in the shared folder: sorted xxhash keys, memory-mapped by the tasks, and the rule strings,
+read only to confirm a hit, so equal digests of different rules never decide. Spark ships the file
+once to every executor, also to one that joins later; tasks map it instead of loading it.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from paymend.llm.batches import emit
+from paymend.sources.scratch import scratch_dir
 
 #: Largest index that is shipped. It bounds the disk, not the memory, of an executor.
 INDEX_BYTES = 2_000_000_000
@@ -55,14 +54,16 @@ def write_index(rules: Iterable[tuple[str, str]], folder: str) -> str:
     size = 8 + len(head) + 16 * len(rows) + 8 + len(body)
     if size > INDEX_BYTES:
         raise ValueError(f"the rule index takes {size} bytes, more than {INDEX_BYTES}")
-    path = Path(folder, f"rules-{uuid.uuid4().hex}.idx")
-    with path.open("wb") as f:
+    files, base = pyarrow.fs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
+    name = f"rules-{uuid.uuid4().hex}.idx"
+    with files.open_output_stream(f"{base}/{name}", compression=None) as f:
         head += b" " * (-len(head) % 8)  # keeps the arrays aligned
         f.write(len(head).to_bytes(8, "little") + head)
         f.write(np.array([k for k, _, _ in rows], "<u8").tobytes())
         f.write(np.cumsum([0, *map(len, texts)], dtype="<u8").tobytes())
         f.write(body)
-    return str(path)
+    return f"{folder}/{name}"
 
 
 class RuleIndex:
@@ -133,9 +134,9 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = DEFAULT_RUL
     all. Repeated rows get equal rows; other columns are ignored.
     """
     spark: SparkSession = pages.sparkSession
-    path = write_index(rules, os.path.realpath(tempfile.mkdtemp(prefix="rules-")))
+    path = write_index(rules, scratch_dir(spark, "rules"))
     spark.sparkContext.addFile(path)
-    name = os.path.basename(path)
+    name = path.rpartition("/")[2]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _shipped(name)

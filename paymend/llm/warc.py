@@ -13,7 +13,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -60,8 +60,6 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def parse(data: bytes) -> dict:
     """The fields of one gzip member. ``intact``: lengths, and for a response the digest, agree with the content."""
-    from urllib.parse import unquote
-
     content = zlib.decompress(data, 31)
     head, _, rest = content.partition(b"\r\n\r\n")
     fields = dict(line.decode().split(": ", 1) for line in head.split(b"\r\n")[1:])
