@@ -33,39 +33,50 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: Words in class, id or role that mark page furniture. Fixed values.
+#: Elements of a head. Any other start tag, or text, ends an open head.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Whole tokens of class, id or role that mark page furniture, a number at their end aside. Fixed values.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer "
     "discussion disqus dropdown footer header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination paywall "
     "popup promo promoted promotion recommended related replies reply search share sharing sidebar signup site-header site-footer social sponsor sponsored "
-    "subscribe subscription toolbar topbar widget widgets complementary contentinfo alert alertdialog feedback".split()
+    "subscribe subscription toolbar topbar widget widgets complementary contentinfo alert alertdialog feedback "
+    "ad-banner ad-container ad-slot ad-unit comment-list cookie-banner cookie-consent cookie-notice main-menu page-footer page-header related-articles "
+    "related-posts share-buttons social-links social-share".split()
 )
+#: Those of them that mean nothing inside an article, where a header holds the title.
+HEADERS = frozenset(("header", "masthead", "page-header"))
 #: Elements that close an open paragraph.
 _CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[^a-z]+")
+_NUMBER = re.compile(r"[-_]*[0-9]+\Z")
 
 
 def blocks(page: str | None) -> list[tuple[str, bool, str, str]]:
     """(path, furniture, style, text) of each text block of a page, in order.
 
     A path has element names and the letters of their classes; ``furniture`` says that an
-    element on it holds no main text by its name. Null and empty pages have no blocks;
-    a page that ends in the middle of a tag ends there.
+    element on it holds no main text by its name. A class, id or role never marks html, body,
+    main, article or what one of the last two stands in, nor does a form around them; only an
+    article inside an article (a comment, in the HTML standard) leaves the marks between the
+    two. Null and empty pages have no blocks; a page that ends in the middle of a tag ends there.
     """
     page = page or ""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, furniture, in an article
+    # name, path, furniture by element, numbers of the marks by class, id or role on the path, in an article or main, in an article
+    stack: list[tuple[str, str, bool, tuple[int, ...], bool, bool]] = []
     out, text, style = [], [], []
-    at = 0
+    lifted: set[int] = set()  # marks on what holds an article or main
+    made = at = 0
 
     def flush() -> None:
         if text:
             whole = "".join(text)
             whole = _SPACE.sub(" ", html.unescape(whole) if "&" in whole else whole).strip()
             if whole:
-                out.append((*(stack[-1][1:3] if stack else ("", False)), ".".join(style), whole))
+                out.append((*(stack[-1][1:4] if stack else ("", False, ())), ".".join(style), whole))
             text.clear()
         style.clear()
 
@@ -76,15 +87,23 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, str]]:
                 del stack[i:]
                 return
 
+    def leave_head(words: str) -> None:
+        if stack and stack[-1][0] == "head" and not words.isspace():
+            flush()
+            stack.pop()
+
     while at < len(page):
         start = page.find("<", at)
         if start < 0:
+            leave_head(page[at:])
             text.append(page[at:])
             break
         if start > at:
+            leave_head(page[at:start])
             text.append(page[at:start])
         found = _TOKEN.match(page, start)
         if not found:  # a lone sign
+            leave_head("<")
             text.append("<")
             at = start + 1
             continue
@@ -93,6 +112,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, str]]:
         if not name:
             continue
         name, closing = name.lower(), found[0][1] == "/"
+        if not closing and name not in HEAD:
+            leave_head(name)
         if name in INLINE:
             if name in ("br", "wbr", "img"):
                 text.append(" " if name == "br" else "")
@@ -115,17 +136,27 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, str]]:
             end = re.compile(f"</{re.escape(name)}\\s*(?:>|\\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        words, marks = set(), []
+        tokens, marks, role = set(), [], ""
         for key, value in _ATTR.findall(found[2]) if found[2] else ():
-            parts = [w for w in _NAME.split(value.strip("\"'").lower()) if w]
-            words.update(parts)
-            marks += parts if key.lower() != "id" else []
-        _, path, dead, inside = stack[-1] if stack else ("", "", False, False)
-        dead = dead or name in DEAD or bool(words & FURNITURE) or name == "header" and not inside
+            key, value = key.lower(), value.strip("\"'").lower()
+            tokens.update(_NUMBER.sub("", t) for t in value.split())
+            if key == "role":
+                role = value.strip()
+            if key != "id":
+                marks += [w for w in _NAME.split(value) if w]
+        _, path, dead, names, inside, nested = stack[-1] if stack else ("", "", False, (), False, False)
         own = ".".join([name, *marks])
-        stack.append((name, f"{path}/{own}" if path else own, dead, inside or name in ("article", "main")))
+        main, article = name == "main" or role == "main", name == "article" or role == "article"
+        if main or article and not nested:
+            lifted.update(names)
+            names, dead = (), dead and not main  # HTML has no main in a menu, footer or the like: one that was not closed ends here
+        elif name == "form" or name not in ("html", "body") and tokens & (FURNITURE - HEADERS if inside else FURNITURE):
+            made += 1
+            names = (*names, made)
+        dead = dead or name != "form" and name in DEAD or name == "header" and not inside
+        stack.append((name, f"{path}/{own}" if path else own, dead, names, inside or main or article, nested or article))
     flush()
-    return out
+    return [(path, dead or not lifted.issuperset(names), style, text) for path, dead, names, style, text in out]
 
 
 def host_of(url: str | None) -> str:

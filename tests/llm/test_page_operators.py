@@ -104,6 +104,29 @@ def test_extraction_of_one_page(spark):
     assert got == {1: TEXT, 2: "", 3: "", 4: "open text\ncut off", 5: "only words"}
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<html><body class="has-sidebar"><p>Whole text</p></body></html>', "Whole text"),
+        ('<html class="no-comments"><body id="search"><p>Whole text</p>', "Whole text"),
+        ('<body><div class="content no-comments"><p>Whole text</p></div></body>', "Whole text"),
+        ('<body><main id="search-content"><p>Whole text</p></main></body>', "Whole text"),
+        ('<body><article class="promo"><div class="article-header"><h1>Title</h1></div><div class="header">Sub</div><p>Text</p></article>', "Title\nSub\nText"),
+        ('<body><div class="widget"><main><p>In main</p></main></div><div class="widget">Weather</div>', "In main"),
+        ('<body><form id="f"><div class="related"><div role="main">In a form</div></div></form><form>Search</form>', "In a form"),
+        ('<body><nav><ul><li>Menu<main><p>After an open menu</p></main>', "After an open menu"),
+        ('<body><article><p>Text</p><section class="comments"><article class="comment-12">I agree</article></section></article>', "Text"),
+        ('<html><head><title>t</title><meta charset="utf-8"><body><p>No end of head</p></body></html>', "No end of head"),
+        ("<html><head><title>t</title><p>No body tag</p>", "No body tag"),
+        ("<head><title>t</title> <b>Bold</b> text", "Bold text"),
+        ("<head><style>p{}</style> bare words", "bare words"),
+        ('<body><div class="sidebar2">x</div><div class="big ad">y</div><div role="complementary">z</div><p>Text</p>', "Text"),
+    ],
+)
+def test_articles_are_not_lost_by_a_name(page, text):
+    assert "\n".join(t for _, furniture, _, t in html_extract.blocks(page) if not furniture) == text
+
+
 def test_entropy_removes_what_a_host_repeats(spark):
     rows = []
     for i in range(40):
