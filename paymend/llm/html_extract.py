@@ -1,10 +1,13 @@
 """Main text of web pages by site style trees.
 
 All pages of a host are merged into one tree of element paths. Each text block adds, below its
-path, its style (the inline tags it is made of) and its content. The entropy of both over the
-pages of the host tells how important a node is: what looks and reads alike on every page is
-not. Branches that are menus, notices and the like by their element or class name have no
-importance on any host, so single pages of small hosts are cleaned too.
+path, its style (the inline tags it is made of) and its content; the content is a node of its
+own below the path and below every branch above it, up to the body, main or article. The entropy
+of style and content over the pages of the host tells how important a node is: what looks and
+reads alike on every page is not. A branch is noise when all that is below it is, so it goes
+with its leaves. The tree is built over all blocks. Elements that are menus, notices and the
+like by element or class name go besides, on every host: adverts and menus often differ from
+page to page, and single pages of small hosts show no entropy.
 """
 
 from __future__ import annotations
@@ -23,6 +26,12 @@ from paymend.sources.scratch import materialise
 
 #: Weight of content against style, importance below which a node is noise, pages with different content that a host must show before its entropies count.
 CONTENT, NOISE, LEAST_PAGES = 0.9, 0.3, 5
+#: Share of a page's characters, longest blocks first, that tells it from other pages.
+SAME = 2 / 3
+#: What a row of the tree counts: a style of a path, a content of a path or of a branch above it, a page that has the path. The root stands for the host.
+STYLE, LEAF, BRANCH, PAGE, ROOT = 0, 1, 2, 3, 0
+#: Elements above which contents of different branches are not compared.
+TRUNK = frozenset(("html", "body", "main", "article"))
 #: Elements that never hold main text. Fixed values from the HTML standard.
 DEAD = frozenset("head script style noscript template title nav footer aside form button select option textarea input label iframe object svg canvas dialog menu audio video map datalist".split())
 #: Elements whose content is text up to their end tag.
@@ -169,11 +178,34 @@ def _hash(text: str) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))))
 
 
+def _branches(path: str) -> list[str]:
+    """A path and the branches above it, below the last of html, body, main and article."""
+    names = path.split("/")
+    top = max((i for i, n in enumerate(names) if n.partition(".")[0] in TRUNK), default=-1)
+    return [path, *("/".join(names[:i]) for i in range(len(names) - 1, top + 1, -1))]
+
+
+def _content(node: str, text: str) -> int:
+    return _hash(f"{node}\n{text}")
+
+
+def _article(texts: list[str]) -> int:
+    """Hash of the longest of a page's texts that make up ``SAME`` of its characters."""
+    texts = sorted(texts, key=lambda t: (-len(t), t))
+    most, n = SAME * sum(map(len, texts)), 0
+    while n < len(texts) and most > 0:
+        most -= len(texts[n])
+        n += 1
+    return _hash("\n".join(texts[:n]))
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, noise): per host the hashed paths whose importance is low.
+    """(host, noise): per host the hashes of the paths, and of the contents below a path or branch, whose importance is low.
 
-    Pages of a host that share their longest block are one page here, so copies of an article
-    do not make it look like furniture. Counting is by (host, path, value) with partial sums:
+    A path is judged by all its styles and contents over the pages that have it, a content by the
+    pages of the host that have it, counted exactly: of M pages it may stand on M ** (1 - NOISE).
+    Pages of a host that share the longest blocks, two thirds of their text, are one page here, so
+    copies of an article do not make it look like furniture, nor does one long notice join all pages. Counting is by (host, path, value) with partial sums:
     a host with a third of all pages has no larger groups than others have values.
     """
     schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int8()), ("value", pa.int64()), ("page", pa.int64())])
@@ -182,32 +214,44 @@ def style_tree(pages: DataFrame) -> DataFrame:
         for batch in chunks(batches, "html"):
             rows = set()
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                own = [b for b in blocks(page) if not b[1]]
+                own = blocks(page)
                 if own:
-                    host, name = host_of(url), _hash(max((b[3] for b in own), key=lambda t: (len(t), t)))
+                    host, name = host_of(url), _article([b[3] for b in own if not b[1]])
+                    rows.add((host, ROOT, PAGE, 0, name))
                     for path, _, style, text in own:
                         at = _hash(path)
-                        rows.add((host, at, 0, _hash(style), name))
-                        rows.add((host, at, 1, _hash(text), name))
+                        rows.add((host, at, PAGE, 0, name))
+                        rows.add((host, at, STYLE, _hash(style), name))
+                        leaf, *above = _branches(path)
+                        rows.add((host, at, LEAF, _content(leaf, text), name))
+                        rows.update((host, ROOT, BRANCH, _content(node, text), name) for node in above)
             yield emit(schema, **dict(zip(schema.names, zip(*sorted(rows)) if rows else [[]] * 5)))
 
     rows = pages.select("url", "html").mapInArrow(parts, "host string, path long, kind byte, value long, page long").distinct()
-    pages_of = rows.groupBy("host", "path").agg(F.approx_count_distinct("page", 0.02).alias("m"))
-    values = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"))
+    values = materialise(rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k")), "site-values")
+    sizes = values.where((F.col("kind") == PAGE) & (F.col("k") >= LEAST_PAGES)).withColumn("lm", F.log(F.col("k").cast("double")))
     # Style: entropy over the variants, zero for one. Content: one less the mean entropy of a value's spread over pages.
     # Only sums leave the tasks, so a host with a third of all pages costs no task more than others.
-    total = values.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("n"),
-        F.sum(F.when(F.col("kind") == 0, F.col("k") * F.log("k"))).alias("klogk"),
-        F.count(F.when(F.col("kind") == 0, 1)).alias("styles"),
-        F.avg(F.when(F.col("kind") == 1, F.log("k"))).alias("mean_log"),
+    total = values.where(F.col("kind").isin(STYLE, LEAF)).groupBy("host", "path").agg(
+        F.sum(F.when(F.col("kind") == STYLE, F.col("k"))).alias("n"),
+        F.sum(F.when(F.col("kind") == STYLE, F.col("k") * F.log("k"))).alias("klogk"),
+        F.count(F.when(F.col("kind") == STYLE, 1)).alias("styles"),
+        F.avg(F.when(F.col("kind") == LEAF, F.log("k"))).alias("mean_log"),
     )
-    total = total.join(pages_of.where(F.col("m") >= LEAST_PAGES), ["host", "path"]).withColumn("lm", F.log(F.col("m").cast("double")))
+    total = total.join(sizes.select("host", "path", "lm"), ["host", "path"])
     shape = F.least(F.lit(1.0), (F.log("n") - F.col("klogk") / F.col("n")) / F.col("lm"))
     spread = F.least(F.lit(1.0), F.col("mean_log") / F.col("lm"))
     weight = F.pow(F.lit(CONTENT), F.col("styles"))
-    scored = total.select("host", "path", ((1 - weight) * shape + weight * (1 - spread)).alias("importance"))
-    return scored.where(F.col("importance") < NOISE).groupBy("host").agg(F.collect_set("path").alias("noise"))
+    paths = total.select("host", F.col("path").alias("node"), ((1 - weight) * shape + weight * (1 - spread)).alias("importance"))
+    # A content has one style, so only its spread counts. Contents on a single page are left out before the join.
+    often = values.where(F.col("kind").isin(LEAF, BRANCH) & (F.col("k") > 1))
+    often = often.join(sizes.where(F.col("path") == ROOT).select("host", "lm"), "host")
+    contents = often.select("host", F.col("value").alias("node"), (1 - F.log("k") / F.col("lm")).alias("importance"))
+    return paths.unionByName(contents).where(F.col("importance") < NOISE).groupBy("host").agg(F.collect_set("node").alias("noise"))
+
+
+def _noisy(path: str, text: str, low: set[int]) -> bool:
+    return _hash(path) in low or any(_content(node, text) in low for node in _branches(path))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -229,7 +273,7 @@ def extract(pages: DataFrame) -> DataFrame:
         texts = []
         for page, low in zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist()):
             low = set(low or ())
-            texts.append("\n".join(t for path, dead, _, t in blocks(page) if not dead and not (low and _hash(path) in low)))
+            texts.append("\n".join(t for path, dead, _, t in blocks(page) if not dead and not (low and _noisy(path, t, low))))
         return emit(schema, page_id=batch.column("page_id"), url=batch.column("url"), text=texts)
 
     return map_chunks(joined, work, "page_id long, url string, text string", "html")

@@ -139,6 +139,17 @@ def test_entropy_removes_what_a_host_repeats(spark):
     assert got[99] == "Call us today\nAlone"
 
 
+def test_tree_removes_repeated_contents_of_a_shared_path(spark):
+    def page(i, n):
+        items = "".join(f"<li class={'on' if k == i % 4 else 'off'}>Item {k}</li>" for k in range(4))
+        return f"<body><div class=box><ul>{items}</ul></div><article><p>Please mind our new terms.</p><p>Text {i} of {n}.</p><p>{'Half' if i % 8 else 'Other'} {i % 8}</p></article></body>"
+
+    rows = [(i, f"http://h/{i}", page(i, 40)) for i in range(40)] + [(100 + i, f"http://few/{i}", page(i, 3)) for i in range(3)]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == [f"Text {i} of 40.", f"{'Half' if i % 8 else 'Other'} {i % 8}"] for i in range(40))
+    assert all("Please mind our new terms." in got[100 + i] and len(got[100 + i]) == 7 for i in range(3))  # too few pages to tell
+
+
 def test_extraction_keeps_rows(pages, no_pages):
     got = html_extract.extract(pages).collect()
     assert Counter((r.page_id, r.url) for r in got) == Counter((r.page_id, r.url) for r in pages.select("page_id", "url").collect())
