@@ -1,5 +1,6 @@
 """Rules, classifier, language, licence and tokenizer operators against plain versions."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -46,6 +47,25 @@ def test_quality_rules_keep_prose_and_reject_noise_and_repetition(messy, no_docs
     assert quality_rules.quality_report(no_docs).count() == 0 == quality_rules.keep_good(no_docs).count()
 
 
+def test_quality_rules_reject_repetition_that_the_base_rule_passes(spark):
+    pick = random.Random(8)
+    vocabulary = ["".join(pick.choice("etaoinshrdlu") for _ in range(pick.randint(2, 9))) for _ in range(2000)]
+
+    def words(n):
+        return [pick.choice(vocabulary) for _ in range(n)]
+
+    good = [" ".join(words(220 + 7 * (i % 40))) for i in range(300)] + [" ".join(words(1200)) for _ in range(80)]
+    shuffled = []
+    for few in (words(25) for _ in range(12)):  # the words of one sentence again and again, in another order each time
+        shuffled.append(" ".join(w for _ in range(16) for w in pick.sample(few, len(few))))
+    tails = [" ".join(words(600))[:2100] + " " + shuffled[i][:1900] for i in range(12)]  # prose, and repetition in the last, partial chunk
+    texts = good + shuffled + tails + [good[0]] * 400  # many copies do not move the limits
+    got = {r.doc_id: r for r in quality_rules.quality_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = len(good)
+    assert all(got[i].kept for i in range(n))
+    assert not any(got[i].base_failed or got[i].kept for i in range(n, n + 24))
+
+
 def test_classifier_separates_held_out_documents(spark, folder):
     docs, labels = spark.read.parquet(f"{folder}/../sf0.01/documents.parquet"), spark.read.parquet(f"{folder}/../sf0.01/labels.parquet")
     got = {r.doc_id: r for r in quality_classifier.quality_scores(docs, labels).collect()}
