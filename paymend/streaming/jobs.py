@@ -4,6 +4,8 @@ changes nothing."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paymend.operators import drift, experiments, health, timeseries
@@ -22,7 +24,10 @@ class TtlLocks:
 
     The lock table holds the last kept event per key. It enters the batch
     operator as one more event per key, earlier than all others, and is taken
-    out of the result again. An event older than its key's lock is a repeat.
+    out of the result again. An event that comes after later ones of its key
+    passes if it lies the time to live or more from every event kept before, on
+    both sides; else one of them stands for it, as what was let through is not
+    taken back.
     """
 
     def __init__(self, spark: SparkSession, label: str, key: str, at: str, event: str, ttl_seconds: int, **limits):
@@ -37,11 +42,14 @@ class TtlLocks:
         held = self.locks.last_before(batch_id)
         if held is not None:
             lock = held.select(key, F.col(at).alias("_lock"))
-            rows = rows.join(lock, key, "left").filter(F.col("_lock").isNull() | (F.col(at) > F.col("_lock")))
+            rows = rows.join(lock, key, "left")
+            late = rows.filter(F.col(at) <= F.col("_lock")).drop("_lock")
+            rows = rows.filter(F.col("_lock").isNull() | (F.col(at) > F.col("_lock")))
             rows = rows.drop("_lock").unionByName(held)
         out = timeseries.first_seen(rows, key, at, event, self.ttl, **self.limits)
         if held is not None:
             out = out.join(held.select(key, at), [key, at], "left_anti")
+            out = out.unionByName(self._pass_late(late, batch_id))
         self.kept.write(out, batch_id)
         new = self.kept.part(batch_id)
         state = new if held is None else new.unionByName(held)
@@ -49,6 +57,25 @@ class TtlLocks:
         self.locks.write(last, batch_id)
         return new
 
+    def _pass_late(self, late: DataFrame, batch_id: int) -> DataFrame:
+        """Events before their key's lock that no kept event stands for."""
+        key, at, event = self.names
+        first, last = late.agg(F.min(at), F.max(at)).first()
+        if first is None:
+            return late
+        reach = timedelta(seconds=self.ttl)
+        near = self.kept.read(batch_id).filter(F.col(at).between(F.lit(first - reach), F.lit(last + reach)))
+        # Kept events of a key are a lifetime apart, so an event meets at most one in its own stretch of time and one in each beside it.
+        micros, ttl = F.unix_micros(F.col(at).cast("timestamp")), self.ttl * 1_000_000
+        slot = F.floor(micros / ttl)
+        near = near.select(
+            F.col(key).alias("_key"), micros.alias("_kept"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("_near")
+        )
+        timed = late.withColumns({"_micros": micros, "_slot": slot})
+        close = (F.col(key) == F.col("_key")) & (F.col("_slot") == F.col("_near")) & (F.abs(F.col("_micros") - F.col("_kept")) < ttl)
+        free = timed.join(near, close, "left_anti").drop("_micros", "_slot")
+        return timeseries.first_seen(free, key, at, event, self.ttl, **self.limits)
+
 
 def decision_stream(
     raw: DataFrame,
@@ -145,22 +172,22 @@ def _latest(table: BatchTable, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("_x")).select(*keys, "_x.*")
 
 
-def minute_counters(events: DataFrame, at: str, width: str = "1 minute", delay: str = "1 hour", by: tuple[str, ...] = (),
+def minute_counters(events: DataFrame, at: str, width: str = "1 minute", by: tuple[str, ...] = (),
                     amount: str = "amount_paise", label: str = "counters") -> DataFrame:
-    """Tumbling counts and sums with a watermark; events later than it are dropped.
+    """Tumbling counts and sums, whatever the order in which the events come.
 
-    Update mode: a window's row carries its whole totals so far, and the reader
-    takes the newest row of each window.
+    A part holds what one micro-batch adds to its windows, and the reader adds
+    the parts up: no window is ever closed, so no event is too late.
     """
     table = BatchTable(events.sparkSession, label)
-    agg = (
-        events.withWatermark(at, delay)
-        .groupBy(F.window(at, width).alias("w"), *by)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("amount_paise"))
-        .select(F.col("w.start").alias("window_start"), *by, "n", "amount_paise")
-    )
-    run_batches(agg, table.write, label, mode="update")
-    return _latest(table, ["window_start", *by])
+    keys = ["window_start", *by]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(F.window(at, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("amount_paise"))
+        table.write(counts.select(F.col("w.start").alias("window_start"), *by, "n", "amount_paise"), batch_id)
+
+    run_batches(events, step, label)
+    return table.read().groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("amount_paise").alias("amount_paise"))
 
 
 def bandit_stream(updates: DataFrame, label: str = "bandit", **names) -> DataFrame:

@@ -83,6 +83,30 @@ def test_counters_and_posteriors(spark, calls, tmp_path):
     same(post, experiments.posteriors(calls.withColumn("ok_int", F.col("ok").cast("int")), **named))
 
 
+def test_counters_of_files_out_of_time_order(spark, calls, tmp_path):
+    stream = as_files(spark, tmp_path, calls.orderBy(F.desc("at")), 4)
+    out = jobs.minute_counters(stream, "at", width="5 minutes", amount="n", by=("channel",), label="backfill")
+    want = calls.groupBy(F.window("at", "5 minutes").start.alias("window_start"), "channel").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n").alias("amount_paise")
+    )
+    same(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), want)
+
+
+def test_events_long_before_their_lock_pass(spark, tmp_path):
+    hours = [(120, 1), (0, 2), (1, 3), (97, 4), (96, 5), (121, 6), (144, 7), (24, 8), (47, 9), (150, 10)]
+    df = spark.createDataFrame([("k", T0 + timedelta(hours=h), i) for h, i in hours], "key string, at timestamp_ntz, call_id long")
+    out = jobs.first_seen_stream(as_files(spark, tmp_path, df, 10), "key", "at", "call_id", label="late")
+    # In order of arrival: 3, 4, 6, 9 and 10 lie less than 24 hours from an event kept before.
+    assert sorted(r.call_id for r in out.collect()) == [1, 2, 5, 7, 8]
+
+
+def test_a_decision_five_days_late_is_made(spark, tmp_path):
+    body = '{"event":"payment.failed","payload":{"payment":{"entity":{"id":"pay_1","order_id":"o","amount":500000,"error_code":"GATEWAY_ERROR","created_at":1704100000}}}}'
+    df = spark.createDataFrame([(body, T0 + timedelta(days=5)), (body, T0), (body, T0 + timedelta(hours=2))], "raw string, received_at timestamp_ntz")
+    decisions, rejects = jobs.decision_stream(as_files(spark, tmp_path, df, 3), label="late-decisions")
+    assert decisions.count() == 2 and rejects.count() == 0
+
+
 def test_retries_wait_and_end(spark, calls, tmp_path):
     stream = as_files(spark, tmp_path, calls.select("call_id"), 3)
     done, dead = jobs.retry_stream(stream, F.col("attempt") < F.col("call_id") % 6)
