@@ -19,6 +19,8 @@ from paymend.llm.batches import chunks, emit, map_chunks
 
 #: Longest n-gram (three code points of 21 bits fill a long), ranks of a profile, of a document, words held by a task.
 LONGEST, PROFILE, RANKS, HELD = 3, 400, 300, 200_000
+#: Distinct words whose n-grams are taken in one go.
+JOINED = 20_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -36,8 +38,13 @@ def _letter_table() -> np.ndarray:
 
 def grams_of(text: str | None) -> np.ndarray:
     """Codes of all n-grams of the words of a text, each word between blanks."""
+    return grams_by_word(text)[0]
+
+
+def grams_by_word(text: str | None, numbered: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """The codes of ``grams_of`` and, if ``numbered``, the number of the word each is from; words stand one blank apart then."""
     if not text:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64) if numbered else None
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     if points.max() < 1 << 16:
         points[~_letter_table()[points]] = 32
@@ -45,6 +52,8 @@ def grams_of(text: str | None) -> np.ndarray:
         points = np.frombuffer(f" {' '.join(words_of(text))} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     blank = points == 32
     out = [points[~blank]]
+    word = np.cumsum(blank) - 1 if numbered else None
+    words = [word[~blank]] if numbered else []
     for n in range(2, LONGEST + 1):
         count = len(points) - n + 1
         code, inner = points[:count], np.zeros(count, bool)
@@ -53,8 +62,11 @@ def grams_of(text: str | None) -> np.ndarray:
             if i < n - 1:
                 inner |= blank[i : count + i]
         # A blank is only an end of a word, so two in a row are nothing.
-        out.append(code[~(inner | (blank[:-1] & blank[1:] if n == 2 else False))])
-    return np.concatenate(out)
+        good = ~(inner | (blank[:-1] & blank[1:] if n == 2 else False))
+        out.append(code[good])
+        if numbered:
+            words.append(word[:count][good])
+    return np.concatenate(out), np.concatenate(words) if numbered else None
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -63,10 +75,11 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def flush(lang: str, words: Counter) -> pa.RecordBatch:
         distinct = list(words)
         codes, times = [], []
-        for word in distinct:
-            found = grams_of(word)
+        for start in range(0, len(distinct), JOINED):
+            part = distinct[start : start + JOINED]
+            found, word = grams_by_word(" ".join(part), numbered=True)
             codes.append(found)
-            times.append(np.full(len(found), words[word]))
+            times.append(np.fromiter((words[w] for w in part), np.int64, len(part))[word])
         gram, place = np.unique(np.concatenate(codes), return_inverse=True)
         n = np.bincount(place, np.concatenate(times).astype(float)).astype(np.int64)
         return emit(_GRAMS, lang=[lang] * len(gram), gram=gram, n=n)
