@@ -1,4 +1,4 @@
-"""Gap-filled bins, rolling anomaly scores, forecasts and first-seen filtering."""
+"""Gap-filled bins, rolling anomaly scores and forecasts."""
 
 from __future__ import annotations
 
@@ -95,81 +95,3 @@ def forecast(bins: DataFrame, key: str = "merchant_id", last: int = 6, periods:
         _stamp(F.col("hi") + F.col("step") * BIN_SECONDS).alias("bin_start"),
         F.round("m", 6).alias("predicted_failures"),
     )
-
-
-def first_seen(
-    df: DataFrame,
-    key: str,
-    at: str,
-    event: str,
-    ttl_seconds: int = 86400,
-    fold_limit: int = 20000,
-    salts: int = 64,
-) -> DataFrame:
-    """Events that a time-to-live idempotency lock lets through.
-
-    The first event of a key passes and locks the key for ``ttl_seconds``;
-    repeats inside the lock are dropped; the first event after it passes again.
-    Events with one (key, time) are one event; the smallest id stands for them.
-
-    Keys of up to ``fold_limit`` distinct times are folded in one ordered array.
-    A key with more is never gathered: it is resolved in rounds, each a
-    map-side combined minimum over salted parts, one round per kept event and
-    at most one kept event per lock period. Both ways are exact.
-    """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    ttl = ttl_seconds * 1_000_000
-    events = (
-        df.filter(F.col(at).isNotNull())
-        .groupBy(F.col(key).alias("_k"), micros.alias("_t"))
-        .agg(F.min(event).alias("_e"))
-    )
-    sizes = events.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = sizes.filter(F.col("_n") > fold_limit).select("_k")
-    hot_found = not hot_keys.isEmpty()
-    normal = events.join(hot_keys, "_k", "left_anti") if hot_found else events
-    kept = _fold_first_seen(normal, ttl)
-    if hot_found:
-        kept = kept.unionByName(_rounds_first_seen(events.join(hot_keys, "_k", "left_semi"), ttl, salts))
-    return kept.select(
-        F.col("_k").alias(key),
-        F.timestamp_micros("_t").cast("timestamp_ntz").alias(at),
-        F.col("_e").alias(event),
-    )
-
-
-def _fold_first_seen(events: DataFrame, ttl: int) -> DataFrame:
-    ordered = events.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_t", "_e"))).alias("_all"))
-    empty = F.array().cast("array<struct<_t:bigint,_e:" + events.schema["_e"].dataType.simpleString() + ">>")
-    kept = F.aggregate(
-        "_all",
-        empty,
-        lambda acc, x: F.when(
-            (F.size(acc) == 0) | (x.getField("_t") >= F.get(acc, F.size(acc) - 1).getField("_t") + ttl),
-            F.concat(acc, F.array(x)),
-        ).otherwise(acc),
-    )
-    return ordered.select("_k", F.explode(kept).alias("_x")).select("_k", "_x._t", "_x._e")
-
-
-def _rounds_first_seen(events: DataFrame, ttl: int, salts: int) -> DataFrame:
-    from paymend.sources.scratch import materialise
-
-    salted = materialise(
-        events.withColumn("_s", F.pmod(F.xxhash64("_t"), F.lit(salts)).cast("int")), "hot-events"
-    )
-    first = salted.groupBy("_k", "_s").agg(F.min(F.struct("_t", "_e")).alias("_x"))
-    frontier = first.groupBy("_k").agg(F.min("_x").alias("_x")).select("_k", "_x._t", "_x._e")
-    kept = frontier = materialise(frontier, "hot-frontier")
-    while True:
-        locks = frontier.select(
-            "_k", F.col("_t").alias("_from"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s")
-        )
-        later = salted.join(locks, ["_k", "_s"]).filter(F.col("_t") >= F.col("_from") + ttl)
-        part = later.groupBy("_k", "_s").agg(F.min(F.struct("_t", "_e")).alias("_x"))
-        frontier = materialise(
-            part.groupBy("_k").agg(F.min("_x").alias("_x")).select("_k", "_x._t", "_x._e"), "hot-frontier"
-        )
-        if frontier.isEmpty():
-            return kept
-        kept = kept.unionByName(frontier)

@@ -694,6 +694,14 @@ _CTE["env_plan"] = (
     + _plan(False).replace("CASE WHEN amount_paise % 3 = 0 THEN 'OFFER_EMI' END AS proposed", "NULL::VARCHAR AS proposed"),
 )
 oracle("stream_decisions", "env_plan", "SELECT payment_id, merchant_id, amount_paise, failure_category, score, arm, action, final_status, ev_rupees FROM plan")
+_CTE["env_decided"] = (("env_plan",), _CTE["decided"][1])
+oracle("stream_audit", "env_decided", "SELECT transaction_id, CAST(seq % 8 AS INTEGER) AS step, action_taken, source, decision_rationale FROM decided")
+oracle("stream_reviews", "env_plan", """SELECT sha256('review|' || payment_id) AS hitl_id, payment_id AS transaction_id, amount_paise, action AS proposed_action,
+  review_reason AS trigger_reason, score AS ml_score, arm AS ab_arm FROM plan WHERE final_status = 'PENDING_APPROVAL'""")
+oracle("stream_shadow", "env_plan", """SELECT sha256('shadow|' || payment_id) AS shadow_id, payment_id, merchant_id, arm AS ab_arm, ev_rupees, action AS proposed_action,
+  'SHADOW' AS execution_mode FROM plan WHERE gated""")
+oracle("stream_decision_retries", "env_plan", """, n AS (SELECT *, CAST(split_part(payment_id, '_', 2) AS BIGINT) % 5 AS fails FROM plan)
+SELECT payment_id, CAST(fails AS INTEGER) AS attempt, CASE WHEN fails = 4 THEN 'DEAD' ELSE final_status END AS final_status, CASE WHEN fails < 4 THEN ev_rupees END AS ev_rupees FROM n""")
 oracle("dead_letters", "txn", """, k AS (SELECT CAST(split_part(payment_id, '_', 2) AS BIGINT) AS k FROM txn),
 r AS (SELECT CASE WHEN k % 17 = 0 THEN 'malformed' WHEN k % 13 = 0 THEN NULL WHEN k % 29 = 0 THEN 'no order_id' WHEN k % 23 = 0 THEN 'amount not positive' END AS reason FROM k)
 SELECT reason, 0 AS attempt, count(*) AS n, (SELECT count(reason) FROM r) AS replayable FROM r WHERE reason IS NOT NULL GROUP BY 1""")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paymend.functions import answers, classify, crypto, messages, money, privacy, scoring
 from paymend.operators import (
-    anomaly, drift, experiments, ledger, models, outbound, ranks, reports, retrieval, review, timeseries,
+    anomaly, drift, experiments, ledger, locks, models, outbound, ranks, reports, retrieval, review, timeseries,
 )
 from paymend.plans.decision import audit_rows, decide, review_rows, shadow_rows
 from paymend.policy import METHODS, RETRY_WINDOWS_MIN, Policy
@@ -1029,7 +1029,7 @@ def audit_tampered_rows(spark, d):
 
 @query
 def first_seen_events(spark, d):
-    return timeseries.first_seen(table(spark, d, "events"), "user_id", "ts", "event_id")
+    return locks.first_seen(table(spark, d, "events"), "user_id", "ts", "event_id")
 
 
 # --- retrieval, choice and models ----------------------------------------------------

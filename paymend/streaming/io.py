@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from paymend.sources.scratch import home, scratch_dir
 
@@ -78,8 +78,8 @@ def run_batches(
     label: str,
     mode: str = "append",
     checkpoint: str | None = None,
-) -> None:
-    """Run ``step`` on every micro-batch of the available data."""
+) -> StreamingQuery:
+    """Run ``step`` on every micro-batch of the available data; returns the ended query."""
     running = (
         df.writeStream.foreachBatch(step)
         .outputMode(mode)
@@ -88,37 +88,4 @@ def run_batches(
         .start()
     )
     running.awaitTermination()
-
-
-class BatchTable:
-    """A folder with one part per micro-batch.
-
-    A part is overwritten when its batch is replayed after a failure, so each
-    batch counts once although the stream itself is at least once. With an
-    absolute ``label`` the folder outlives the job, and the next run goes on
-    where this one stopped.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = home(spark, label)
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
-
-    def read(self, up_to: int | None = None) -> DataFrame | None:
-        """All parts, or those before batch ``up_to``; None while there are none."""
-        try:
-            rows = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch_id=*")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        return rows if up_to is None else rows.filter(F.col("batch_id") < up_to)
-
-    def part(self, batch_id: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/batch_id={batch_id}")
-
-    def last_before(self, batch_id: int) -> DataFrame | None:
-        """The part of the batch before, for tables whose part is a full state."""
-        return self.part(batch_id - 1) if batch_id > 0 else None
+    return running

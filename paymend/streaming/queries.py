@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from paymend.functions import classify
 from paymend.operators import health
 from paymend.plans.queries import Query, coded, raw_events
+from paymend.policy import Policy
 from paymend.sources.scratch import scratch_dir
 from paymend.sources.views import VIEWS, view
 from paymend.streaming import io, jobs
@@ -29,7 +30,8 @@ def envelope_files(spark, d) -> str:
     """Event envelopes of every transaction as files, the input of a stream."""
     path = scratch_dir(spark, "envelopes")
     rows = raw_events(spark, d).select("raw", "merchant_id", F.col("created_at").alias("received_at"))
-    rows.write.parquet(f"{path}/envelopes.parquet")
+    # Several files, as a source would bring them.
+    rows.repartition(8).write.parquet(f"{path}/envelopes.parquet")
     return path
 
 
@@ -53,17 +55,52 @@ def stream_round_trip(spark, d):
 
 @query
 def stream_decisions(spark, d):
+    return decided(spark, d).decisions.select("payment_id", "merchant_id", "amount_paise", "failure_category", "score", "arm", "action", "final_status", "ev_rupees")
+
+
+def decided(spark, d, **given) -> jobs.DecisionTables:
     stream = io.file_events(spark, envelope_files(spark, d), "envelopes")
-    made = view(spark, d, "txn").select("payment_id", "recovery_attempts")
-    decisions, _ = jobs.decision_stream(stream, attempts=made)
-    return decisions.select("payment_id", "merchant_id", "amount_paise", "failure_category", "score", "arm", "action", "final_status", "ev_rupees")
+    return jobs.decision_stream(stream, attempts=view(spark, d, "txn").select("payment_id", "recovery_attempts"), **given)
+
+
+@query
+def stream_audit(spark, d):
+    """The audit rows that the decision stream writes."""
+    return decided(spark, d).audit.select("transaction_id", "step", "action_taken", "source", "decision_rationale")
+
+
+@query
+def stream_reviews(spark, d):
+    """The review queue that the decision stream fills."""
+    return decided(spark, d).reviews.select("hitl_id", "transaction_id", "amount_paise", "proposed_action", "trigger_reason", "ml_score", "ab_arm")
+
+
+@query
+def stream_shadow(spark, d):
+    """What the decision stream holds back in shadow mode."""
+    return decided(spark, d, policy=Policy(execution_mode="SHADOW")).shadow.select(
+        "shadow_id", "payment_id", "merchant_id", "ab_arm", "ev_rupees", "proposed_action", "execution_mode"
+    )
+
+
+@query
+def stream_decision_retries(spark, d):
+    """Decisions that fail (payment n, n mod 5 times) are made again; four failures end as a dead letter."""
+    number = F.element_at(F.split("payment_id", "_"), 2).cast("bigint")
+    made = decided(spark, d, failed=F.col("attempt") < number % 5)
+    done = made.decisions.select("payment_id", "attempt", "final_status", "ev_rupees")
+    dead = made.rejects.filter("reason = 'retries used up'").select(
+        F.get_json_object("payload", "$.payment_id").alias("payment_id"), "attempt",
+        F.lit("DEAD").alias("final_status"), F.lit(None).cast("decimal(18,2)").alias("ev_rupees"),
+    )
+    return done.unionByName(dead)
 
 
 @query
 def dead_letters(spark, d):
     """Rejected envelopes, and how many of them a replay would take in again."""
     stream = io.file_events(spark, envelope_files(spark, d), "envelopes")
-    _, rejects = jobs.decision_stream(stream, label="dead")
+    rejects = jobs.decision_stream(stream, label="dead").rejects
     again = jobs.replayable(rejects).agg(F.count(F.lit(1))).scalar()
     return rejects.groupBy("reason", "attempt").agg(F.count(F.lit(1)).alias("n")).withColumn("replayable", again)
 
@@ -71,10 +108,10 @@ def dead_letters(spark, d):
 @query
 def dead_letters_replayed(spark, d):
     """Rejected envelopes put back into the input: they come out again, one attempt higher and with their tenant."""
-    _, rejects = jobs.decision_stream(io.file_events(spark, envelope_files(spark, d), "envelopes"), label="dead")
+    rejects = jobs.decision_stream(io.file_events(spark, envelope_files(spark, d), "envelopes"), label="dead").rejects
     path = scratch_dir(spark, "replay")
     jobs.replayable(rejects).write.parquet(f"{path}/envelopes.parquet")
-    _, again = jobs.decision_stream(io.file_events(spark, path, "envelopes"), label="replayed")
+    again = jobs.decision_stream(io.file_events(spark, path, "envelopes"), label="replayed").rejects
     return again.groupBy("merchant_id", "reason", "attempt").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -3,11 +3,13 @@
 from datetime import datetime, timedelta
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from paymend.operators import drift, experiments, health, timeseries
-from paymend.streaming import io, jobs
+from paymend.operators import drift, experiments, health, locks
+from paymend.streaming import io, jobs, stores
+from paymend.streaming.locks import settle, walk
 
 T0 = datetime(2024, 1, 1)
 
@@ -43,7 +45,7 @@ def same(a, b):
 
 def test_first_seen(spark, calls, tmp_path):
     stream = as_files(spark, tmp_path, calls.select("key", "at", "call_id"), 4)
-    want = timeseries.first_seen(calls, "key", "at", "call_id", ttl_seconds=7200)
+    want = locks.first_seen(calls, "key", "at", "call_id", ttl_seconds=7200)
     same(jobs.first_seen_stream(stream, "key", "at", "call_id", ttl_seconds=7200), want)
 
 
@@ -54,7 +56,7 @@ def test_a_restarted_job_remembers_its_locks(spark, calls, tmp_path):
     jobs.first_seen_stream(io.file_events(spark, str(tmp_path), "calls", 1), "key", "at", "call_id", 7200, label=job)
     as_files(spark, tmp_path, part.filter("call_id >= 500"), 2)
     out = jobs.first_seen_stream(io.file_events(spark, str(tmp_path), "calls", 1), "key", "at", "call_id", 7200, label=job)
-    same(out, timeseries.first_seen(calls, "key", "at", "call_id", ttl_seconds=7200))
+    same(out, locks.first_seen(calls, "key", "at", "call_id", ttl_seconds=7200))
 
 
 def test_health(spark, calls, tmp_path):
@@ -103,7 +105,7 @@ def test_events_long_before_their_lock_pass(spark, tmp_path):
 def test_a_decision_five_days_late_is_made(spark, tmp_path):
     body = '{"event":"payment.failed","payload":{"payment":{"entity":{"id":"pay_1","order_id":"o","amount":500000,"error_code":"GATEWAY_ERROR","created_at":1704100000}}}}'
     df = spark.createDataFrame([(body, T0 + timedelta(days=5)), (body, T0), (body, T0 + timedelta(hours=2))], "raw string, received_at timestamp_ntz")
-    decisions, rejects = jobs.decision_stream(as_files(spark, tmp_path, df, 3), label="late-decisions")
+    decisions, rejects, *_ = jobs.decision_stream(as_files(spark, tmp_path, df, 3), label="late-decisions")
     assert decisions.count() == 2 and rejects.count() == 0
 
 
@@ -125,7 +127,7 @@ def test_decisions_once_and_dead_letters_all(spark, tmp_path):
     rows = [(body(i % 20), T0 + timedelta(minutes=i)) for i in range(60)]
     rows += [("{broken", T0 + timedelta(minutes=5))] * 3 + [(body(99, 0), T0), (body(3), T0 + timedelta(hours=30))]
     df = spark.createDataFrame(rows, "raw string, received_at timestamp_ntz")
-    decisions, rejects = jobs.decision_stream(as_files(spark, tmp_path, df, 4))
+    decisions, rejects, *_ = jobs.decision_stream(as_files(spark, tmp_path, df, 4))
     seen = [r.payment_id for r in decisions.collect()]
     assert sorted(seen) == sorted([f"pay_{i}" for i in range(20)] + ["pay_3"])
     assert sorted(r.reason for r in rejects.collect()) == ["amount not positive"] + ["malformed"] * 3
@@ -133,8 +135,107 @@ def test_decisions_once_and_dead_letters_all(spark, tmp_path):
     assert jobs.replayable(rejects.withColumn("attempt", F.lit(3))).count() == 0
 
 
+def test_walk_of_one_key():
+    assert walk([0, 5, 10, 19, 20], None, None, 10, -1000) == ([0, 2, 4], [], 20, None)
+    assert walk([3, 25, 31], 20, None, 10, 0) == ([2], [0], 31, None)  # 3 comes late, 25 is held back
+    assert walk([5, 12, 40], None, None, 10, 100) == ([], [0, 1, 2], None, 40)  # state may be gone
+    assert walk([95], None, None, 10, 100) == ([0], [], 95, None)
+    assert walk([18, 29], None, 12, 10, 12) == ([1], [0], 29, 18)
+
+
+def test_state_of_twenty_batches_stays_flat():
+    ttl, live, sizes, kept = 100, pd.DataFrame({"k": pd.Series([], dtype="int64"), "lock": [], "doubt": []}).astype("int64"), [], []
+    rng = random.Random(3)
+    every, seen = [], 0
+    for b in range(20):
+        rows = pd.DataFrame([(rng.randint(0, 10**9), b * 300 + rng.randint(0, 299), i) for i in range(200)], columns=["k", "_t", "e"])
+        rows = pd.concat([rows, pd.DataFrame([(7, b * 300 + rng.randint(0, 299), 1000 + i) for i in range(30)], columns=["k", "_t", "e"])])
+        every.append(rows)
+        out, live = settle(rows, live, "k", "e", ttl, seen)
+        seen = max(seen, rows["_t"].max())
+        sizes.append(len(live))
+        kept += out[out["sure"] & (out["k"] == 7)]["_t"].tolist()
+    assert max(sizes[5:]) <= 2.5 * max(sizes[:2])
+    want = []
+    for t in sorted({t for r in every for t in r[r["k"] == 7]["_t"]}):
+        if not want or t >= want[-1] + ttl:
+            want.append(t)
+    assert kept == want
+
+
+def test_expired_keys_are_looked_up(spark, tmp_path):
+    """Events from long before the watermark of keys without state are held against the table of kept events."""
+    day = lambda d, i, k="k": (k, T0 + timedelta(days=d), i)
+    rows = [day(0, 1), day(400, 2, "far"), day(400.1, 3, "far"), day(0.5, 4), day(0.2, 5), day(2, 6), day(1.5, 7), day(3.1, 8), day(1.0, 9)]
+    df = spark.createDataFrame(rows, "key string, at timestamp_ntz, call_id long")
+    out = jobs.first_seen_stream(as_files(spark, tmp_path, df, 9), "key", "at", "call_id", label=str(tmp_path / "expired"))
+    # 3 lies in the lock of 2; 4, 5 in that of 1; 7 within a day of 6; 9 is a day after 1 and a day before 6.
+    assert sorted(r.call_id for r in out.collect()) == [1, 2, 6, 8, 9]
+
+
+def test_fifty_merged_parts_are_few_files(spark, tmp_path):
+    table = stores.MergedTable(spark, str(tmp_path / "merged"), lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")))
+    for b in range(50):
+        table.write(spark.range(3).select(F.col("id").alias("k"), F.lit(b).cast("bigint").alias("n")), b)
+        assert len(table.sources()) <= stores.MERGE_EVERY + 2
+    assert {tuple(r) for r in table.read().collect()} == {(k, sum(range(50))) for k in range(3)}
+    assert {tuple(r) for r in table.read(10).collect()} == {(k, sum(range(10))) for k in range(3)} or table._merged(10) is None
+    # The last batch again, as after a crash: it counts once.
+    table.write(spark.range(3).select(F.col("id").alias("k"), F.lit(49).cast("bigint").alias("n")), 49)
+    assert {tuple(r) for r in table.read().collect()} == {(k, sum(range(50))) for k in range(3)}
+
+
+def test_retries_resume_with_and_without_input(spark, tmp_path):
+    job = str(tmp_path / "job")
+    failed = F.col("attempt") < F.col("call_id") % 5
+    run = lambda: jobs.retry_stream(io.file_events(spark, str(tmp_path), "calls", 1), failed, label=job)
+    as_files(spark, tmp_path, spark.range(10).select(F.col("id").alias("call_id")), 1)
+    first = [sorted(map(tuple, t.collect())) for t in run()]
+    assert [sorted(map(tuple, t.collect())) for t in run()] == first  # no new input
+    as_files(spark, tmp_path, spark.range(10, 20).select(F.col("id").alias("call_id")), 1)
+    done, dead = run()
+    assert sorted(r.call_id for r in done.collect()) == [i for i in range(20) if i % 5 != 4]
+    assert sorted(r.call_id for r in dead.collect()) == [i for i in range(20) if i % 5 == 4]
+
+
+def envelope(i, amount=500_000):
+    return (
+        '{"event":"payment.failed","payload":{"payment":{"entity":{"id":"pay_%d","order_id":"o","amount":%d,'
+        '"error_code":"GATEWAY_ERROR","created_at":1704100000}}}}' % (i, amount)
+    )
+
+
+def test_a_decision_job_broken_off_ends_with_the_same_tables(spark, tmp_path, monkeypatch):
+    rows = [(envelope(i), T0 + timedelta(minutes=i)) for i in range(12)] + [("{broken", T0)]
+    failed = F.col("attempt") < F.substring("payment_id", 5, 3).cast("int") % 5
+    as_files(spark, tmp_path, spark.createDataFrame(rows, "raw string, received_at timestamp_ntz"), 1)
+
+    def run(label):
+        out = jobs.decision_stream(io.file_events(spark, str(tmp_path), "calls", 1), label=label, failed=failed)
+        return [sorted(map(str, t.select(sorted(t.columns)).collect())) for t in out]
+
+    want = run(str(tmp_path / "whole"))
+    assert len(want[0]) == 10 and len(want[1]) == 3 and want[2] and run(str(tmp_path / "whole")) == want
+    job = str(tmp_path / "broken")
+    write, calls_made = stores.BatchTable.write, [0]
+    for stop in (2, 4, 9, 14):
+
+        def limited(self, *args, **kwargs):
+            calls_made[0] += 1
+            if calls_made[0] > stop:
+                raise RuntimeError("stopped")
+            return write(self, *args, **kwargs)
+
+        calls_made[0] = 0
+        monkeypatch.setattr(stores.BatchTable, "write", limited)
+        with pytest.raises(Exception, match="stopped"):
+            run(job)
+        monkeypatch.setattr(stores.BatchTable, "write", write)
+    assert run(job) == want
+
+
 def test_a_replayed_batch_counts_once(spark):
-    table = io.BatchTable(spark, "replay")
+    table = stores.BatchTable(spark, "replay")
     table.write(spark.range(5), 0)
     table.write(spark.range(3), 1)
     table.write(spark.range(3), 1)

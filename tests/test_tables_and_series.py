@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from paymend.operators import health, review, timeseries
+from paymend.operators import health, locks, review, timeseries
 from paymend.sources import envelope, tables
 
 T0 = datetime(2024, 1, 1)
@@ -84,17 +84,35 @@ def walk_first_seen(rows, ttl):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("limit", [20000, 10])
-def test_first_seen_equals_a_walk_for_normal_and_hot_keys(spark, limit):
+@pytest.mark.parametrize("cells", [1024, 3])
+def test_first_seen_equals_a_walk_for_normal_and_hot_keys(spark, monkeypatch, cells):
+    monkeypatch.setattr(locks, "CELLS", cells)
     rng = random.Random(11)
     rows = [("hot", T0 + timedelta(seconds=rng.randint(0, 20000)), i) for i in range(300)]
     rows += [(f"k{i % 40}", T0 + timedelta(seconds=rng.randint(0, 20000)), 1000 + i) for i in range(120)]
     rows += [("edge", T0, 5000), ("edge", T0 + timedelta(seconds=3599), 5001), ("edge", T0 + timedelta(seconds=3600), 5002)]
     df = spark.createDataFrame(rows, "k string, at timestamp_ntz, e int")
-    out = timeseries.first_seen(df, "k", "at", "e", ttl_seconds=3600, fold_limit=limit, salts=4)
+    out = locks.first_seen(df, "k", "at", "e", ttl_seconds=3600)
     assert sorted(tuple(r) for r in out.collect()) == walk_first_seen(rows, 3600)
 
 
+@pytest.mark.parametrize("ttl", [86400, 3600, 17])
+def test_one_key_with_200_000_events(spark, ttl):
+    df = spark.range(200_000).selectExpr("cast(null as string) AS k", "timestamp_micros(1700000000000000 + (id * id * 7919) % 8000000000000) AS at", "id AS e")
+    got = [r[0] for r in locks.first_seen(df, "k", "at", "e", ttl).select(F.unix_micros(F.col("at").cast("timestamp"))).collect()]
+    want = []
+    for t in sorted({r[0] for r in df.select(F.unix_micros("at")).collect()}):
+        if not want or t >= want[-1] + ttl * 1_000_000:
+            want.append(t)
+    assert sorted(got) == want
+
+
+def test_first_seen_of_nothing_and_of_rows_without_time(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", T0, 3), ("a", T0, 2), (None, T0, 4), ("b", datetime(1901, 5, 1), 5)], "k string, at timestamp_ntz, e int")
+    assert sorted(r.e for r in locks.first_seen(df, "k", "at", "e").collect()) == [2, 4, 5]
+    assert locks.first_seen(df.limit(0), "k", "at", "e").count() == 0
+
+
 def test_rolling_score_across_days_equals_plain_frames(spark):
     rng = random.Random(4)
     rows = [("m", T0 + timedelta(minutes=5 * i, seconds=j), 10) for i in range(700) for j in range(rng.choice([0, 1, 1, 2, 9]))]
