@@ -179,7 +179,7 @@ def test_fifty_merged_parts_are_few_files(spark, tmp_path):
         table.write(spark.range(3).select(F.col("id").alias("k"), F.lit(b).cast("bigint").alias("n")), b)
         assert len(table.sources()) <= stores.MERGE_EVERY + 2
     assert {tuple(r) for r in table.read().collect()} == {(k, sum(range(50))) for k in range(3)}
-    assert {tuple(r) for r in table.read(10).collect()} == {(k, sum(range(10))) for k in range(3)} or table._merged(10) is None
+    assert {tuple(r) for r in table.read(49).collect()} == {(k, sum(range(49))) for k in range(3)}
     # The last batch again, as after a crash: it counts once.
     table.write(spark.range(3).select(F.col("id").alias("k"), F.lit(49).cast("bigint").alias("n")), 49)
     assert {tuple(r) for r in table.read().collect()} == {(k, sum(range(50))) for k in range(3)}
