@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 import re
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from paymend.functions.binding import bind
 from paymend.functions.classify import amount_band
 from paymend.functions.messages import fill, template_rows, whole_rupees
+from paymend.sources.scratch import materialise
 
 TOKEN = "[a-z₹0-9]+"
 BOOSTS = (0.15, 0.10, 0.05)  # category, amount band, channel
-BATCH = 500
 TOP_K = 3
 MIN_SIMILARITY = 0.0
-#: Library entries that are compared at once; larger libraries take several rounds.
-BLOCK = 500
+#: Library entries of a block, rows of a pack, and copies of a block that share its packs.
+BLOCK, PACK, SIDES = 500, 1024, 16
 
 
 def tokens(text: Column) -> Column:
@@ -27,51 +26,27 @@ def tokens(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """``doc, token, tf, n`` for every distinct token of every document, without a shuffle.
+    """``doc, token, tf`` for every distinct token of every document, counted in the tasks that read it first."""
+    return docs.select(doc, F.explode(tokens(F.col(text))).alias("token")).groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"))
 
-    A document is one row, so its tokens are sorted and run-length counted
-    inside that row.
-    """
-    split = bind(docs.select(F.col(doc), F.col(text)), {"_t": F.array_sort(tokens(F.col(text)))}).drop(text)
-    place = F.transform("_t", lambda x, i: F.struct(x.alias("token"), i.alias("at")))
-    firsts = F.filter(
-        place, lambda m: (m.getField("at") == 0) | (m.getField("token") != F.get(F.col("_t"), m.getField("at") - 1))
-    )
-    counted = bind(split, {"_f": firsts})
-    entries = F.transform(
-        "_f",
-        lambda m, j: F.struct(
-            m.getField("token").alias("token"),
-            (F.coalesce(F.get(F.col("_f"), j + 1).getField("at"), F.size("_t")) - m.getField("at")).alias("tf"),
-        ),
-    )
-    counted = counted.select(doc, F.size("_t").alias("n"), entries.alias("_e"))
-    return counted.select(doc, "n", F.inline("_e"))
 
-
-def term_weights(docs: DataFrame, doc: str, text: str, salts: int = 8) -> DataFrame:
+def term_weights(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Sparse TF-IDF rows ``doc, token, idf, weight``; every document has length 1.
 
-    The document frequencies are a map-side combined count. They come back by
-    a join on (token, salt): a word found in a third of the documents is spread
-    over ``salts`` tasks, and the small frequency side is repeated instead. The
-    merge hint keeps the planner from broadcasting a side that only looks small
-    because it does not see how many rows a text becomes.
+    Texts are read and split once: the counts are stored, and both the document
+    frequencies and the weights come from them. The planner joins the two by
+    their sizes; a word found in a third of the documents makes a skewed
+    partition that is split at run time. The number of words of a document
+    scales all its weights alike, so it cancels.
     """
-    counts = term_counts(docs, doc, text)
+    counts = materialise(term_counts(docs, doc, text), "terms")
     size = docs.agg(F.count(F.lit(1))).scalar()
     frequency = counts.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    repeated = frequency.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = counts.withColumn("_s", F.pmod(F.xxhash64(doc), F.lit(salts)).cast("int"))
-    joined = salted.join(repeated.hint("merge"), ["token", "_s"]).withColumn(
-        "idf", F.log((size + 1) / (F.col("_df") + 1)) + 1.0
-    )
-    raw = joined.withColumn("_w", F.col("tf") / F.col("n") * F.col("idf"))
+    raw = counts.join(frequency, "token").withColumn("idf", F.log((size + 1) / (F.col("_df") + 1)) + 1.0)
+    raw = raw.withColumn("_w", F.col("tf") * F.col("idf"))
     # One window partition is one document, which already fitted into one row.
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
-    return raw.withColumn("_norm", norm).select(
-        doc, "token", "idf", (F.col("_w") / F.col("_norm")).alias("weight")
-    )
+    return raw.withColumn("_norm", norm).select(doc, "token", "idf", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
 def template_library(spark: SparkSession) -> DataFrame:
@@ -83,48 +58,42 @@ def template_library(spark: SparkSession) -> DataFrame:
     )
 
 
-class Block(NamedTuple):
-    """Consecutive templates: their ids, texts and labels, and their weights for the words they use."""
-
-    ids: np.ndarray
-    texts: np.ndarray
-    labels: list[np.ndarray]
-    words: np.ndarray
-    weights: np.ndarray
-
-
-class FittedLibrary(NamedTuple):
-    """Weights of a template library, in blocks in library order."""
-
-    words: list[str]
-    idf: np.ndarray
-    blocks: list[Block]
-
-
-def fit_library(library: DataFrame) -> FittedLibrary:
-    """Weights of a message library, computed by Spark and fetched once like a fitted model."""
-    rows = library.orderBy("rank").collect()
-    place = {r["template_id"]: i for i, r in enumerate(rows)}
-    found = term_weights(library, "template_id", "text").collect()
-    words = sorted({r["token"] for r in found})
-    index = {w: i for i, w in enumerate(words)}
-    idf = np.zeros(len(words))
-    entries: dict[int, list[tuple[int, int, float]]] = {}
-    for r in found:
-        word, at = index[r["token"]], place[r["template_id"]]
-        idf[word] = r["idf"]
-        entries.setdefault(at // BLOCK, []).append((word, at % BLOCK, r["weight"]))
-    blocks = []
-    for start in range(0, len(rows), BLOCK):
-        part, own = rows[start : start + BLOCK], entries.get(start // BLOCK, [])
-        used = np.unique(np.array([w for w, _, _ in own], int))
-        weights = np.zeros((len(used), len(part)))
-        for word, at, weight in own:
-            weights[np.searchsorted(used, word), at] = weight
-        labels = [np.array([str(r[c]).upper() for r in part]) for c in ("category", "amount_band", "channel")]
-        ids, texts = (np.array([r[c] for r in part], object) for c in ("template_id", "text"))
-        blocks.append(Block(ids, texts, labels, used, weights))
-    return FittedLibrary(words, idf, blocks)
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in packs of ``PACK``, each one binary value."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PACK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch.slice(start, PACK))
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["_pack"])
+
+
+def _grid(rows: DataFrame, library: DataFrame, name: str, score: Callable[[pa.Table, pa.StructArray], list[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``score`` of every pack of rows against every block of library entries, in cells of a grid.
+
+    ``library`` is cut into blocks of some ``BLOCK`` entries by a hash of ``name``, and rows into packs. A
+    cell joins one pack with one block, so neither side is held or collected whole; the planner
+    sends a small library to the packs, or else deals cells by block and side.
+    """
+    count = F.greatest(F.lit(1), F.ceil(library.agg(F.count(F.lit(1))).scalar() / BLOCK)).cast("int")
+    block = F.pmod(F.xxhash64(name), count).cast("int").alias("_block")
+    blocks = library.select(block, F.struct("*").alias("_entry")).groupBy("_block").agg(F.collect_list("_entry").alias("_entries"))
+    blocks = blocks.withColumn("_side", F.explode(F.sequence(F.lit(0), F.lit(SIDES - 1))))
+    packs = rows.mapInArrow(_pack, "_pack binary")
+    cells = packs.withColumns({"_side": F.pmod(F.xxhash64("_pack"), F.lit(SIDES)).cast("int"), "_block": F.explode(F.sequence(F.lit(0), count - 1))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pack = pa.ipc.open_stream(batch.column("_pack")[i].as_py()).read_all()
+                yield from score(pack, batch.column("_entries")[i].values)
+
+    return cells.join(blocks, ["_block", "_side"]).select("_pack", "_entries").mapInArrow(run, schema)
+
+
+def _best(hits: DataFrame, key: str, top_k: int) -> DataFrame:
+    """``key, hits``: the first ``top_k`` of the hits of all blocks, in the order of their fields."""
+    return hits.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, top_k).alias("hits"))
 
 
 def query_text(category: Column, amount_paise: Column, channel: Column, reason: Column) -> Column:
@@ -141,6 +110,38 @@ def query_text(category: Column, amount_paise: Column, channel: Column, reason:
     )
 
 
+def _score_templates(top_k: int):
+    kind = pa.list_(pa.struct([("order", pa.float64()), ("rank", pa.int32()), ("template_id", pa.string()), ("cosine", pa.float64()), ("score", pa.float64())]))
+
+    def run(asked: pa.Table, block: pa.StructArray) -> list[pa.RecordBatch]:
+        entries = block.to_pylist()
+        words = {w: i for i, w in enumerate(sorted({t["token"] for e in entries for t in e["terms"] or ()}))}
+        weights = np.zeros((len(words), len(entries)))
+        for j, e in enumerate(entries):
+            for t in e["terms"] or ():
+                weights[words[t["token"]], j] = t["weight"]
+        vectors = np.zeros((asked.num_rows, len(words)))
+        for i, terms in enumerate(asked.column("terms").to_pylist()):
+            for t in terms or ():
+                at = words.get(t["token"])
+                if at is not None:
+                    vectors[i, at] = t["value"]
+        cosine = vectors @ weights
+        score = cosine.copy()
+        for column, label, bonus in zip(("_cat", "_band", "_chan"), ("category", "amount_band", "channel"), BOOSTS):
+            have = np.array([str(e[label]).upper() for e in entries])
+            score += (np.array(asked.column(column).to_pylist(), str)[:, None] == have[None, :]) * bonus
+        rank = np.array([e["rank"] for e in entries])
+        order = np.lexsort((np.broadcast_to(rank, score.shape), -np.round(score, 9)), axis=1)[:, :top_k]
+        hits = [
+            [{"order": -round(float(score[i, j]), 9), "rank": int(rank[j]), "template_id": entries[j]["template_id"], "cosine": float(cosine[i, j]), "score": float(score[i, j])} for j in row]
+            for i, row in enumerate(order)
+        ]
+        return [pa.RecordBatch.from_arrays([asked.column("_id").combine_chunks(), pa.array(hits, kind)], ["_id", "hits"])]
+
+    return run
+
+
 def rank_templates(
     df: DataFrame,
     library: DataFrame,
@@ -153,69 +154,35 @@ def rank_templates(
 ) -> DataFrame:
     """Add ``hits`` (best templates with ``cosine`` and boosted ``score``) and ``best_text``.
 
-    A narrow transformation: the fitted library travels like a model, so no row
-    meets any other row and nothing is shuffled. Each Arrow batch is a count
-    matrix times the library matrix, one block of templates after the other;
-    the best so far go along, so a library may have any size. Library order
-    breaks ties.
+    Rows that ask the same are scored once. Their words meet the library's
+    weights in a join, which gives each its vector; vectors meet the library in
+    a grid of blocks (``_grid``), a matrix product per cell, and the best of the
+    blocks are merged by an aggregate. So a library may have any size and is
+    never collected. Library order (``rank``) breaks ties.
     """
-    shared = df.sparkSession.sparkContext.broadcast(fit_library(library))
-
-    @F.pandas_udf("id array<string>, cosine array<double>, score array<double>, text string")
-    def best(tok: pd.Series, cat: pd.Series, band: pd.Series, chan: pd.Series) -> pd.DataFrame:
-        words, idf, blocks = shared.value
-        vocabulary = pd.Index(words)
-        out = {"id": [], "cosine": [], "score": [], "text": []}
-        for start in range(0, len(tok), BATCH):
-            part = slice(start, start + BATCH)
-            lists = tok.iloc[part]
-            sizes = lists.str.len().to_numpy()
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            word = vocabulary.get_indexer(np.concatenate(lists.to_list())) if len(row) else np.zeros(0, int)
-            cell, tf = np.unique(row[word >= 0] * len(words) + word[word >= 0], return_counts=True)
-            row, word = cell // max(1, len(words)), cell % max(1, len(words))
-            # The length of the text scales all its weights alike and cancels in the cosine.
-            value = tf * idf[word]
-            norm = np.sqrt(np.bincount(row, value * value, len(sizes)))
-            norm = np.where(norm > 0, norm, 1.0)[:, None]
-            asked = [given.iloc[part].fillna("").str.upper().to_numpy(dtype=str)[:, None] for given in (cat, band, chan)]
-            ids = texts = np.zeros((len(sizes), 0), object)
-            cosine = score = np.zeros((len(sizes), 0))
-            for block in blocks:
-                at = np.searchsorted(block.words, word)
-                here = np.zeros(len(word), bool)
-                if len(block.words):
-                    here = block.words[np.minimum(at, len(block.words) - 1)] == word
-                vectors = np.zeros((len(sizes), len(block.words)))
-                vectors[row[here], at[here]] = value[here]
-                near = vectors @ block.weights / norm
-                boosted = near + sum((a == have[None, :]) * bonus for a, have, bonus in zip(asked, block.labels, BOOSTS))
-                # What was found before stands first, so equal scores keep library order.
-                wide = [np.hstack([old, np.broadcast_to(new, near.shape)]) for old, new in ((ids, block.ids), (texts, block.texts), (cosine, near), (score, boosted))]
-                order = np.argsort(-np.round(wide[3], 9), axis=1, kind="stable")[:, :top_k]
-                ids, texts, cosine, score = (np.take_along_axis(w, order, axis=1) for w in wide)
-            for i in range(len(sizes)):
-                good = np.round(score[i], 9) >= min_score
-                out["id"].append(ids[i][good])
-                out["cosine"].append(cosine[i][good])
-                out["score"].append(score[i][good])
-                out["text"].append(texts[i][good][0] if good.any() else None)
-        return pd.DataFrame(out)
-
     band = amount_band(F.col(amount) / F.lit(100.0))
-    out = df.withColumn(
-        "_best", best(tokens(F.col(text)), F.col(category).cast("string"), band, F.col(channel).cast("string"))
-    )
-    hits = F.transform(
-        F.arrays_zip("_best.id", "_best.cosine", "_best.score"),
-        lambda s: F.struct(
-            s.getField("id").alias("template_id"),
-            F.round(s.getField("cosine"), 4).alias("cosine"),
-            F.round(s.getField("score"), 4).alias("score"),
-        ),
-    )
-    # Bound, so that an explode of the hits does not run the Python function again in a filter.
-    return bind(out, {"hits": hits, "best_text": F.col("_best.text")}).drop("_best")
+    upper = lambda c: F.upper(F.coalesce(c.cast("string"), F.lit("")))
+    asks = {"_q": F.coalesce(F.col(text), F.lit("")), "_cat": upper(F.col(category)), "_band": upper(band), "_chan": upper(F.col(channel))}
+    asked = df.select(*(c.alias(n) for n, c in asks.items())).distinct().withColumn("_id", F.monotonically_increasing_id())
+    asked = materialise(asked, "asked")
+    weights = materialise(term_weights(library, "template_id", "text"), "weights")
+    known = weights.groupBy("token").agg(F.max("idf").alias("idf"))
+    found = asked.select("_id", F.explode(tokens(F.col("_q"))).alias("token")).join(known, "token").groupBy("_id", "token").agg((F.count(F.lit(1)) * F.max("idf")).alias("value"))
+    vectors = found.groupBy("_id").agg(F.collect_list(F.struct("token", "value")).alias("terms"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("n"))
+    vectors = vectors.select("_id", F.transform("terms", lambda t: F.struct(t["token"].alias("token"), (t["value"] / F.col("n")).alias("value"))).alias("terms"))
+    rows = asked.join(vectors, "_id", "left").select("_id", "_cat", "_band", "_chan", "terms")
+    entries = library.join(weights.groupBy("template_id").agg(F.collect_list(F.struct("token", "weight")).alias("terms")), "template_id", "left")
+    entries = entries.select("template_id", F.col("rank").cast("int").alias("rank"), "category", "amount_band", "channel", "terms")
+    hits = "array<struct<order: double, rank: int, template_id: string, cosine: double, score: double>>"
+    merged = _best(_grid(rows, entries, "template_id", _score_templates(top_k), f"_id bigint, hits {hits}"), "_id", top_k)
+    merged = merged.withColumn("hits", F.filter("hits", lambda h: -h["order"] >= min_score))
+    texts = library.select(F.col("template_id").alias("_first"), F.col("text").alias("best_text"))
+    merged = merged.withColumn("_first", F.get(F.col("hits"), 0)["template_id"]).join(texts, "_first", "left")
+    shown = F.transform("hits", lambda h: F.struct(h["template_id"].alias("template_id"), F.round(h["cosine"], 4).alias("cosine"), F.round(h["score"], 4).alias("score")))
+    answers = asked.join(merged, "_id").select(*asks, shown.alias("hits"), "best_text")
+    none = F.array().cast("array<struct<template_id: string, cosine: double, score: double>>")
+    out = df.withColumns(asks).join(answers, list(asks), "left").drop(*asks)
+    return out.withColumn("hits", F.coalesce("hits", none))
 
 
 def personalise(
@@ -305,33 +272,37 @@ def centroids(df: DataFrame, label: str = "label", vector: str = "embedding") ->
     )
 
 
+def _score_vectors(label: str, top_k: int):
+    def run(rows: pa.Table, block: pa.StructArray) -> list[pa.RecordBatch]:
+        # By label, so that a stable order breaks ties by it.
+        labels, library = zip(*sorted((e[label], e["vector"]) for e in block.to_pylist()))
+        library = np.array(library, float)
+        given = rows.column("vector").to_pylist()
+        good = [i for i, v in enumerate(given) if v is not None and len(v) == library.shape[1] and any(v)]
+        vectors = np.array([given[i] for i in good], float).reshape(len(good), library.shape[1])
+        near = vectors @ library.T / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+        order = np.argsort(-np.round(near, 9), axis=1, kind="stable")[:, :top_k]
+        hits = [[{"order": -round(float(near[i, j]), 9), "label": labels[j]} for j in row] for i, row in enumerate(order)]
+        kind = pa.list_(pa.struct([("order", pa.float64()), ("label", block.field(label).type)]))
+        keys = rows.column("key").combine_chunks().take(pa.array(good, pa.int64()))
+        return [pa.RecordBatch.from_arrays([keys, pa.array(hits, kind)], ["key", "hits"])]
+
+    return run
+
+
 def dense_top_k(
-    df: DataFrame, library: DataFrame, label: str = "label", vector: str = "embedding", top_k: int = TOP_K
+    df: DataFrame, library: DataFrame, key: str, label: str = "label", vector: str = "embedding", top_k: int = TOP_K
 ) -> DataFrame:
-    """Add ``hits``: the nearest library vectors of each row by cosine, ties by label.
+    """``key, hits``: the nearest library vectors (unit length) of each row by cosine, ties by label.
 
-    The library travels as size-bounded values and the big side is never
-    shuffled. A library above ``BLOCK`` entries is cut into parts by a hash of
-    the label, and the best of each part are merged, which is exact.
+    Packs of rows meet blocks of the library in a grid, a matrix product per
+    cell, and the best of the blocks are merged by an aggregate: the plan is the
+    same whatever the library's size, and nothing is collected. ``key`` names a
+    row; rows without a vector, with a vector of zeros or of another length have none.
     """
-    parts = max(1, -(-library.count() // BLOCK))
-    entry = F.struct(F.col(label).alias("label"), F.col("vector"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-    out = bind(df, {"_v": F.col(vector).cast("array<double>")})
-    out = bind(out, {"_n": norm})
-
-    def near(c: Column) -> Column:
-        dot = F.aggregate(
-            F.zip_with(F.col("_v"), c.getField("vector"), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x
-        )
-        return F.struct((-F.round(dot / F.col("_n"), 9)).alias("order"), c.getField("label").alias("label"))
-
-    for i in range(parts):
-        part = library.filter(F.pmod(F.xxhash64(label), F.lit(parts)) == i)
-        packed = part.agg(F.sort_array(F.collect_list(entry))).scalar()
-        out = bind(out, {"_lib": packed})
-        found = F.transform("_lib", near)
-        if i:
-            found = F.concat(F.col("hits"), found)
-        out = bind(out, {"hits": F.slice(F.array_sort(found), 1, top_k)})
-    return out.drop("_lib", "_v", "_n")
+    kinds = dict(df.dtypes) | {"label": dict(library.dtypes)[label]}
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    entries = library.select(label, F.col("vector").cast("array<double>").alias("vector"))
+    hits = f"array<struct<order: double, label: {kinds['label']}>>"
+    found = _grid(rows, entries, label, _score_vectors(label, top_k), f"key {kinds[key]}, hits {hits}")
+    return _best(found, "key", top_k).withColumnRenamed("key", key)

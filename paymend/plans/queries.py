@@ -1077,7 +1077,7 @@ def keyword_hits(spark, d):
 @query
 def dense_neighbours(spark, d):
     e = table(spark, d, "embeddings")
-    out = retrieval.dense_top_k(e, retrieval.centroids(e))
+    out = retrieval.dense_top_k(e, retrieval.centroids(e), "vec_id")
     return out.select("vec_id", F.posexplode("hits").alias("i", "h")).select(
         "vec_id", (F.col("i") + 1).alias("position"), "h.label", F.round(-F.col("h.order"), 5).alias("cosine")
     )

@@ -33,7 +33,7 @@ def test_library_is_complete():
 def test_weights(spark):
     texts = {1: "Pay now, pay later!", 2: "later ₹500", 3: "pay ₹500 now"}
     _, want = vectors(texts)
-    got = retrieval.term_weights(spark.createDataFrame(list(texts.items()), "id int, text string"), "id", "text", salts=3).collect()
+    got = retrieval.term_weights(spark.createDataFrame(list(texts.items()), "id int, text string"), "id", "text").collect()
     assert len(got) == sum(len(v) for v in want.values())
     for r in got:
         assert r.weight == pytest.approx(want[r.id][r.token])
@@ -92,16 +92,17 @@ def test_given_draft_is_kept_and_amount_sign_is_not_doubled(spark):
 
 def test_dense_neighbours(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [0.0, 2.0], 1)], "vec_id int, embedding array<double>, label int")
-    out = retrieval.dense_top_k(df, retrieval.centroids(df), top_k=1).collect()
-    assert [(r.vec_id, r.hits[0].label) for r in out] == [(1, 0), (2, 0), (3, 1)]
+    out = retrieval.dense_top_k(df, retrieval.centroids(df), "vec_id", top_k=1).collect()
+    assert sorted((r.vec_id, r.hits[0].label) for r in out) == [(1, 0), (2, 0), (3, 1)]
 
 
 def test_a_large_vector_library_is_searched_in_parts(spark, monkeypatch):
     df = spark.range(40).select("id", F.array(F.cos("id"), F.sin("id")).alias("embedding"), F.col("id").alias("label"))
     library = retrieval.centroids(df)
-    whole = retrieval.dense_top_k(df, library).select("id", "hits").collect()
+    whole = retrieval.dense_top_k(df, library, "id").collect()
     monkeypatch.setattr(retrieval, "BLOCK", 7)
-    assert sorted(retrieval.dense_top_k(df, library).select("id", "hits").collect()) == sorted(whole)
+    monkeypatch.setattr(retrieval, "PACK", 3)
+    assert sorted(retrieval.dense_top_k(df, library, "id").collect()) == sorted(whole) and len(whole) == 40
 
 
 def test_keyword_hits(spark):
