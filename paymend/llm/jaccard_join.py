@@ -9,7 +9,8 @@ Groups that share a signature are never expanded into pairs. Round one compares
 member with the smallest one. Where a group is in one component afterwards, its other
 pairs cannot change the result. Round two compares, around hubs whose groups are still in
 several components, the members outside the hub's component with those of other components,
-in blocks and by sketches first.
+in blocks: sketches first, then the sets themselves. A block passes over pairs whose components it
+has just tied, and emits fewer links than it has components.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ from paymend.llm.components import components
 from paymend.llm.shingles import SKETCH, set_digest, shingle_sets, similar, sketch
 from paymend.sources.scratch import materialise
 
-#: Signatures that a map task gathers before it sends them on, that a bucket should hold, and members of a group compared at once.
-FLUSH, BUCKET, BLOCK = 2_000_000, 500_000, 4096
+#: Signatures that a map task gathers before it sends them on, and that a bucket should hold.
+FLUSH, BUCKET = 2_000_000, 500_000
+#: Members of a side of a block, and elements of their sets.
+BLOCK, BLOCK_ELEMENTS = 2048, 1_000_000
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
 _PACKED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("tops", pa.binary()), ("lows", pa.binary()), ("which", pa.binary()), ("tied", pa.binary())])
+_ELEMENTS = pa.schema([("rep", pa.int64()), ("elements", pa.binary()), ("sketch", pa.binary())])
 _MEMBER = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
 
 
@@ -199,9 +203,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     ties = rep_of.join(ties.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b")
     links = materialise(links.unionByName(ties), "links")
     parts = components(links)
-    open_pairs = materialise(_open_pairs(members, hubs, parts, known, percent), "pairs")
-    if not open_pairs.isEmpty():
-        more = _verified(open_pairs, _texts(docs, open_pairs), width, percent)
+    more = materialise(_open_links(members, hubs, parts, docs, known, width, percent), "links")
+    if not more.isEmpty():
         parts = components(links.unionByName(more))
     out = sets.join(parts, sets.rep == parts.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
@@ -213,44 +216,80 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(docs.join(named, "doc_id", "left_semi").distinct(), "texts")
 
 
-def _open_pairs(members: DataFrame, hubs: DataFrame, parts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs around a hub that are in different components, are no hub, and may be similar by their sketches.
+def _open_links(members: DataFrame, hubs: DataFrame, parts: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) links around a hub that tie its open components; of the links between two components in a block, one.
 
     Groups in several components are taken by hub. Their members outside the hub's component are
-    held against all others in blocks of some ``BLOCK`` rows a side, so a group of any size is many
-    small tasks; pairs that the sketches rule out never become rows.
+    held against all others in blocks of some ``BLOCK`` rows or ``BLOCK_ELEMENTS`` set elements a side,
+    so a group of any size is many small tasks.
     """
     part = parts.withColumnRenamed("node", "rep").withColumnRenamed("component", "part")
     known = members.join(hubs, "sig").join(part, "rep", "left").select("sig", "rep", "hub", F.coalesce("part", "rep").alias("part"))
     mixed = known.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q and n > 2").select("sig")
     around = materialise(known.join(mixed, "sig").select("hub", "rep", "part").distinct(), "around")
+    named = around.select(F.col("rep").alias("doc_id")).distinct()
+    long = sizes.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.sum("n_shingles").alias("n"))
     home = around.where("rep = hub").select("hub", F.col("part").alias("home"))
     rows = around.where("rep <> hub").join(home, "hub").withColumn("away", F.col("part") != F.col("home"))
-    size = rows.groupBy("hub").agg(F.ceil(F.sum(F.col("away").cast("int")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"))
+    rows = rows.join(long.withColumnRenamed("doc_id", "rep"), "rep")
+    blocks = lambda own: F.ceil(F.greatest(F.sum(own) / BLOCK, F.sum(own * F.col("n")) / BLOCK_ELEMENTS)).cast("int")
+    size = rows.groupBy("hub").agg(blocks(F.col("away").cast("int")).alias("lefts"), blocks(F.lit(1)).alias("rights"))
     rows = rows.join(size.where("lefts > 0"), "hub")
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("away").select("hub", "rep", "part", "away", F.lit(True).alias("is_left"), block("lefts").alias("i"), every("rights").alias("j"))
     right = rows.select("hub", "rep", "part", "away", F.lit(False).alias("is_left"), every("lefts").alias("i"), block("rights").alias("j"))
-    about = sketches.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
+
+    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(raw(batch), width)
+        return emit(_ELEMENTS, rep=batch.column("doc_id"), elements=[x.tobytes() for x in sets], sketch=[sketch(x) for x in sets])
+
+    # A document with several texts is there once for each.
+    about = materialise(map_chunks(docs.join(named, "doc_id", "left_semi").distinct(), sets_of, "rep long, elements binary, sketch binary"), "elements")
 
     def compare(table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("is_left"))
-        columns = {c: np.asarray(table.column(c)) for c in ("rep", "part", "away", "n_shingles")}
+        rep, part, away = (np.asarray(table.column(c)) for c in ("rep", "part", "away"))
         cells = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(side), SKETCH).astype(np.int16)
-        rep, part, away, n = (columns[c][~side] for c in ("rep", "part", "away", "n_shingles"))
-        others, a, b = cells[~side], [], []
-        for k in np.flatnonzero(side):
-            mine, size = columns["rep"][k], columns["n_shingles"][k]
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        tie = np.unique(part, return_inverse=True)[1]
+        others, a, b = np.flatnonzero(~side), [], []
+        for k in np.flatnonzero(side).tolist():
             # Two members outside the hub's component meet twice; the larger one asks.
-            ok = (part != columns["part"][k]) & (~away | (rep < mine)) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
-            at = np.flatnonzero(ok)
-            differ = abs(others[at] - cells[k]).sum(axis=1)
-            at = at[differ * (100 + percent) <= (n[at] + size) * (100 - percent)]
-            a.append(np.maximum(rep[at], mine))
-            b.append(np.minimum(rep[at], mine))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
-
-    blocks = left.unionByName(right).join(about, "rep").groupBy("hub", "i", "j")
-    return blocks.applyInArrow(compare, "a long, b long").distinct()
+            ok = (tie[others] != tie[k]) & (~away[others] | (rep[others] < rep[k])) & (100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k]))
+            at = others[ok]
+            differ = abs(cells[at] - cells[k]).sum(axis=1)
+            # 100 * i >= p * u with i + u = x + y and u - i >= differ
+            at = at[differ * (100 + percent) <= (n[at] + n[k]) * (100 - percent)]
+            while len(at):
+                j, at = int(at[0]), at[1:]
+                if similar(sets[j], sets[k], percent):
+                    a.append(max(int(rep[j]), int(rep[k])))
+                    b.append(min(int(rep[j]), int(rep[k])))
+                    tie[tie == tie[j]] = tie[k]
+                    at = at[tie[at] != tie[k]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = left.unionByName(right).join(about, "rep").groupBy("hub", "i", "j")
+    return dealt.applyInArrow(compare, "a long, b long").distinct()
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` but one of each component of similar texts, all columns.
+
+    Decided by row: one with the smallest doc_id of a component stays (null counts as largest), and
+    just one if rows repeat it. So a row goes only if one that stays can be reached by links, whatever
+    ids are null or repeated. Rows without words all stay.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_components(numbered.select(F.col(row).alias("doc_id"), "text"), width, percent)
+    named = numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("id")).join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    named = materialise(named, "named")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
+    many = named.groupBy("component_id").agg(first, F.count("*").alias("n")).where("n > 1").select("component_id", F.col("first.row").alias("stays"))
+    gone = named.join(many, "component_id").where("row <> stays").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(docs.columns)

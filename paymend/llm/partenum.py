@@ -11,9 +11,11 @@ import numpy as np
 
 from paymend.llm.batches import mix
 
-#: (differences allowed inside a first-level part, sub-parts of it): the first that a similarity reaches is used.
-#: Looser similarities leave smaller parts, for which subsets are empty too often, so parts stay whole there.
-SHAPES = ((90, 1, 2), (0, 0, 1))
+#: (differences allowed inside a first-level part, sub-parts of it): subsets of the sub-parts but that many are enumerated.
+#: A band of sizes takes the one with the least cost.
+SHAPES = ((1, 3), (1, 4), (2, 4), (2, 5), (2, 6))
+#: What the sets that share a signature by chance cost, in signatures: a signature of n elements counts CHANCE / 2**n more.
+CHANCE = 100.0
 #: Levels of signatures put in place of an empty subset before it is emitted plainly, and empty subsets that sets of an
 #: instance have on average up to which that is done. With more, spared parts make it rare that one is emitted at all.
 DEPTH, FEW = 3, 0.5
@@ -22,10 +24,9 @@ RARE = 1e-4
 
 
 @lru_cache(maxsize=16)
-def shape(percent: int) -> tuple[int, int, np.ndarray]:
-    """(slips, parts, the enumerated subsets of parts - slips of the parts)."""
-    slips, parts = next((s, p) for least, s, p in SHAPES if percent >= least)
-    return slips, parts, np.array(list(combinations(range(parts), parts - slips)))
+def subsets(slips: int, parts: int) -> np.ndarray:
+    """The enumerated subsets of sub-parts."""
+    return np.array(list(combinations(range(parts), parts - slips)))
 
 
 @dataclass(frozen=True)
@@ -41,23 +42,27 @@ class Instance:
     n1: int
     spare: int
     deeper: bool
+    slips: int
+    parts: int
 
 
 def _instance(number: int, high: int, smallest: int, percent: int) -> Instance:
     k = 2 * high * (100 - percent) // (100 + percent)
-    slips, parts, subsets = shape(percent)
     best = None
-    for spare in sorted({*range(17), *(int(1.25**i) for i in range(12, 90))}):
-        n1 = k // (slips + 1) + 1 + spare
-        count = n1 * len(subsets)
-        rate = count * math.exp(-smallest * (parts - slips) / (n1 * parts))
-        more = spare + 1
-        tail = 1.0 if more <= rate else math.exp(more - rate + more * math.log(rate / more)) if rate else 0.0
-        cost = count * (1 + tail * max(1.0, rate))
-        if best is None or cost < best[0]:
-            best = cost, Instance(number, high, k, n1, spare, rate <= FEW)
-        if tail < RARE or spare > k + 16:
-            break
+    for slips, parts in SHAPES:
+        kinds = len(subsets(slips, parts))
+        for spare in sorted({*range(17), *(int(1.25**i) for i in range(12, 90))}):
+            n1 = k // (slips + 1) + 1 + spare
+            count = n1 * kinds
+            length = smallest * (parts - slips) / (n1 * parts)
+            rate = count * math.exp(-length)
+            more = spare + 1
+            tail = 1.0 if more <= rate else math.exp(more - rate + more * math.log(rate / more)) if rate else 0.0
+            cost = count * (1 + tail * max(1.0, rate)) * (1 + CHANCE * 0.5**length)
+            if best is None or cost < best[0]:
+                best = cost, Instance(number, high, k, n1, spare, rate <= FEW, slips, parts)
+            if tail < RARE or spare > k + 16:
+                break
     return best[1]
 
 
@@ -75,7 +80,7 @@ def bands(percent: int) -> tuple[Instance, ...]:
 @lru_cache(maxsize=16)
 def _tables(percent: int) -> tuple[np.ndarray, ...]:
     rows = bands(percent)
-    return tuple(np.array([getattr(b, f) for b in rows], np.int64) for f in ("high", "k", "n1", "spare", "deeper"))
+    return tuple(np.array([getattr(b, f) for b in rows], np.int64) for f in ("high", "k", "n1", "spare", "deeper", "slips", "parts"))
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
@@ -91,18 +96,23 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     number = np.stack([band, band + 1], axis=1).ravel()
     use = (sizes[owner] > 0) & (k[number] > 0)
     owner, number = owner[use], number[use]
-    found, of = _level([sets[i] for i in owner], number, np.zeros(len(owner), np.uint64), percent, 0)
-    of = owner[of]
+    slips, parts = _tables(percent)[5:]
+    pieces = []
+    for form in SHAPES:
+        here = np.flatnonzero((slips[number] == form[0]) & (parts[number] == form[1]))
+        found, of = _level([sets[i] for i in owner[here]], number[here], np.zeros(len(here), np.uint64), percent, 0, form)
+        pieces.append((found, owner[here][of]))
+    found, of = map(np.concatenate, zip(*pieces))
     order = np.argsort(of, kind="stable")
     return np.split(found[order], np.searchsorted(of[order], np.arange(1, len(sets)))) if len(sets) else []
 
 
-def _level(sets, number, tag, percent, depth):
+def _level(sets, number, tag, percent, depth, form):
     """Signatures of ``sets[i]`` under instance ``number[i]``, and the i of each."""
     if not len(sets):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    _, _, n1s, spares, deeper = _tables(percent)
-    _, parts, subsets = shape(percent)
+    _, _, n1s, spares, deeper, *_ = _tables(percent)
+    parts, chosen = form[1], subsets(*form)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     n1, values = n1s[number], np.concatenate(sets)
     cells = n1 * parts
@@ -116,12 +126,12 @@ def _level(sets, number, tag, percent, depth):
     halves = (body & np.uint64(0xFFFFFFFF), body >> np.uint64(32))
     low, top = (np.bincount(cell, h.astype(float), width) for h in halves)
     count = np.bincount(cell, minlength=width)
-    low, top, count = (x.reshape(-1, parts)[:, subsets].sum(axis=2) for x in (low, top, count))
+    low, top, count = (x.reshape(-1, parts)[:, chosen].sum(axis=2) for x in (low, top, count))
     part_of = np.repeat(np.arange(len(sets)), n1)
     part_no = np.arange(len(part_of)) - np.repeat(base // parts, n1)
-    where = mix((part_no[:, None] * len(subsets) + np.arange(len(subsets))).astype(np.uint64) ^ (seed ^ tag)[part_of][:, None])
+    where = mix((part_no[:, None] * len(chosen) + np.arange(len(chosen))).astype(np.uint64) ^ (seed ^ tag)[part_of][:, None])
     found = mix(mix(mix(low.astype(np.uint64)) + top.astype(np.uint64)) ^ where)
-    of = np.repeat(part_of, len(subsets)).reshape(found.shape)
+    of = np.repeat(part_of, len(chosen)).reshape(found.shape)
     empty = count == 0
     # A similar pair has 1 + spare parts with few differences. If a set has no more parts than that with an
     # empty subset, one of the shared parts shows filled ones, so its empty subsets need no signature.
@@ -136,7 +146,7 @@ def _level(sets, number, tag, percent, depth):
         owners.append(owner[~few])
         tags, owner = tags[few], owner[few]
         if len(tags):
-            more, inner = _level([sets[i] for i in owner], number[owner], tags, percent, depth + 1)
+            more, inner = _level([sets[i] for i in owner], number[owner], tags, percent, depth + 1, form)
             out.append(more)
             owners.append(owner[inner])
     return np.concatenate(out), np.concatenate(owners)

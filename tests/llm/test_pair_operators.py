@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from paymend.llm import decontaminate, packing, partenum
+from paymend.llm import decontaminate, jaccard_join, packing, partenum
 from paymend.llm.components import components
 from paymend.llm.jaccard_join import jaccard_components
 from paymend.llm.queries import tokenizer_path
@@ -234,3 +234,29 @@ def test_packing_numbers_a_hot_length(spark):
             assert offset == at
             at += length
         assert at <= 1000
+
+
+def test_one_of_each_is_decided_by_row(spark):
+    from conftest import DOCS, document_rows, prose
+
+    u, v, w = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = document_rows([u, v, w, u + " more", "", None, "few words"])
+    rows = [(1, *rows[0][1:]), (1, *rows[1][1:]), (None, *rows[2][1:]), (None, *rows[2][1:]), (None, *rows[2][1:]), (None, *rows[3][1:]), (7, *rows[4][1:]), (7, *rows[5][1:]), (8, *rows[6][1:]), (8, *rows[6][1:])]
+    docs = spark.createDataFrame(rows, DOCS)
+    left = jaccard_join.one_of_each(docs.coalesce(1))
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(1, u), (1, v), (None, w), (7, ""), (7, None), (8, "few words")], key=repr)
+
+
+@pytest.mark.parametrize("block", [2, 2048])
+def test_open_groups_are_tied_in_blocks(spark, monkeypatch, block):
+    """A chain of texts around one common passage: neighbours are similar, the ends are not."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 120])) for i in range(40)]
+    rows += [(100 + i, " ".join(words[60:90] + [f"x{rng.random()}" for _ in range(40)])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for width, percent in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, width, percent).collect()}
+        assert got == plain_components(rows, width, percent)
