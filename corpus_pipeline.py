@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from paymend.llm import decontaminate, jaccard_join, packing, quality_classifier, quality_rules
 from paymend.llm.queries import tokenizer_path
@@ -23,20 +23,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
-
-    Of rows that repeat a doc_id one stays, the first by text. Rows with a null doc_id stay
-    unless a document with an id has an equal set of shingles.
-    """
-    groups = materialise(jaccard_join.jaccard_components(docs, SHINGLE, SIMILAR), "groups")
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(copies, "doc_id", "left_anti")
-    # Only ids that are there more than once need a choice.
-    many = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = rest.join(many, "doc_id", "left_anti")
-    other = [c for c in docs.columns if c != "doc_id"]
-    repeated = rest.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in other if c != "text"])).alias("row"))
-    return once.unionByName(repeated.select("doc_id", *[F.col(f"row.`{c}`").alias(c) for c in other])).select(docs.columns)
+    """One document of each group of near copies: the one with the smallest doc_id, decided by row."""
+    return jaccard_join.one_of_each(docs, SHINGLE, SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
