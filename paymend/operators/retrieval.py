@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from paymend.functions.classify import amount_band
@@ -19,6 +20,8 @@ TOP_K = 3
 MIN_SIMILARITY = 0.0
 #: Library entries of a block, rows of a pack, and copies of a block that share its packs.
 BLOCK, PACK, SIDES = 500, 1024, 16
+#: Tokens that a task counts at once; the words of one document count together in any case.
+GATHER = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -26,8 +29,27 @@ def tokens(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """``doc, token, tf`` for every distinct token of every document, counted in the tasks that read it first."""
-    return docs.select(doc, F.explode(tokens(F.col(text))).alias("token")).groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """``doc, token, tf`` for every distinct token of every document, counted in the tasks that read it: no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(pc.list_value_length(batch.column("t")).fill_null(0))
+            ends, start = np.cumsum(sizes), 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + GATHER, side="right")))
+                part = batch.slice(start, stop - start)
+                start = stop
+                words = pc.list_flatten(part.column("t")).dictionary_encode()
+                if not len(words):
+                    continue
+                kinds = len(words.dictionary)
+                cell, n = np.unique(np.asarray(pc.list_parent_indices(part.column("t"))).astype(np.int64) * kinds + np.asarray(words.indices), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(doc).take(pa.array(cell // kinds)), words.dictionary.take(pa.array(cell % kinds)), pa.array(n, pa.int64())], [doc, "token", "tf"]
+                )
+
+    split = docs.select(doc, tokens(F.col(text)).alias("t"))
+    return split.mapInArrow(run, f"`{doc}` {dict(split.dtypes)[doc]}, token string, tf bigint")
 
 
 def term_weights(docs: DataFrame, doc: str, text: str) -> DataFrame:
