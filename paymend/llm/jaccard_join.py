@@ -63,7 +63,7 @@ def _pack(sig: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch:
         rows["docs"].append(docs.astype("<i8").tobytes())
         rows["tops"].append((sig >> np.uint64(32)).astype("<u4").tobytes())
         rows["lows"].append(sig.astype("<u4").tobytes() if bucket < 0 else ((sig >> np.uint64(24)) & np.uint64(255)).astype("u1").tobytes())
-        rows["which"].append(which.astype("<u4").tobytes())
+        rows["which"].append(which.astype("<u2" if len(docs) <= 1 << 16 else "<u4").tobytes())
         rows["tied"].append(tied.astype("u1").tobytes())
 
     if (~lead).any():
@@ -91,7 +91,7 @@ def _home(sig: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def shared_signatures(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """(sig, doc_id) of every signature that two rows or more have."""
+    """(sig, doc_id) of every signature that two rows or more have; signatures that the same rows have may go by one name."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -118,7 +118,8 @@ def shared_signatures(docs: DataFrame, width: int, percent: int, buckets: int) -
         for row in table.to_pylist():
             low = np.frombuffer(row["lows"], "<u4" if own < 0 else "u1").astype(np.uint64)
             sigs.append(np.frombuffer(row["tops"], "<u4").astype(np.uint64) << np.uint64(32) | (low if own < 0 else low << np.uint64(24)))
-            ids.append(np.frombuffer(row["docs"], "<i8")[np.frombuffer(row["which"], "<u4")])
+            known = np.frombuffer(row["docs"], "<i8")
+            ids.append(known[np.frombuffer(row["which"], "<u2" if len(known) <= 1 << 16 else "<u4")])
             ties.append(np.frombuffer(row["tied"], "u1").astype(bool))
         sig, doc, tied = map(np.concatenate, (sigs, ids, ties))
         if own >= 0:
@@ -126,7 +127,13 @@ def shared_signatures(docs: DataFrame, width: int, percent: int, buckets: int) -
             sig, doc, tied = sig[order], doc[order], tied[order]
             same = sig[1:] == sig[:-1]
             many = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | tied
-            sig, doc = sig[many], doc[many]
+            sig, doc, tied = sig[many], doc[many], tied[many]
+            if len(sig):
+                # Near copies share many signatures. A group that is whole here is named by its documents, so it counts once.
+                first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+                size = np.diff(np.append(first, len(sig)))
+                name = mix(np.add.reduceat(mix(doc), first) + size.astype(np.uint64))
+                sig = np.where(np.repeat(np.logical_or.reduceat(tied, first), size), sig, np.repeat(name, size))
         return pa.Table.from_batches([emit(_MEMBER, sig=sig.astype(np.int64), doc_id=doc)])
 
     packed = docs.select("doc_id", "text").mapInArrow(signed, "bucket long, docs binary, tops binary, lows binary, which binary, tied binary")
@@ -192,7 +199,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     shared = shared_signatures(docs, width, percent, buckets)
     # Copies of one set are one member.
     rep_of = sets.where("doc_id is not null and rep is not null").select("doc_id", "rep").distinct()
-    members = materialise(shared.join(rep_of, "doc_id").select("sig", "rep").distinct(), "members")
+    members = materialise(shared.distinct().join(rep_of, "doc_id").select("sig", "rep").distinct(), "members")
     hubs = members.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").drop("top")
     pairs = members.join(hubs, "sig").where("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     # A document with several texts is compared by each of them.

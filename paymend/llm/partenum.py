@@ -12,10 +12,8 @@ import numpy as np
 from paymend.llm.batches import mix
 
 #: (differences allowed inside a first-level part, sub-parts of it): subsets of the sub-parts but that many are enumerated.
-#: A band of sizes takes the one with the least cost.
-SHAPES = ((1, 3), (1, 4), (2, 4), (2, 5), (2, 6))
-#: What the sets that share a signature by chance cost, in signatures: a signature of n elements counts CHANCE / 2**n more.
-CHANCE = 100.0
+#: A band of sizes takes the one with the fewest signatures.
+SHAPES = ((1, 3), (1, 4), (2, 4))
 #: Levels of signatures put in place of an empty subset before it is emitted plainly, and empty subsets that sets of an
 #: instance have on average up to which that is done. With more, spared parts make it rare that one is emitted at all.
 DEPTH, FEW = 3, 0.5
@@ -54,11 +52,10 @@ def _instance(number: int, high: int, smallest: int, percent: int) -> Instance:
         for spare in sorted({*range(17), *(int(1.25**i) for i in range(12, 90))}):
             n1 = k // (slips + 1) + 1 + spare
             count = n1 * kinds
-            length = smallest * (parts - slips) / (n1 * parts)
-            rate = count * math.exp(-length)
+            rate = count * math.exp(-smallest * (parts - slips) / (n1 * parts))
             more = spare + 1
             tail = 1.0 if more <= rate else math.exp(more - rate + more * math.log(rate / more)) if rate else 0.0
-            cost = count * (1 + tail * max(1.0, rate)) * (1 + CHANCE * 0.5**length)
+            cost = count * (1 + tail * max(1.0, rate))
             if best is None or cost < best[0]:
                 best = cost, Instance(number, high, k, n1, spare, rate <= FEW, slips, parts)
             if tail < RARE or spare > k + 16:
