@@ -44,7 +44,7 @@ INLINE = frozenset(
 )
 #: Elements of a head. Any other start tag, or text, ends an open head.
 HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
-#: Whole tokens of class, id or role that mark page furniture, a number at their end aside. Fixed values.
+#: Whole tokens of class, id or role that mark page furniture, a number at their end aside.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer "
     "discussion disqus dropdown footer header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination paywall "
@@ -53,15 +53,26 @@ FURNITURE = frozenset(
     "ad-banner ad-container ad-slot ad-unit comment-list cookie-banner cookie-consent cookie-notice main-menu page-footer page-header related-articles "
     "related-posts share-buttons social-links social-share".split()
 )
-#: Those of them that mean nothing inside an article, where a header holds the title.
+#: Two-part tokens mark as well, in either order: what it is, and the frame it stands in. ``has-sidebar`` or ``search-content`` are none of them.
+_WHAT = "ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies consent menu nav navbar navigation newsletter pagination promo related share sharing sidebar social sponsored subscribe".split()
+_FRAME = "area bar block box bottom container inner item items link links list main page panel post primary secondary section site slot top unit wrap wrapper".split()
+COMPOUND = frozenset(f"{a}-{b}" for what in _WHAT for frame in _FRAME for a, b in ((what, frame), (frame, what)))
+#: Marks of what readers wrote, which may well be most of a page.
+READERS = frozenset(t for t in FURNITURE | COMPOUND if {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "feedback"} & set(t.split("-")))
+#: Those of the marks that mean nothing inside an article, where a header holds the title.
 HEADERS = frozenset(("header", "masthead", "page-header"))
+_MARKS = FURNITURE | COMPOUND
+_INSIDE = _MARKS - HEADERS
+_HEADINGS = frozenset(("h1", "h2", "h3"))
 #: Elements that close an open paragraph.
 _CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+#: A quoted value starts right after the equals sign; elsewhere in a tag a quote is a character like others.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|\S+))?")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[^a-z]+")
 _NUMBER = re.compile(r"[-_]*[0-9]+\Z")
+_JOINT = re.compile("[-_]+")
 
 
 def blocks(page: str | None) -> list[tuple[str, bool, str, str]]:
@@ -71,21 +82,25 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, str]]:
     element on it holds no main text by its name. A class, id or role never marks html, body,
     main, article or what one of the last two stands in, nor does a form around them; only an
     article inside an article (a comment, in the HTML standard) leaves the marks between the
-    two. Null and empty pages have no blocks; a page that ends in the middle of a tag ends there.
+    two. On a page without article and main a marked element or form that has a heading or two
+    paragraphs and over half of the text holds the article, so its mark does not count, unless it
+    names readers' comments. Null and empty pages have no blocks; a page that ends in the middle of a tag ends there.
     """
     page = page or ""
     # name, path, furniture by element, numbers of the marks by class, id or role on the path, in an article or main, in an article
     stack: list[tuple[str, str, bool, tuple[int, ...], bool, bool]] = []
     out, text, style = [], [], []
     lifted: set[int] = set()  # marks on what holds an article or main
+    readers: set[int] = set()  # marks of comments
     made = at = 0
+    told = False  # the page has an article or main
 
     def flush() -> None:
         if text:
             whole = "".join(text)
             whole = _SPACE.sub(" ", html.unescape(whole) if "&" in whole else whole).strip()
             if whole:
-                out.append((*(stack[-1][1:4] if stack else ("", False, ())), ".".join(style), whole))
+                out.append((*(stack[-1][1:4] if stack else ("", False, ())), ".".join(style), whole, stack[-1][0] if stack else ""))
             text.clear()
         style.clear()
 
@@ -147,8 +162,11 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, str]]:
             continue
         tokens, marks, role = set(), [], ""
         for key, value in _ATTR.findall(found[2]) if found[2] else ():
-            key, value = key.lower(), value.strip("\"'").lower()
-            tokens.update(_NUMBER.sub("", t) for t in value.split())
+            key = key.lower()
+            if key not in ("class", "id", "role"):
+                continue
+            value = (value.strip(value[0]) if value[:1] in ("'", '"') else value).lower()
+            tokens.update(_JOINT.sub("-", _NUMBER.sub("", t)) for t in value.split())
             if key == "role":
                 role = value.strip()
             if key != "id":
@@ -157,15 +175,32 @@ def blocks(page: str | None) -> list[tuple[str, bool, str, str]]:
         own = ".".join([name, *marks])
         main, article = name == "main" or role == "main", name == "article" or role == "article"
         if main or article and not nested:
+            told = True
             lifted.update(names)
             names, dead = (), dead and not main  # HTML has no main in a menu, footer or the like: one that was not closed ends here
-        elif name == "form" or name not in ("html", "body") and tokens & (FURNITURE - HEADERS if inside else FURNITURE):
+        elif name == "form" or name not in ("html", "body") and tokens & (_INSIDE if inside else _MARKS):
             made += 1
             names = (*names, made)
+            if tokens & READERS:
+                readers.add(made)
         dead = dead or name != "form" and name in DEAD or name == "header" and not inside
         stack.append((name, f"{path}/{own}" if path else own, dead, names, inside or main or article, nested or article))
     flush()
-    return [(path, dead or not lifted.issuperset(names), style, text) for path, dead, names, style, text in out]
+    if not told and made:
+        lifted.update(_holders(out) - readers)
+    return [(path, dead or not lifted.issuperset(names), style, text) for path, dead, names, style, text, _ in out]
+
+
+def _holders(out: list[tuple[str, bool, tuple[int, ...], str, str, str]]) -> set[int]:
+    """Marks on what has more than half of the text, and a heading or two paragraphs."""
+    size, weight, whole = {}, {}, 0
+    for _, dead, names, _, text, name in out:
+        if not dead:
+            whole += len(text)
+            for k in names:
+                size[k] = size.get(k, 0) + len(text)
+                weight[k] = weight.get(k, 0) + (2 if name in _HEADINGS else name == "p")
+    return {k for k, n in size.items() if 2 * n > whole and weight[k] >= 2}
 
 
 def host_of(url: str | None) -> str:

@@ -121,6 +121,15 @@ def test_extraction_of_one_page(spark):
         ("<head><title>t</title> <b>Bold</b> text", "Bold text"),
         ("<head><style>p{}</style> bare words", "bare words"),
         ('<body><div class="sidebar2">x</div><div class="big ad">y</div><div role="complementary">z</div><p>Text</p>', "Text"),
+        ("<p title=it's>Hello world</p><p>It's fine</p><p>Third</p>", "Hello world\nIt's fine\nThird"),
+        ("<p title = 'a > b' alt=\"c > d\" x=y\"z>Hello</p><p data-x=\" class=ad \">More</p>", "Hello\nMore"),
+        ("<form id=aspnetForm><div id=content><h1>Title</h1><p>Text</p></div></form>", "Title\nText"),
+        ("<div id=search><div class=post><p>One line</p><p>Two lines</p></div></div><form>Search</form>", "One line\nTwo lines"),
+        ('<div class="post related"><h1>Title</h1><p>Text of it</p></div><div class=nav-links>Next</div>', "Title\nText of it"),
+        ("<h1>T</h1><p>Short</p><div class=comments><p>I agree with all of this</p><p>So do I</p></div>", "T\nShort"),
+        ("<article><p>Text</p></article>" + "".join(f"<div class={c}><p>x</p><p>y</p></div>" for c in ("comments-section", "post-comments", "nav-links", "ad-box", "site-nav", "cookie-bar", "site__nav", "ad_slot3")), "Text"),
+        ('<div class="has-sidebar"><div class="comments-open search-content"><p>Text</p></div></div>', "Text"),
+        ("<form><p>Name</p><input></form>", ""),
     ],
 )
 def test_articles_are_not_lost_by_a_name(page, text):
