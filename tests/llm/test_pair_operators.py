@@ -142,6 +142,44 @@ def test_decontamination_matches_full_alignment():
             assert got.get((i, n)) == want, (item, clean)
 
 
+def test_windows_of_long_items_match_full_alignment():
+    pick = random.Random(4)
+    words = ["".join(pick.choice("abcdefghij") for _ in range(pick.randint(2, 9))) for _ in range(200)]
+    prose = lambda n: " ".join(pick.choice(words) for _ in range(n))
+    items = [(i, prose(n)) for i, n in enumerate([60, 28, 45, 12, 90])]
+    index = decontaminate.build(items)
+    assert (index.length <= max(len(t) for _, t in items)).all() and len(index.first) == len(items)
+    texts, quoted = [prose(50)], [None]
+    for number, (_, item) in enumerate(items):
+        for at, length in ((0, 230), (30, 215), (len(item) - 205, 205), (10, 120)):
+            own = list(item[max(0, at) : max(0, at) + length])
+            for _ in range(5):
+                own[pick.randrange(len(own))] = pick.choice("xyz")
+            texts.append(f"{prose(15)} {''.join(own)} {prose(15)}")
+            quoted.append(number if length > 200 and len(item) > 240 else None)
+    found = {(i, n): e for i, n, e, _, _ in decontaminate.find(index, texts)}
+    for i, text in enumerate(texts):
+        for n in range(len(index.length)):
+            want = edits_within(index.part(n), decontaminate.normal(text))
+            assert found.get((i, n)) == (want if want <= decontaminate.budget(int(index.length[n])) else None)
+    held = decontaminate.find_items(index, texts)
+    assert len({row[:2] for row in held}) == len(held)
+    assert {(i, k) for i, k in enumerate(quoted) if k is not None} <= {row[:2] for row in held}
+
+
+def test_many_short_items_are_aligned_together():
+    import time
+
+    pick = random.Random(6)
+    words = ["".join(pick.choice("abcdefghij") for _ in range(pick.randint(3, 9))) for _ in range(2000)]
+    prose = lambda n: " ".join(pick.choice(words) for _ in range(n))
+    index = decontaminate.build([(i, prose(6)) for i in range(2000)])
+    texts = [prose(150) for _ in range(1000)]
+    began = time.time()
+    decontaminate.find(index, texts)
+    assert time.time() - began < 20
+
+
 def test_decontamination_over_frames(spark, messy, no_docs):
     items = spark.createDataFrame([(1, messy.where("doc_id = 17").first().text), (2, None), (3, ""), (1, messy.where("doc_id = 17").first().text), (None, "two words")], "item_id long, text string")
     got = decontaminate.contaminated(messy, items).collect()
