@@ -25,6 +25,9 @@ Q, EDIT_PERCENT, BLOCK_CHARS = 8, 10, 2_000_000
 WINDOW, STEP = 160, 40
 #: Cells of the bands that are aligned at once, rows after which those beyond their budget are left.
 CELLS, CHECK = 1 << 18, 16
+#: Counters of shared q-grams per band of a text and an item; a prime, so that no common divisor joins bands.
+SLOTS = 4_194_301
+_SPREAD = 1_000_003
 _UNIT = 1 << 40
 _BANDS = 1 << 32
 _CLEAN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -197,9 +200,11 @@ def find(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, int
     at = np.repeat(at, hits)
     doc = np.searchsorted(heads, at, side="right") - 1
     item, place = index.item[entry].astype(np.int64), index.place[entry].astype(np.int64)
-    # What a text shares with an item on all diagonals together bounds every part and band, and is counted first.
-    pair, count = np.unique(doc * len(index.items) + item, return_inverse=True, return_counts=True)[1:]
-    keep = count[pair] >= np.minimum.reduceat(bound, index.first)[item]
+    # What a text shares with an item in two neighbouring bands as wide as the whole item's bounds every part, and is
+    # counted first. Bands that fall into one slot count together, which only lets more through.
+    slot = ((doc * len(index.items) + item) * _SPREAD + (at - heads[doc] - place) // (edits[index.first[item]] + 1)) % SLOTS
+    count = np.bincount(slot, minlength=SLOTS)
+    keep = count[slot] + np.maximum(count[slot - 1], count[(slot + 1) % SLOTS]) >= np.minimum.reduceat(bound, index.first)[item]
     at, doc, item, place = at[keep], doc[keep], item[keep], place[keep]
     hit, part = _parts_of(index, item, place)
     at, doc, place = at[hit], doc[hit], place[hit] - index.begin[part]
