@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from paymend.llm import partenum
@@ -33,7 +34,7 @@ FLUSH, BUCKET = 2_000_000, 500_000
 BLOCK, BLOCK_ELEMENTS = 2048, 1_000_000
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
 _PACKED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("tops", pa.binary()), ("lows", pa.binary()), ("which", pa.binary()), ("tied", pa.binary())])
-_ELEMENTS = pa.schema([("rep", pa.int64()), ("elements", pa.binary()), ("sketch", pa.binary())])
+_PACKED_TEXT = pa.schema([("rep", pa.int64()), ("size", pa.int64()), ("packed", pa.binary()), ("sketch", pa.binary())])
 _MEMBER = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
 
 
@@ -248,18 +249,27 @@ def _open_links(members: DataFrame, hubs: DataFrame, parts: DataFrame, docs: Dat
     right = rows.select("hub", "rep", "part", "away", F.lit(False).alias("is_left"), every("lefts").alias("i"), block("rights").alias("j"))
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(raw(batch), width)
-        return emit(_ELEMENTS, rep=batch.column("doc_id"), elements=[x.tobytes() for x in sets], sketch=[sketch(x) for x in sets])
+        texts, pack = raw(batch), zstandard.ZstdCompressor()
+        sets = shingle_sets(texts, width)
+        # A packed text is a third of its set, whose hashes don't compress, and few sets of a block are asked for.
+        return emit(_PACKED_TEXT, rep=batch.column("doc_id"), size=[len(x) for x in sets], packed=[pack.compress(t or b"") for t in texts], sketch=[sketch(x) for x in sets])
 
     # A document with several texts is there once for each.
-    about = materialise(map_chunks(docs.join(named, "doc_id", "left_semi").distinct(), sets_of, "rep long, elements binary, sketch binary"), "elements")
+    about = materialise(map_chunks(docs.join(named, "doc_id", "left_semi").distinct(), sets_of, "rep long, size long, packed binary, sketch binary"), "packed-texts")
 
     def compare(table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("is_left"))
         rep, part, away = (np.asarray(table.column(c)) for c in ("rep", "part", "away"))
         cells = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(side), SKETCH).astype(np.int16)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
-        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        packed, unpack = table.column("packed").to_pylist(), zstandard.ZstdDecompressor()
+        sets: list[np.ndarray | None] = [None] * len(packed)
+
+        def own(k: int) -> np.ndarray:
+            if sets[k] is None:
+                sets[k] = shingle_sets([unpack.decompress(packed[k])], width)[0]
+            return sets[k]
+
+        n = np.asarray(table.column("size"))
         tie = np.unique(part, return_inverse=True)[1]
         others, a, b = np.flatnonzero(~side), [], []
         for k in np.flatnonzero(side).tolist():
@@ -271,7 +281,7 @@ def _open_links(members: DataFrame, hubs: DataFrame, parts: DataFrame, docs: Dat
             at = at[differ * (100 + percent) <= (n[at] + n[k]) * (100 - percent)]
             while len(at):
                 j, at = int(at[0]), at[1:]
-                if similar(sets[j], sets[k], percent):
+                if similar(own(j), own(k), percent):
                     a.append(max(int(rep[j]), int(rep[k])))
                     b.append(min(int(rep[j]), int(rep[k])))
                     tie[tie == tie[j]] = tie[k]
