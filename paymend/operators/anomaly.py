@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 SAMPLE = 256
 MIN_ROWS = 8
@@ -52,33 +52,36 @@ def isolation_flags(
     trees: int = 100,
     seed: int = 42,
     flag: str = "isolation_anomaly",
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """Add an isolation-forest score and flag (score above one half).
 
-    Trees are grown in parallel, one group each, on hash samples of about 256
-    rows; the pool they are drawn from is at most ``256 * trees`` rows whatever
-    the table size. The fitted forest is a few hundred kilobytes, so it goes to
-    every task; scoring is one vectorised pass. Fewer than eight rows: no flags.
+    Trees are grown in parallel, one group each, on at most ``sample`` rows.
+    The tasks that read the rows draw them: a row takes part if its hash lies below a
+    threshold that follows from the number of rows, and its hash names the tree, so there
+    is no order over all rows. Per tree each task passes on its ``sample`` smallest
+    hashes, which bounds a group even if one row is repeated without end. The
+    fitted forest is a few hundred kilobytes, so it goes to every task; scoring
+    is one vectorised pass. Fewer than eight rows: no flags.
     """
     vec = [F.col(c).cast("double").alias(c) for c in features]
-    pool = (
-        df.select(*vec, F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]).alias("_h"))
-        .orderBy("_h")
-        .limit(SAMPLE * trees)
-    )
-    size = pool.count()
+    size = df.count()
     if size < MIN_ROWS:
         return df.withColumns({"isolation_score": F.lit(None).cast("double"), flag: F.lit(False)})
-    per_tree = min(SAMPLE, size)
-    copies = math.ceil(per_tree * trees / size)
+    wanted = min(sample, size) * trees
+    hashed = df.select(*vec, F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]).alias("_h"))
+    pool = hashed.filter(F.shiftrightunsigned("_h", 11) < int(min(1.0, wanted / size) * 2**53))
+    copies = max(1, math.ceil(wanted / size))
     drawn = pool.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn(
         "_tree", F.pmod(F.xxhash64("_h", "_j"), F.lit(trees)).cast("int")
     )
+    smallest = F.row_number().over(Window.partitionBy("_tree").orderBy("_h", "_j"))
+    drawn = drawn.withColumn("_n", smallest).filter(F.col("_n") <= sample).drop("_n")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["_tree"].iloc[0])
         ordered = pdf.sort_values(["_h", "_j"])
-        data = ordered[features].to_numpy(dtype=float)[:SAMPLE]
+        data = ordered[features].to_numpy(dtype=float)
         nodes = _grow(data, np.random.default_rng([seed, tree]))
         return pd.DataFrame([{"tree": tree, "rows": len(data), **nodes}])
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BIN_SECONDS = 300
+DAY_SECONDS = 86400
+#: Days that one row of the grid stands for before it is spread over the tasks.
+STRETCH_DAYS = 288
 
 
 def _epoch(at: Column) -> Column:
@@ -15,6 +18,15 @@ def _stamp(epoch: Column) -> Column:
     return F.timestamp_seconds(epoch).cast("timestamp_ntz")
 
 
+def _steps(start: str, end: Column, step: int) -> Column:
+    return F.explode(F.sequence(F.col(start), end, F.lit(step).cast("bigint")))
+
+
+def _end(start: str, span: int) -> Column:
+    """The last bin of a span, or of its key."""
+    return F.least(F.col(start) + span - BIN_SECONDS, F.col("hi"))
+
+
 def resample(
     df: DataFrame, key: str = "merchant_id", at: str = "created_at", amount: str = "amount_paise"
 ) -> DataFrame:
@@ -22,8 +34,11 @@ def resample(
 
     Rows are reduced to bins by a combinable aggregate first, so the later
     steps see one row per bin whatever the traffic; the grid of a key runs from
-    its own first to its own last bin. Unreadable times are dropped, unreadable
-    amounts count as zero.
+    its own first to its own last bin. It is opened in three steps (stretches
+    of ``STRETCH_DAYS`` days, days, bins) and dealt by stretch after the first, so a
+    key with one date far off is many tasks and no row ever holds more than
+    some thousand stretches. Unreadable times are dropped, unreadable amounts
+    count as zero.
     """
     bin_col = F.floor(_epoch(F.col(at)) / BIN_SECONDS) * BIN_SECONDS
     bins = (
@@ -35,10 +50,15 @@ def resample(
             F.sum(F.coalesce(F.col(amount), F.lit(0))).alias("amount_paise"),
         )
     )
+    # A given number, as by their few bytes the stretches would be merged into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grid = (
         bins.groupBy(key)
         .agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-        .select(key, F.col("lo"), F.explode(F.sequence("lo", "hi", F.lit(BIN_SECONDS).cast("bigint"))).alias("bin"))
+        .select(key, "lo", "hi", _steps("lo", F.col("hi"), STRETCH_DAYS * DAY_SECONDS).alias("stretch"))
+        .repartition(tasks, key, "stretch")
+        .select(key, "lo", "hi", _steps("stretch", _end("stretch", STRETCH_DAYS * DAY_SECONDS), DAY_SECONDS).alias("day"))
+        .select(key, "lo", _steps("day", _end("day", DAY_SECONDS), BIN_SECONDS).alias("bin"))
     )
     return grid.join(bins, [key, "bin"], "left").select(
         key,

@@ -114,6 +114,10 @@ def test_isolation_forest_finds_the_outliers(spark):
     scores = sorted(((r.isolation_score, r.a) for r in out.collect()), reverse=True)
     assert {scores[0][1], scores[1][1]} == {60.0, -30.0}
     assert scores[0][0] > 0.6
+    # A row that is repeated without end makes no tree larger than its sample.
+    same = spark.range(30_000).selectExpr("if(id % 3 = 0, 1.0D, id * 0.001D) as a", "if(id % 3 = 0, 2.0D, (id % 97) * 1.0D) as b")
+    scored = anomaly.isolation_flags(same, ["a", "b"], trees=10, sample=64)
+    assert scored.where("isolation_score between 0 and 1").count() == 30_000
     few = anomaly.isolation_flags(df.limit(7), ["a", "b"])
     assert not any(r.isolation_anomaly for r in few.collect())
 

@@ -113,6 +113,22 @@ def test_first_seen_of_nothing_and_of_rows_without_time(spark):
     assert locks.first_seen(df.limit(0), "k", "at", "e").count() == 0
 
 
+def test_gaps_of_years_are_filled_bin_by_bin(spark):
+    late = T0 + timedelta(days=900, minutes=7)
+    rows = [("far", T0 + timedelta(minutes=3), 5), ("far", late, None), ("far", late, 2), ("far", None, 9)]
+    rows += [("edge", T0 + timedelta(days=d), 1) for d in (0, 288, 576)] + [("one", T0, 4)]
+    bins = timeseries.resample(spark.createDataFrame(rows, "merchant_id string, created_at timestamp_ntz, amount_paise long"))
+    got = {r.merchant_id: r for r in bins.groupBy("merchant_id").agg(
+        F.count("*").alias("n"), F.countDistinct("bin").alias("bins"), F.max("position").alias("last"), F.max(F.col("bin") - F.col("position") * 300).alias("start"),
+        F.min(F.col("bin") - F.col("position") * 300).alias("same"), F.sum("failures").alias("failures"), F.sum("amount_paise").alias("amount"),
+    ).collect()}
+    want = {"far": (900 * 288 + 2, 3, 7), "edge": (576 * 288 + 1, 3, 3), "one": (1, 1, 4)}
+    for key, (n, failures, amount) in want.items():
+        r = got[key]
+        assert (r.n, r.bins, r.last, r.failures, r.amount) == (n, n, n - 1, failures, amount) and r.start == r.same
+    assert bins.where("failures > 0").count() == 6
+
+
 def test_rolling_score_across_days_equals_plain_frames(spark):
     rng = random.Random(4)
     rows = [("m", T0 + timedelta(minutes=5 * i, seconds=j), 10) for i in range(700) for j in range(rng.choice([0, 1, 1, 2, 9]))]
