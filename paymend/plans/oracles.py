@@ -629,6 +629,26 @@ oracle("audit_deleted_block", "audit_seed", """SELECT chain_key, count(*) FILTER
   0::BIGINT AS hmac_failures, NOT bool_or(seq // 1024 = 1) AS ok FROM audit_seed GROUP BY 1""")
 oracle("audit_cut_tail", "audit_seed", """SELECT chain_key, seq // 1024 AS block, CASE WHEN bool_and(seq % 1024 >= 900) THEN 'missing block' ELSE 'missing rows' END AS kind,
   count(*) FILTER (seq % 1024 >= 900) AS lost FROM audit_seed GROUP BY 1, 2 HAVING count(*) FILTER (seq % 1024 >= 900) > 0""")
+_tiers = ",\n".join(
+    f"t{i + 1} AS (SELECT chain_key, i // 2 AS i, CASE WHEN count(*) = 2 THEN sha256('node|' || min_by(h, t{i}.i) || max_by(h, t{i}.i)) ELSE min(h) END AS h FROM t{i} GROUP BY 1, t{i}.i // 2)"
+    for i in range(14)
+)
+_nodes = " UNION ALL ".join(f"SELECT chain_key, {i} AS l, i, h FROM t{i}" for i in range(14))
+# Nodes without a neighbour move up as they are, so the last ones of a level need not be whole.
+_CTE["tree"] = (
+    ("ledger",),
+    f"""sealed AS (SELECT chain_key, block, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS records, max_by(current_hash, seq) AS head FROM ledger GROUP BY 1, 2),
+t0 AS MATERIALIZED (SELECT chain_key, row_number() OVER (PARTITION BY chain_key ORDER BY block) - 1 AS i, sha256(concat_ws('|', 'leaf', block, first_seq, last_seq, records, head)) AS h FROM sealed),
+{_tiers},
+sizes AS (SELECT chain_key, count(*) AS n FROM t0 GROUP BY 1), nodes AS ({_nodes})""",
+)
+oracle("audit_tree_roots", "tree", "SELECT chain_key, n AS size, h AS root FROM t14 JOIN sizes USING (chain_key)")
+oracle("audit_inclusion", "tree", """SELECT a.chain_key, a.i AS leaf, CAST(count(b.h) AS INTEGER) AS steps, sha256(coalesce(string_agg(b.h, '' ORDER BY b.l), '')) AS path_sha256, true AS ok
+FROM t0 a LEFT JOIN nodes b ON b.chain_key = a.chain_key AND b.i = xor(a.i // (1 << b.l), 1) GROUP BY 1, 2""")
+oracle("audit_consistency", "tree", """, parts AS (SELECT chain_key, n, 0 AS lo, n // 2 AS hi FROM sizes WHERE n >= 2 UNION ALL SELECT chain_key, n, n // 2, n FROM sizes WHERE n >= 2),
+inside AS (SELECT p.chain_key, p.n, b.l, b.i, b.h FROM parts p JOIN nodes b ON b.chain_key = p.chain_key AND b.i * (1 << b.l) >= p.lo AND (b.i + 1) * (1 << b.l) <= p.hi
+  AND NOT ((b.i // 2) * (2 << b.l) >= p.lo AND (b.i // 2 + 1) * (2 << b.l) <= p.hi))
+SELECT chain_key, n // 2 AS old, n AS new, CAST(count(*) AS INTEGER) AS parts, sha256(string_agg(h, '' ORDER BY i * (1 << l))) AS proof_sha256, true AS ok FROM inside GROUP BY 1, 2, 3""")
 oracle("audit_tamper_summary", "checked", """SELECT chain_key, count(*) AS records, CASE WHEN bool_or(hash_break) THEN 'hash' WHEN bool_or(hmac_break) THEN 'hmac' ELSE 'ok' END AS kind,
   min(seq) FILTER (hash_break) AS first_bad_seq, CASE WHEN bool_or(hash_break) THEN 0 ELSE count(*) FILTER (hmac_break) END AS hmac_failures, NOT bool_or(hash_break OR hmac_break) AS ok FROM checked GROUP BY 1""")
 oracle("audit_tampered_rows", "checked", """, walked AS (

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paymend.functions import answers, classify, crypto, messages, money, privacy, scoring
 from paymend.operators import (
-    anomaly, drift, experiments, ledger, locks, models, outbound, ranks, reports, retrieval, review, timeseries,
+    anomaly, drift, experiments, ledger, locks, models, outbound, proofs, ranks, reports, retrieval, review, timeseries,
 )
 from paymend.plans.decision import audit_rows, decide, review_rows, shadow_rows
 from paymend.policy import METHODS, RETRY_WINDOWS_MIN, Policy
 from paymend.sources import envelope, tables
-from paymend.sources.scratch import scratch_dir
+from paymend.sources.scratch import materialise, scratch_dir
 from paymend.sources.views import table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -992,6 +992,44 @@ def audit_cut_tail(spark, d):
     return ledger.missing(whole.where("seq % 1024 < 900"), ledger.seal_blocks(whole))
 
 
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    """The Merkle tree over the ledger's sealed blocks, stored by two appends."""
+    sealed = materialise(ledger.seal_blocks(chain(spark, d)), "sealed")
+    first = materialise(proofs.grow(proofs.leaves(sealed.where("block < 5"))), "tree")
+    second = proofs.grow(proofs.leaves(sealed.where("block >= 5"), first), first)
+    return materialise(first.unionByName(second), "tree")
+
+
+@query
+def audit_tree_roots(spark, d):
+    return proofs.roots(tree(spark, d))
+
+
+@query
+def audit_inclusion(spark, d):
+    """A proof for every sealed block that it is in its chain's tree, checked against the root."""
+    nodes = tree(spark, d)
+    blocks = nodes.where("level = 0").select("chain_key", F.col("node").alias("leaf"), "hash")
+    given = proofs.inclusion(nodes, blocks.join(proofs.tree_sizes(nodes), "chain_key"))
+    steps = F.transform("path", lambda x: x.getField("hash"))
+    return proofs.included(given, proofs.roots(nodes)).select(
+        "chain_key", "leaf", F.size("path").alias("steps"), F.sha2(F.array_join(steps, ""), 256).alias("path_sha256"), "ok"
+    )
+
+
+@query
+def audit_consistency(spark, d):
+    """A proof per chain that its tree grew only at the end since it had half its blocks."""
+    nodes = tree(spark, d)
+    sizes = proofs.tree_sizes(nodes).where("size >= 2")
+    asked = sizes.select("chain_key", F.floor(F.col("size") / 2).alias("old"), F.col("size").alias("new"))
+    known = proofs.roots(nodes, sizes.unionByName(asked.select("chain_key", F.col("old").alias("size"))))
+    parts = F.transform("proof", lambda x: x.getField("hash"))
+    return proofs.consistent(proofs.consistency(nodes, asked), known).select(
+        "chain_key", "old", "new", F.size("proof").alias("parts"), F.sha2(F.array_join(parts, ""), 256).alias("proof_sha256"), "ok"
+    )
+
+
 def decided(spark: SparkSession, d: str) -> DataFrame:
     """The audit events of all decisions as ledger rows: one chain per merchant, numbered by transaction and step."""
     rows = audit_rows(planned(spark, d))
