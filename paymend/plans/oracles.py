@@ -611,6 +611,8 @@ al AS (SELECT s.merchant_id, s.t, greatest(coalesce(l, 0) / nl::DOUBLE, 1e-6) AS
   FROM s CROSS JOIN range(10) g(i) LEFT JOIN bk ON bk.merchant_id = s.merchant_id AND bk.t = s.t AND bk.b = i),
 ps AS (SELECT merchant_id, t, round(sum((c - r) * ln(c / r)), 4) AS psi FROM al GROUP BY 1, 2)
 SELECT merchant_id, t // 200 AS tick, nl AS n_live, round(d, 4) AS ks_stat, round(pv, 4) AS ks_pval, psi, nl >= 50 AND (pv < 0.05 OR psi > 0.2) AS drift FROM ks JOIN ps USING (merchant_id, t)""")
+oracle("model_registry", "live", """, n AS (SELECT count(*) FILTER (NOT is_live) AS old, count(*) FILTER (is_live) AS new FROM live)
+SELECT CAST(s AS INTEGER) AS step, CAST(v AS INTEGER) AS version, CASE WHEN v = 1 THEN old ELSE new END AS reference_rows, s = 4 AS in_use FROM n, (VALUES (1, 1), (2, 2), (3, 1), (4, 3)) x(s, v)""")
 oracle("audit_chain", "ledger", "SELECT chain_key, seq, previous_hash, current_hash, hmac_signature FROM ledger")
 _folds = ",\n".join(
     f"l{i + 1} AS (SELECT chain_key, n // 256 AS n, sha256(string_agg(h, '' ORDER BY l{i}.n)) AS h FROM l{i} GROUP BY 1, l{i}.n // 256)" for i in range(7)

@@ -1202,6 +1202,21 @@ def kept_without_drift(spark, d):
     return rescored(spark, rows, rows, rows)
 
 
+@query
+def model_registry(spark, d):
+    """Pointers of a registry after a retrain on drift, a call without drift, a rollback and another retrain."""
+    rows = coded(spark, d)
+    reference = rows.filter(~F.col("live")).withColumn("amount_rupees", F.col("amount_rupees") * 10)
+    live = materialise(rows.filter("live"), "live-calls")
+    base, value, _ = models.train(reference, "payment_id", "logistic")
+    registry = models.publish(spark, base, None, value, reference)
+    models.retrain_on_drift(None, live, "payment_id", registry, "logistic")
+    models.retrain_on_drift(None, live, "payment_id", registry, "logistic")
+    models.rollback(spark, registry)
+    models.retrain_on_drift(None, live, "payment_id", registry, "logistic")
+    return models.history(spark, registry).drop("brier")
+
+
 def rescored(spark: SparkSession, rows: DataFrame, reference: DataFrame, live: DataFrame) -> DataFrame:
     """Scores of the model that is in use after the drift check: the one fitted on the reference, or its successor."""
     base, _, _ = models.train(reference, "payment_id", "logistic")
