@@ -133,8 +133,7 @@ def monitor(
     most ``window`` live rows with the group's whole reference sample, which
     enters as per-code and per-bucket counts, never as raw rows per check.
     """
-    cut = block if block is not None else F.floor(F.col(order) / 65536)
-    placed = running_index(calls, [key], order, cut)
+    placed = running_index(calls, [key], order, block)
     first = F.ceil(F.col("position") / every)
     last = F.floor((F.col("position") + (window - 1)) / every)
     total = calls.groupBy(key).agg(F.floor(F.count(F.lit(1)) / every).alias("_ticks"))

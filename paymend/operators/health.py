@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from paymend.operators.ranks import ordered_blocks
+
 # Consecutive failures that open a circuit, and seconds until a probe.
 LIMITS = {"links": (5, 30), "whatsapp": (3, 60), "sms": (3, 60), "email": (5, 120)}
 
@@ -32,16 +34,18 @@ def provider_health(
     state is a function of the failure run and the previous call, and no row by
     row replay is needed.
 
-    Runs are counted inside blocks of a bounded range of ``order`` (default:
-    65,536 ids), and a block starts with the run its predecessors left, read
-    from one row per block. ``carry`` (``channel, run, last_at``) continues an
+    Runs are counted inside blocks of a bounded number of calls, cut by the calls
+    that are there unless ``block`` is given, and a block starts with the run its
+    predecessors left, read from one row per block. ``carry`` (``channel, run, last_at``) continues an
     earlier log.
     """
-    cut = block if block is not None else F.floor(F.col(order) / 65536)
+    own = [] if block is None else [block.alias("_b")]
     rows = calls.select(
         F.col(channel).alias("channel"), F.col(order).alias("call"), F.col(at).alias("at"),
-        F.col(ok).cast("boolean").alias("ok"), cut.alias("_b"),
+        F.col(ok).cast("boolean").alias("ok"), *own,
     )
+    if block is None:
+        rows = ordered_blocks(rows, ["channel"], "call", "_b")
     by_block = Window.partitionBy("channel", "_b").orderBy("call")
     so_far = by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = rows.withColumns(

@@ -253,7 +253,7 @@ def drift_stream(
         found.write(checks.drop("_base", "_old"), batch_id)
         # Whole multiples of the check interval are dropped, so that checks stay aligned.
         sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        placed = running_index(rows, [key], order, F.floor(F.col(order) / 65536))
+        placed = running_index(rows, [key], order)
         gone = F.greatest(F.lit(0), F.floor((F.col("_n") - keep) / every) * every)
         tail = placed.join(sizes, key).join(starts, key, "left").withColumn("_gone", gone).filter(F.col("position") > F.col("_gone"))
         tails.write(

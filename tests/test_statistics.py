@@ -50,6 +50,29 @@ def test_nearest_rank_and_running_index(spark):
     assert sorted(r.position for r in placed.collect()) == list(range(1, 998))
 
 
+def test_crowded_values_are_cut_into_blocks_of_bounded_size(spark):
+    many = 1_000_000
+    # All within one per cent, in an order that has nothing to do with their size.
+    df = spark.range(many).select((100 + F.pmod(F.col("id") * 7919, F.lit(many)) / many).alias("v"))
+    cells = ranks.finer(df, [], "v", "cell").groupBy("cell").count()
+    low, high, n = cells.agg(F.min("count"), F.max("count"), F.count("*")).first()
+    assert high <= ranks.FULL and high <= 2 * many / n
+    got = ranks.nearest_rank(df, [], "v", (1, 50, 99)).first()
+    assert [round((got[f"p{p}"] - 100) * many) + 1 for p in (1, 50, 99)] == [many // 100 * p for p in (1, 50, 99)]
+    # Times in microseconds: a busy second, a quiet year, a hot key beside small ones and an id that is null.
+    times = spark.range(300_000).select(
+        F.when(F.col("id") % 1000 == 0, "small").otherwise("hot").alias("k"),
+        (1_700_000_000_000_000 + F.col("id") + F.when(F.col("id") >= 150_000, 31_536_000_000_000).otherwise(0)).alias("o"),
+    )
+    sizes = ranks.ordered_blocks(times, ["k"], "o").groupBy("k", "_block").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * ranks.FULL and sizes.count() < 40
+    placed = ranks.running_index(times, ["k"], "o")
+    number = F.col("o") - 1_700_000_000_000_000 - F.when(F.col("o") > 1_710_000_000_000_000, 31_536_000_000_000).otherwise(0)
+    small = F.floor(number / 1000) + 1
+    want = F.when(F.col("k") == "small", small).otherwise(number + 1 - small)
+    assert placed.count() == 300_000 and placed.filter(F.col("position") != want).count() == 0
+
+
 def test_z_test_golden(spark):
     rows = [("control", int(i < 310), 100) for i in range(1000)] + [("variant", int(i < 510), 100) for i in range(1000)]
     df = spark.createDataFrame(rows, "arm string, recovered int, amount_paise long")
@@ -152,3 +175,39 @@ def test_retrain_only_on_drift(spark):
     moved = df.withColumn("amount_rupees", F.col("amount_rupees") * 100)
     result = models.retrain_on_drift(df, moved, "payment_id", kind="logistic")
     assert result["drift"] and result["accepted"] and result["reference"] is moved
+
+
+def test_registry_keeps_model_score_and_reference_together(spark, tmp_path):
+    df = spark.range(600).select(
+        F.concat(F.lit("p"), "id").alias("payment_id"), (F.col("id") * 10.0).alias("amount_rupees"),
+        (F.col("id") % 7).cast("int").alias("code_index"), (F.col("id") % 24).cast("int").alias("hour_of_day"),
+        (F.col("id") % 3).cast("int").alias("retry_count"), (F.col("id") % 7 < 3).cast("int").alias("label"),
+    )
+    moved = df.withColumn("amount_rupees", F.col("amount_rupees") * 100)
+    again = moved.withColumn("amount_rupees", F.col("amount_rupees") * 100)
+    registry = str(tmp_path / "registry")
+    model, value, _ = models.train(df, "payment_id", "logistic")
+    models.publish(spark, model, registry, value, df)
+    scores = {}
+    for version, live in ((2, moved), (3, again)):
+        result = models.retrain_on_drift(None, live, "payment_id", registry, "logistic")
+        assert result["drift"] and result["accepted"]
+        _, held = models.split(live, "payment_id")
+        stored = str(tmp_path / f"scores-{version}")
+        models.score(models.current(spark, registry), held).write.parquet(stored)
+        scores[version] = spark.sql(f"SELECT avg(pow(score - label, 2)) FROM parquet.`{stored}`").first()[0]
+        assert models.retrain_on_drift(None, live, "payment_id", registry, "logistic")["drift"] is False
+    found = {r.step: r for r in models.history(spark, registry).collect()}
+    assert [(found[i].version, found[i].reference_rows, found[i].in_use) for i in (1, 2, 3)] == [(1, 600, False), (2, 600, False), (3, 600, True)]
+    for version, value in scores.items():
+        assert found[version].brier == pytest.approx(value, abs=1e-9)
+    models.rollback(spark, registry)
+    assert models.current_reference(spark, registry).exceptAll(moved).count() == 0
+    models.rollback(spark, registry)
+    assert models.current_reference(spark, registry).exceptAll(df).count() == 0
+    with pytest.raises(LookupError):
+        models.rollback(spark, registry)
+    assert [r.version for r in models.history(spark, registry).orderBy("step").collect()] == [1, 2, 3, 2, 1]
+    # A publisher that died before its pointer changes nothing.
+    model.write().save(f"{registry}/versions/half/model")
+    assert [r.in_use for r in models.history(spark, registry).orderBy("step").collect()] == [False] * 4 + [True]
