@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paymend.operators.ranks import cumulative_counts, running_index
-from paymend.sources.scratch import materialise
+from paymend.sources import files
+from paymend.sources.scratch import materialise, scratch_dir
 
 KS_P_LIMIT = 0.05
 PSI_LIMIT = 0.20
@@ -115,9 +118,42 @@ def drift_report(df: DataFrame, keys: list[str], code: str, amount: str, is_live
     )
 
 
+@dataclass(frozen=True)
+class Sketch:
+    """What checks need of a reference sample, per group: ``base`` (counts per code, size and range) and
+    ``values`` (``_a, w``: every distinct amount with its rows)."""
+
+    base: DataFrame
+    values: DataFrame
+
+
+def reference_sketch(reference: DataFrame, key: str, code: str, amount: str, folder: str | None = None) -> Sketch:
+    """Reads a reference sample once and stores its sketch, which is exact.
+
+    ``folder`` names the version: a sketch that is whole there is used as it is and the sample is not
+    read. Without it the sketch goes to the scratch folder. Null amounts are in the size only.
+    """
+    spark = reference.sparkSession
+    path = folder or scratch_dir(spark, "sketch")
+    rows = reference.select(key, F.col(code).alias("_c"), F.col(amount).cast("double").alias("_a"))
+    # The base is written last, so it stands for both.
+    if "_SUCCESS" not in files.names(spark, f"{path}/base"):
+        values = rows.filter(F.col("_a").isNotNull()).groupBy(key, "_a").agg(F.count(F.lit(1)).alias("w"))
+        values.write.mode("overwrite").parquet(f"{path}/values")
+        base = rows.groupBy(key).agg(
+            *_per_code("r"), F.count(F.lit(1)).alias("n_ref"), F.min("_a").alias("_rl"), F.max("_a").alias("_rh")
+        )
+        base.write.mode("overwrite").parquet(f"{path}/base")
+    return Sketch(spark.read.parquet(f"{path}/base"), spark.read.parquet(f"{path}/values"))
+
+
+def _per_code(prefix: str) -> list[Column]:
+    return [F.sum(F.when(F.col("_c") == i, 1).otherwise(0)).alias(f"{prefix}{i}") for i in range(7)]
+
+
 def monitor(
     calls: DataFrame,
-    reference: DataFrame,
+    reference: DataFrame | Sketch,
     key: str,
     order: str,
     code: str,
@@ -129,11 +165,13 @@ def monitor(
     """Verdict at every ``every``-th call of each group over its last ``window`` calls.
 
     A call belongs to at most ``ceil(window / every)`` checks, so it is copied
-    to those instead of being put in a sliding window. Each check compares at
-    most ``window`` live rows with the group's whole reference sample, which
-    enters as per-code and per-bucket counts, never as raw rows per check.
+    to those instead of being put in a sliding window. A check is one row with
+    its at most ``window`` live amounts; it is compared with the group's whole
+    reference sample, which enters as counts per code and per distinct amount
+    (``reference_sketch``), never as raw rows per check.
     """
-    placed = running_index(calls, [key], order, block)
+    sketch = reference if isinstance(reference, Sketch) else reference_sketch(reference, key, code, amount)
+    placed = running_index(calls.select(key, order, code, amount), [key], order, block)
     first = F.ceil(F.col("position") / every)
     last = F.floor((F.col("position") + (window - 1)) / every)
     total = calls.groupBy(key).agg(F.floor(F.count(F.lit(1)) / every).alias("_ticks"))
@@ -144,18 +182,11 @@ def monitor(
         .withColumn("tick", F.explode(F.sequence(first, F.col("_last"))))
         .select(key, "tick", F.col(code).alias("_c"), F.col(amount).cast("double").alias("_a"))
     )
-    ref = reference.select(key, F.col(code).alias("_c"), F.col(amount).cast("double").alias("_a"))
-    per_code = lambda prefix: [
-        F.sum(F.when(F.col("_c") == i, 1).otherwise(0)).alias(f"{prefix}{i}") for i in range(7)
-    ]
-    size = F.count(F.lit(1))
     checks = live.groupBy(key, "tick").agg(
-        *per_code("l"), size.alias("n_live"), F.min("_a").alias("_l"), F.max("_a").alias("_h")
+        *_per_code("l"), F.count(F.lit(1)).alias("n_live"), F.min("_a").alias("_l"), F.max("_a").alias("_h"),
+        F.collect_list("_a").alias("_live"),
     )
-    base = ref.groupBy(key).agg(
-        *per_code("r"), size.alias("n_ref"), F.min("_a").alias("_rl"), F.max("_a").alias("_rh")
-    )
-    both = checks.join(base, key).withColumns({"_lo": F.least("_l", "_rl"), "_hi": F.greatest("_h", "_rh")})
+    both = checks.join(sketch.base, key).withColumns({"_lo": F.least("_l", "_rl"), "_hi": F.greatest("_h", "_rh")})
     # One row per check, read by several branches below: written once, so the
     # windowed calls behind it are worked out once and not per branch.
     both = materialise(both, "drift-checks")
@@ -164,14 +195,13 @@ def monitor(
         cl, cr = cl + F.col(f"l{i}"), cr + F.col(f"r{i}")
         gaps.append(F.abs(cl / F.col("n_live") - cr / F.col("n_ref")))
     enough = (F.col("n_live") >= MIN_SAMPLE) & (F.col("n_ref") >= MIN_SAMPLE)
-    both = both.withColumn("ks_stat", F.when(enough, F.greatest(*gaps)).otherwise(0.0))
-    both = both.withColumn(
+    judged = both.withColumn("ks_stat", F.when(enough, F.greatest(*gaps)).otherwise(0.0))
+    judged = judged.withColumn(
         "ks_pval",
         F.when(enough, ks_p_value(F.col("n_ref").cast("double"), F.col("n_live").cast("double"), F.col("ks_stat")))
         .otherwise(1.0),
     )
-    stability = _monitor_psi(live, ref, both.select(key, "tick", "n_live", "n_ref", "_lo", "_hi"), key)
-    return both.join(stability, [key, "tick"]).select(
+    return _with_psi(judged, sketch.values, key).select(
         key,
         F.col("tick").cast("bigint").alias("tick"),
         "n_live",
@@ -202,44 +232,40 @@ def _edges(lo: Column, hi: Column, buckets: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), border)
 
 
-def _monitor_psi(live: DataFrame, ref: DataFrame, span: DataFrame, key: str, buckets: int = 10) -> DataFrame:
-    """PSI per (group, check); every check has its own joint range in ``span``.
+def _with_psi(checks: DataFrame, values: DataFrame, key: str, buckets: int = 10) -> DataFrame:
+    """Adds ``psi`` to checks, each of which has its own joint range ``_lo`` to ``_hi``.
 
-    The reference share of a bucket is the difference of its cumulative counts
-    at two borders. All borders of all checks are put between the reference
-    values as rows of weight zero and read off one running total, so the cost
-    is reference rows plus nine rows per check, never their product.
+    Live shares are counted in the check's own list. The reference share of a
+    bucket is the difference of its cumulative counts at two borders. All
+    borders of all checks are put between the reference values as rows of
+    weight zero and read off one running total, so the cost is distinct
+    reference values plus nine rows per check, never their product.
     """
     lo, hi = F.col("_lo"), F.col("_hi")
-    index = F.when(hi > lo, F.least(F.floor(_bucket(F.col("_a"), lo, hi, buckets)), F.lit(buckets - 1))).otherwise(0)
-    live_counts = (
-        live.join(span.select(key, "tick", "_lo", "_hi"), [key, "tick"])
-        .withColumn("_i", index)
-        .groupBy(key, "tick")
-        .agg(*[F.sum(F.when(F.col("_i") == i, 1).otherwise(0)).alias(f"_l{i}") for i in range(buckets)])
-    )
-    borders = span.filter(hi > lo).select(
+    borders = checks.filter(hi > lo).select(
         key,
         "tick",
         F.posexplode(_edges(lo, hi, buckets)).alias("_p", "_a"),
     )
-    points = ref.select(key, "_a", F.lit(1).alias("w")).unionByName(borders.select(key, "_a", F.lit(0).alias("w")))
+    points = values.select(key, "_a", "w").unionByName(borders.select(key, "_a", F.lit(0).cast("bigint").alias("w")))
     running = cumulative_counts(points, [key], "_a", {"w": F.col("w")})
     below = running.select(key, "_a", (F.col("cum_w") - F.col("w")).alias("_below"))
     # A border is one value of a group; the merge join may meet many equal ones, AQE splits them.
     at_borders = borders.join(below, [key, "_a"]).groupBy(key, "tick").agg(
-        *[F.max(F.when(F.col("_p") == i, F.col("_below"))).alias(f"_c{i + 1}") for i in range(buckets - 1)]
+        F.sort_array(F.collect_list(F.struct("_p", "_below"))).alias("_at")
     )
-    joined = span.join(live_counts, [key, "tick"]).join(at_borders, [key, "tick"], "left")
-    total = F.lit(0.0)
-    for i in range(buckets):
-        upper = F.col("n_ref") if i == buckets - 1 else F.col(f"_c{i + 1}")
-        lower = F.lit(0) if i == 0 else F.col(f"_c{i}")
-        cur = F.greatest(F.col(f"_l{i}") / F.col("n_live"), F.lit(1e-6))
-        old = F.greatest((upper - lower) / F.col("n_ref"), F.lit(1e-6))
-        total = total + (cur - old) * F.log(cur / old)
+    cells = F.transform("_live", lambda v: F.least(F.floor(_bucket(v, lo, hi, buckets)), F.lit(buckets - 1)))
+    upto = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_at", lambda x: x.getField("_below")), F.array("n_ref"))
+    joined = checks.join(at_borders, [key, "tick"], "left").withColumns({"_cells": F.when(hi > lo, cells), "_upto": upto})
+
+    def add(acc: Column, i: Column) -> Column:
+        cur = F.greatest(F.size(F.filter("_cells", lambda c: c == i)) / F.col("n_live"), F.lit(1e-6))
+        old = F.greatest((F.get("_upto", i + 1) - F.get("_upto", i)) / F.col("n_ref"), F.lit(1e-6))
+        return acc + (cur - old) * F.log(cur / old)
+
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(buckets - 1)), F.lit(0.0), add)
     usable = (F.col("n_live") >= MIN_SAMPLE) & (F.col("n_ref") >= MIN_SAMPLE) & (hi > lo)
-    return joined.select(key, "tick", F.when(usable, F.round(total, 4)).otherwise(0.0).alias("psi"))
+    return joined.withColumn("psi", F.when(usable, F.round(total, 4)).otherwise(0.0))
 
 
 def brier(df: DataFrame, p: str, y: str, *by: str) -> DataFrame:

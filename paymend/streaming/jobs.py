@@ -223,15 +223,18 @@ def bandit_stream(updates: DataFrame, label: str = "bandit", **names) -> DataFra
 
 
 def drift_stream(
-    calls: DataFrame, reference: DataFrame, key: str, order: str, code: str, amount: str,
+    calls: DataFrame, reference: DataFrame | drift.Sketch, key: str, order: str, code: str, amount: str,
     window: int = 500, every: int = 200, label: str = "drift",
 ) -> DataFrame:
     """Drift checks every ``every`` calls over the last ``window``, across micro-batches.
 
     State per group: the last ``window - 1 + every`` calls. They are put in
     front of the new ones, and the checks they already took part in are left out.
+    The reference sample is read once, not per batch; a ``drift.reference_sketch``
+    kept under its version's name is not read from the sample again by any run.
     """
     spark = calls.sparkSession
+    sketch = reference if isinstance(reference, drift.Sketch) else drift.reference_sketch(reference, key, code, amount)
     found, tails = BatchTable(spark, label), BatchTable(spark, f"{label}-tails")
     keep = -(-(window - 1 + every) // every) * every
 
@@ -243,7 +246,7 @@ def drift_stream(
             starts = held.groupBy(key).agg(F.max("skipped").alias("_base"), F.count(F.lit(1)).alias("_old"))
         else:
             starts = rows.groupBy(key).agg(F.lit(0).cast("bigint").alias("_base"), F.lit(0).cast("bigint").alias("_old"))
-        checks = drift.monitor(rows, reference, key, order, code, amount, window, every)
+        checks = drift.monitor(rows, sketch, key, order, code, amount, window, every)
         local = F.col("tick") * every
         old = F.coalesce("_old", F.lit(0))
         base = F.coalesce("_base", F.lit(0))

@@ -73,6 +73,24 @@ def test_crowded_values_are_cut_into_blocks_of_bounded_size(spark):
     assert placed.count() == 300_000 and placed.filter(F.col("position") != want).count() == 0
 
 
+def test_reference_sketch_is_read_once_per_version(spark, tmp_path):
+    rows = spark.range(1500).select(
+        F.concat(F.lit("g"), (F.col("id") % 2).cast("string")).alias("k"), F.col("id").alias("o"),
+        (F.col("id") % 7).cast("int").alias("c"), F.when(F.col("id") % 50 != 0, F.pmod(F.col("id") * 37, F.lit(211)) * 1.5).alias("a"),
+    )
+    sample = rows.filter("o < 700")
+    folder = str(tmp_path / "v1")
+    sketch = drift.reference_sketch(sample, "k", "c", "a", folder)
+    other = sample.withColumn("a", F.col("a") * 9)
+    # The stored version counts, whatever sample is at hand.
+    again = drift.reference_sketch(other, "k", "c", "a", folder)
+    args = ("k", "o", "c", "a", 100, 40)
+    want = sorted(drift.monitor(rows, sample, *args).collect())
+    assert len(want) == 2 * (750 // 40)
+    assert sorted(drift.monitor(rows, sketch, *args).collect()) == want == sorted(drift.monitor(rows, again, *args).collect())
+    assert sorted(drift.monitor(rows, other, *args).collect()) != want
+
+
 def test_z_test_golden(spark):
     rows = [("control", int(i < 310), 100) for i in range(1000)] + [("variant", int(i < 510), 100) for i in range(1000)]
     df = spark.createDataFrame(rows, "arm string, recovered int, amount_paise long")
