@@ -14,8 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from paymend.operators import locks
 from paymend.streaming.stores import BatchTable
 
-#: Lifetimes in one folder of the table of kept events, buckets of keys, and what stands for no time.
-SPAN, BUCKETS, NO_TIME = 366, 64, -(1 << 62)
+#: Lifetimes in one folder of the table of kept events, buckets of keys (a bucket's new events are in memory at once), and
+#: what stands for no time. A checkpoint keeps the number of buckets it began with, so it is not to be read with another.
+SPAN, BUCKETS, NO_TIME = 366, 256, -(1 << 62)
 
 
 def walk(times: Sequence[int], lock: int | None, doubt: int | None, ttl: int, watermark: int) -> tuple[list[int], list[int], int | None, int | None]:
@@ -49,20 +50,28 @@ def settle(rows: pd.DataFrame, live: pd.DataFrame, key: str, event: str, ttl: in
     A lock goes two lifetimes after the key's last event has fallen behind the watermark: by then any event that it
     could hold back would be looked up anyway.
     """
-    rows = rows.sort_values([key, "_t", event]).drop_duplicates([key, "_t"])
-    codes, keys = pd.factorize(rows[key], use_na_sentinel=False)
+    rows, codes, keys = _in_order(rows, key, event)
     held = pd.Index(live[key]).get_indexer(pd.Index(keys)) if len(live) else np.full(len(keys), -1)
     locks_, doubts = live["lock"].to_numpy(), live["doubt"].to_numpy()
-    times, ends = rows["_t"].to_numpy(), np.searchsorted(codes, np.arange(1, len(keys) + 1))
-    found, sure, new_locks, new_doubts, start = [], [], [], [], 0
-    for end, at in zip(ends.tolist(), held.tolist()):
+    times, stops = rows["_t"].to_numpy(), np.searchsorted(codes, np.arange(1, len(keys) + 1))
+    starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
+    new_locks, new_doubts = np.full(len(keys), NO_TIME, np.int64), np.full(len(keys), NO_TIME, np.int64)
+    # Most keys have one event and no state; they need no walk.
+    plain = (stops - starts == 1) & (held < 0)
+    lone = starts[plain]
+    fresh = times[lone] > watermark - ttl
+    new_locks[plain] = np.where(fresh, times[lone], NO_TIME)
+    new_doubts[plain] = np.where(fresh, NO_TIME, times[lone])
+    found, sure = [], []
+    for k in np.flatnonzero(~plain).tolist():
+        start, at = int(starts[k]), int(held[k])
         lock, doubt = (None, None) if at < 0 else (_time(locks_[at]), _time(doubts[at]))
-        passed, asked, lock, doubt = walk(times[start:end], lock, doubt, ttl, watermark)
+        passed, asked, lock, doubt = walk(times[start : stops[k]], lock, doubt, ttl, watermark)
         found += [start + i for i in passed + asked]
         sure += [True] * len(passed) + [False] * len(asked)
-        new_locks.append(NO_TIME if lock is None else lock)
-        new_doubts.append(NO_TIME if doubt is None else doubt)
-        start = end
+        new_locks[k] = NO_TIME if lock is None else lock
+        new_doubts[k] = NO_TIME if doubt is None else doubt
+    found, sure = np.concatenate([lone, np.array(found, np.int64)]), np.concatenate([fresh, np.array(sure, bool)])
     now = pd.DataFrame({key: pd.Series(keys, dtype=rows[key].dtype), "lock": new_locks, "doubt": new_doubts}).astype({"lock": "int64", "doubt": "int64"})
     if len(live):
         rest = np.ones(len(live), bool)
@@ -72,6 +81,22 @@ def settle(rows: pd.DataFrame, live: pd.DataFrame, key: str, event: str, ttl: in
     return rows.iloc[found][[key, "_t", event]].assign(sure=sure), now[last + 2 * ttl > watermark]
 
 
+def _in_order(rows: pd.DataFrame, key: str, event: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """(rows by key and time, the smallest event of each; the number of each row's key; keys by number). Only events of one key and time are sorted."""
+    codes, keys = pd.factorize(rows[key], use_na_sentinel=False)
+    times = rows["_t"].to_numpy()
+    order = np.lexsort((times, codes))
+    codes, times = codes[order], times[order]
+    same = (codes[1:] == codes[:-1]) & (times[1:] == times[:-1])
+    if same.any():
+        tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        events = pd.DataFrame({"code": codes[tied], "time": times[tied], "event": rows[event].iloc[order[tied]].to_numpy()})
+        order[tied] = order[tied][events.sort_values(["code", "time", "event"]).index]
+        first = np.concatenate([[True], ~same])
+        order, codes = order[first], codes[first]
+    return rows.iloc[order], codes, keys
+
+
 def _time(time: int) -> int | None:
     return None if time == NO_TIME else int(time)
 

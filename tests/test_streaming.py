@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paymend.operators import drift, experiments, health, locks
 from paymend.streaming import io, jobs, stores
+from paymend.streaming import locks as stream_locks
 from paymend.streaming.locks import settle, walk
 
 T0 = datetime(2024, 1, 1)
@@ -163,6 +164,28 @@ def test_state_of_twenty_batches_stays_flat():
     assert kept == want
 
 
+def test_buckets_of_keys_are_small_enough_for_many_new_events(spark):
+    """The new events of a bucket are in a worker's memory at once."""
+    keys = spark.range(256_000).select(F.concat(F.lit("pay_"), "id").alias("k"))
+    sizes = keys.groupBy(F.pmod(F.xxhash64("k"), F.lit(stream_locks.BUCKETS))).count().agg(F.max("count")).first()
+    assert sizes[0] < 256_000 // 200
+
+
+def test_one_event_of_a_key_and_time_is_settled():
+    """Keys without state and with one event, ties of a time, null keys and held keys, in any order of the rows."""
+    rows = pd.DataFrame(
+        [("b", 500, "z"), ("a", 900, "y"), ("b", 500, "c"), (None, 700, "n"), ("old", 90, "o"), ("held", 120, "h"), ("b", 650, "d"), (None, 700, "m")],
+        columns=["k", "_t", "e"],
+    )
+    live = pd.DataFrame({"k": ["held", "gone"], "lock": [110, 10], "doubt": [stream_locks.NO_TIME] * 2})
+    out, left = settle(rows, live, "k", "e", 100, 300)
+    found = {(None if pd.isna(k) else k, t, e, bool(sure)) for k, t, e, sure in out.itertuples(index=False)}
+    assert found == {("b", 500, "c", True), ("b", 650, "d", True), ("a", 900, "y", True), (None, 700, "m", True), ("old", 90, "o", False)}
+    assert {(None if pd.isna(k) else k, a, b) for k, a, b in left.itertuples(index=False)} == {
+        ("b", 650, stream_locks.NO_TIME), ("a", 900, stream_locks.NO_TIME), (None, 700, stream_locks.NO_TIME), ("held", 110, stream_locks.NO_TIME),
+    }
+
+
 def test_expired_keys_are_looked_up(spark, tmp_path):
     """Events from long before the watermark of keys without state are held against the table of kept events."""
     day = lambda d, i, k="k": (k, T0 + timedelta(days=d), i)
