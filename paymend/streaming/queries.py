@@ -9,10 +9,12 @@ from paymend.operators import health
 from paymend.plans.queries import Query, coded, raw_events
 from paymend.policy import Policy
 from paymend.sources.scratch import scratch_dir
-from paymend.sources.views import VIEWS, view
+from paymend.sources.views import VIEWS, table, view
 from paymend.streaming import io, jobs
 
 STREAM_QUERIES: dict[str, Query] = {}
+#: Rows that a file of a stream's input has, about.
+FILE_ROWS = 600_000
 
 
 def query(fn: Query) -> Query:
@@ -30,8 +32,8 @@ def envelope_files(spark, d) -> str:
     """Event envelopes of every transaction as files, the input of a stream."""
     path = scratch_dir(spark, "envelopes")
     rows = raw_events(spark, d).select("raw", "merchant_id", F.col("created_at").alias("received_at"))
-    # Several files, as a source would bring them.
-    rows.repartition(8).write.parquet(f"{path}/envelopes.parquet")
+    # Several files, as a source would bring them, and no larger ones for more rows.
+    rows.repartition(max(8, -(-table(spark, d, "orders").count() // FILE_ROWS))).write.parquet(f"{path}/envelopes.parquet")
     return path
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paymend.operators import drift, experiments, health, locks
 from paymend.streaming import io, jobs, stores
-from paymend.streaming import locks as stream_locks
+from paymend.streaming import locks as stream_locks, queries as stream_queries
 from paymend.streaming.locks import settle, walk
 
 T0 = datetime(2024, 1, 1)
@@ -186,6 +186,18 @@ def test_one_event_of_a_key_and_time_is_settled():
     }
 
 
+def test_more_envelopes_are_more_files(spark, tmp_path, monkeypatch):
+    """A stream's input is cut by its rows, not into a fixed number of files."""
+    orders = spark.createDataFrame(
+        [(i, 1, "O", 10.0, datetime(2024, 1, 1)) for i in range(100)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz"
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "BUILDING")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 5)
+    rows = spark.read.parquet(f"{stream_queries.envelope_files(spark, str(tmp_path))}/envelopes.parquet")
+    assert rows.count() == 100 and len(rows.inputFiles()) == 20
+
+
 def test_expired_keys_are_looked_up(spark, tmp_path):
     """Events from long before the watermark of keys without state are held against the table of kept events."""
     day = lambda d, i, k="k": (k, T0 + timedelta(days=d), i)
