@@ -30,6 +30,8 @@ from paymend.sources.scratch import materialise
 
 #: Signatures that a map task gathers before it sends them on, and that a bucket should hold.
 FLUSH, BUCKET = 2_000_000, 500_000
+#: Signatures that are sorted and packed at once, and bytes of text that are signed at once: a worker's memory goes with these.
+SLICE, SIGNED_BYTES = 125_000, 250_000
 #: Members of a side of a block, and elements of their sets.
 BLOCK, BLOCK_ELEMENTS = 2048, 1_000_000
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
@@ -81,6 +83,24 @@ def _pack(sig: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch:
     return emit(_PACKED, **rows)
 
 
+def _packs(held: list[np.ndarray], ids: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
+    """``_pack`` of all of ``held``, the signatures of each of ``ids``, by ranges of buckets. Equal signatures are in one
+    range, so each bucket gets the row it gets from all at once, and only a range is sorted and copied at a time."""
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    sig = np.concatenate(held)
+    held.clear()
+    doc = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
+    known = np.array(ids, np.int64)
+    parts = min(buckets, -(-len(sig) // SLICE))
+    part = np.empty(len(sig), np.uint16 if parts <= 1 << 16 else np.int64)
+    for start in range(0, len(sig), SLICE):
+        part[start : start + SLICE] = _home(sig[start : start + SLICE], buckets) * parts // buckets
+    for i in range(parts):
+        here = np.flatnonzero(part == i)
+        if len(here):
+            yield _pack(sig[here], known[doc[here]], buckets)
+
+
 def _cut(sig: np.ndarray) -> np.ndarray:
     """The 40 bits of a signature that travel; with the bucket, whose number comes from all 64, they tell signatures
     apart well enough, as what they bring together is compared."""
@@ -95,8 +115,8 @@ def shared_signatures(docs: DataFrame, width: int, percent: int, buckets: int) -
     """(sig, doc_id) of every signature that two rows or more have; signatures that the same rows have may go by one name."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
-        for batch in chunks(batches):
+        held, ids, size, seen = [], [], 0, set()
+        for batch in chunks(batches, size=SIGNED_BYTES):
             rows = []
             for s, i in zip(shingle_sets(raw(batch), width), batch.column("doc_id").to_pylist()):
                 name = set_digest(s)
@@ -105,13 +125,14 @@ def shared_signatures(docs: DataFrame, width: int, percent: int, buckets: int) -
                     rows.append((s, i))
             for s, (_, i) in zip(partenum.signatures([s for s, _ in rows], percent), rows):
                 if len(s):
-                    held.append((s, np.full(len(s), i)))
+                    held.append(s)
+                    ids.append(i)
                     size += len(s)
             if size >= FLUSH:
-                yield _pack(*map(np.concatenate, zip(*held)), buckets)
-                held, size, seen = [], 0, set()
+                yield from _packs(held, ids, buckets)
+                held, ids, size, seen = [], [], 0, set()
         if held:
-            yield _pack(*map(np.concatenate, zip(*held)), buckets)
+            yield from _packs(held, ids, buckets)
 
     def shared(table: pa.Table) -> pa.Table:
         own = table.column("bucket")[0].as_py()

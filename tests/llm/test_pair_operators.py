@@ -2,11 +2,13 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paymend.llm import decontaminate, jaccard_join, packing, partenum
@@ -298,3 +300,61 @@ def test_open_groups_are_tied_in_blocks(spark, monkeypatch, block):
     for width, percent in ((3, 90), (5, 80)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, width, percent).collect()}
         assert got == plain_components(rows, width, percent)
+
+
+def _rows_by_bucket(batches):
+    """bucket -> its (signature, document, tied) triples; what goes to any bucket counts as one."""
+    out = defaultdict(Counter)
+    for row in (r for b in batches for r in b.to_pylist()):
+        away = row["bucket"] < 0
+        known = np.frombuffer(row["docs"], "<i8")
+        which = np.frombuffer(row["which"], "<u2" if len(known) <= 1 << 16 else "<u4")
+        tops, lows = np.frombuffer(row["tops"], "<u4"), np.frombuffer(row["lows"], "<u4" if away else "u1")
+        out[-1 if away else row["bucket"]].update(zip(tops.tolist(), lows.tolist(), known[which].tolist(), row["tied"]))
+    return out
+
+
+@pytest.mark.parametrize("buckets", [3, 40])
+def test_signatures_are_packed_by_ranges_of_buckets(buckets):
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(3000).tolist()
+    held = [partenum.mix(rng.integers(0, 60_000, 100)) for _ in ids]
+    whole = jaccard_join._pack(np.concatenate(held), np.repeat(np.array(ids), 100), buckets)
+    parts = list(jaccard_join._packs(list(held), ids, buckets))
+    assert 1 < len(parts) <= buckets and _rows_by_bucket(parts) == _rows_by_bucket([whole])
+    assert [b for p in parts for b in p.column("bucket").to_pylist() if b >= 0] == sorted(b for b in whole.column("bucket").to_pylist() if b >= 0)
+
+
+def test_signing_holds_little_beside_the_signatures(monkeypatch):
+    class Texts:
+        """Hands the signing function to the test instead of to Spark."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, fn, _):
+            self.sign = fn
+            return self
+
+        def groupBy(self, _):
+            return self
+
+        def applyInArrow(self, *_):
+            return self
+
+    monkeypatch.setattr(jaccard_join, "FLUSH", 500_000)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(50_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2500)), "text": [" ".join(rng.choices(words, k=400)) for _ in range(2500)]})
+    docs = Texts()
+    jaccard_join.shared_signatures(docs, 5, 80, 800)
+    list(docs.sign(iter([batch.slice(0, 1)])))  # tables that stay
+    tracemalloc.start()
+    try:
+        for _ in docs.sign(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # The signatures held are 4 MB; sorted and packed at once they took ten times that.
+    assert peak < 30_000_000
