@@ -33,7 +33,7 @@ def home(spark: SparkSession, label: str) -> str:
     return label if "/" in label else scratch_dir(spark, label)
 
 
-def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = (), compression: str | None = None) -> DataFrame:
     """Write the frame once and read it back, cutting its lineage.
 
     The copy lives on shared storage, so a lost executor costs a re-read and
@@ -43,5 +43,7 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -358,3 +358,87 @@ def test_signing_holds_little_beside_the_signatures(monkeypatch):
         tracemalloc.stop()
     # The signatures held are 4 MB; sorted and packed at once they took ten times that.
     assert peak < 30_000_000
+
+
+@pytest.mark.parametrize("buckets", [40, 4000])
+def test_packs_travel_by_document_in_few_bytes(buckets):
+    rng = np.random.default_rng(6)
+    ids = (5_000_000_000 + rng.permutation(9000)[:3000] * 3).tolist()
+    held = [partenum.mix(rng.integers(0, 60_000, 100)) for _ in ids]
+    packs = list(jaccard_join._packs(list(held), ids, buckets))
+    sent = [jaccard_join._narrow(p) for p in packs]
+    for pack, narrow in zip(packs, sent):
+        for row, small in zip(pack.to_pylist(), narrow.to_pylist()):
+            sig, doc, tied = jaccard_join._wide(small)
+            want = _rows_by_bucket([pa.RecordBatch.from_pylist([row], jaccard_join._PACKED)])
+            own = -1 if row["bucket"] < 0 else row["bucket"]
+            low = sig & np.uint64(0xFFFFFFFF) if own < 0 else (sig & np.uint64(0xFFFFFFFF)) >> np.uint64(24)
+            assert Counter(zip((sig >> np.uint64(32)).tolist(), low.tolist(), doc.tolist(), tied.astype(int).tolist())) == want[own]
+            assert own < 0 or (sig & np.uint64(0xFFFFFF) == own).all()
+    # An id and a place in a list for each took 15 bytes and more.
+    assert sum(b.column(c).nbytes for b in sent for c in ("gaps", "counts", "tops", "lows", "tied")) < 11 * 300_000
+
+
+def test_ids_far_apart_travel_whole():
+    ids = [-(1 << 63), -5, 0, 7, (1 << 63) - 1]
+    held = [np.array([i, 1 << 60], np.uint64) for i in range(5)]
+    rows = [r for p in jaccard_join._packs(held, ids, 3) for r in jaccard_join._narrow(p).to_pylist()]
+    assert Counter(d for r in rows for d in jaccard_join._wide(r)[1].tolist()) == Counter(ids * 2)
+
+
+def test_buckets_tell_signatures_apart_that_travel_alike():
+    """Of 64 bits 40 travel; with them alone the share that meets by chance would grow with the data."""
+    sig = np.uint64(0x123456789A000000) | np.arange(1 << 20, dtype=np.uint64) * np.uint64(15)
+    home = jaccard_join._home(sig, 12_000)
+    assert len(np.unique(home)) == 12_000 and np.bincount(home).max() < 200
+
+
+def test_few_ids_are_found_without_moving_all_rows(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 1000 = 999, null, id - 10000) doc_id", "concat('text ', id) text")
+    rows = rows.unionByName(rows.where("doc_id = 17"))
+    ids = jaccard_join.materialise(spark.createDataFrame([(i * 37,) for i in range(-100, 100)] + [(17,), (17,), (10**12,), (None,)], "doc_id long"), "test-ids")
+    told = jaccard_join._maybe(rows, "doc_id", ids, "maybe")
+    assert told.columns == ["doc_id", "text", "maybe"] and told.count() == 20_001
+    known = {r.doc_id for r in ids.collect()} - {None}
+    passed = [r.doc_id for r in told.where("maybe").collect()]
+    assert known - {10**12} - set(passed) == known - {r.doc_id for r in rows.collect()} - {10**12} and len(passed) < 600
+    got = [tuple(r) for r in jaccard_join._rows_of(rows, ids).collect()]
+    assert sorted(got) == sorted({(r.doc_id, r.text) for r in rows.collect() if r.doc_id in known})
+    assert not any(r.maybe for r in jaccard_join._maybe(rows, "doc_id", ids.limit(0), "maybe").collect())
+
+
+def test_texts_go_only_where_sketches_leave_a_partner(spark, monkeypatch):
+    """Groups around common passages: few members have anyone to be compared with."""
+    seen, store = {}, jaccard_join.materialise
+
+    def spy(df, label, **more):
+        out = store(df, label, **more)
+        seen.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", spy)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 120])) for i in range(10)]
+    rows += [(100 + i, " ".join(words[: 120 + 3 * (i % 2)] + [f"x{rng.random()}" for _ in range(60 + i)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, 5, 80).collect()}
+    assert got == plain_components(rows, 5, 80)
+    assert seen["around"][0] > 20 > seen["packed-texts"][0]
+
+
+def test_members_with_a_partner_by_sketch():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[at : at + 80] + [str(rng.random()) for _ in range(n)]).encode() for at in (0, 2, 60, 100) for n in (0, 1, 5, 30, 200)]
+    sets = shingle_sets(texts, 3)
+    rows = [(9, k % 2 == 0, i, i % 3, i % 3 > 0, len(sets[i]), sketch(sets[i])) for i in range(len(sets)) for k in range(2) if k % 2 or i % 3 > 0]
+    table = pa.table(dict(zip(("hub", "is_left", "rep", "part", "away", "size", "sketch"), map(list, zip(*rows)))))
+    want = set()
+    for _, a_left, a, p, _, m, x in rows:
+        for _, b_left, b, q, b_away, n, y in rows:
+            differ = sum(abs(i - j) for i, j in zip(x, y))
+            if a_left and not b_left and p != q and (not b_away or b < a) and 100 * min(m, n) >= 80 * max(m, n) and differ * 180 <= (m + n) * 20:
+                want |= {a, b}
+    found = jaccard_join._partnered(table, 80).to_pydict()
+    assert set(found["rep"]) == want and set(found["hub"]) == {9} and 2 < len(want) < len(sets)
