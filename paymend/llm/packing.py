@@ -19,27 +19,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from paymend.llm.batches import chunks, emit
-from paymend.llm.shingles import hash_runs
+from paymend.llm.batches import chunks, emit, mix
 from paymend.sources.scratch import materialise
 
 CAPACITY, END_ID = 4096, 1
 #: Lengths up to a capacity's sixteenth are small. Groups of large lengths.
 SMALL_SHARE, GROUPS = 16, 160
-#: Pieces numbered by one window group, words that each of a worker's two generations remembers, and bytes of text tokenized at once.
-BLOCK, WORDS, TEXT_BYTES = 500, 60_000, 250_000
+#: Pieces numbered by one window group, places for words in a worker's memory (a power of two), and bytes of text tokenized at once.
+BLOCK, WORDS, TEXT_BYTES = 500, 1 << 19, 250_000
+#: Words are remembered up to so many times eight bytes, and so many ids. Words looked up at once, also of one long text.
+LANES, WORD_IDS, STRETCH = 3, 8, 50_000
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 #: What the tokenizer's pattern makes of a Latin-1 character: 0 white space, 1 letter, 2 digit (each its own), 3 other.
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[*range(9, 14), 32, 0x85, 0xA0]] = 0
 _CLASS[[*range(65, 91), *range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]] = 1
 _CLASS[[*range(48, 58), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = 2
+#: The first bytes of eight, and odd numbers that a place is worked out with.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], "<u8")
+_SPREAD = mix(np.arange(LANES + 1)) | np.uint64(1)
+#: Which of a place's ids count, by their number.
+_UPTO = np.arange(WORD_IDS) < np.arange(WORD_IDS + 1)[:, None]
 _LOWER = np.array([ord(chr(i).lower()) for i in range(256)], np.uint8)
 
 
 class WordTokens:
-    """Ids of texts, equal to the tokenizer's own. Each pre-token is worked out by the tokenizer once per worker.
+    """Ids of texts, equal to the tokenizer's own. The tokenizer works pre-tokens out; a worker remembers them.
 
+    The memory has ``WORDS`` places. A pre-token's bytes say its place, and are kept and compared there whole.
+    A new one takes the place of one that has not come again since. Longer ones, or of many ids, are worked out in each chunk.
     Text beyond Latin-1, or with apostrophes (contractions) or special tokens, goes to the tokenizer whole.
     """
 
@@ -54,22 +62,58 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        # At each place: bytes of a pre-token and their number, its ids, their number, and whether it came again.
+        self.known = np.zeros((WORDS, LANES + 1), "<u8")
+        self.ids = np.zeros((WORDS, WORD_IDS), "<u4")
+        self.sizes = np.zeros(WORDS, np.uint8)
+        self.again = np.zeros(WORDS, bool)
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of pre-tokens. Two generations are remembered; words that come again stay."""
-        found = [self.known.get(w) or self.older.get(w) for w in words]
-        new = [w for w, ids in zip(words, found) if ids is None]
-        fresh = self._learn(new)
-        if len(self.known) + len(words) > WORDS:
-            self.known, self.older = {}, self.known
-        found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
-        self.known.update(zip(words, found))
-        return found
+    def words(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens, number of ids of each). ``data`` goes on for ``8 * LANES`` bytes after the last."""
+        length = stops - starts
+        short = length <= 8 * LANES
+        keys = np.empty((len(starts), LANES + 1), "<u8")
+        eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        for lane in range(LANES):
+            keys[:, lane] = eights[starts + 8 * lane] & _KEEP[np.clip(length - 8 * lane, 0, 8)]
+        keys[:, LANES] = length
+        places = (mix(keys @ _SPREAD) & np.uint64(WORDS - 1)).astype(np.int64)
+        equal = self.known.take(places, 0) == keys
+        hit = short
+        for lane in range(LANES + 1):
+            hit = hit & equal[:, lane]
+        sizes = self.sizes.take(places).astype(np.int64)
+        self.again[places[hit]] = True
+        of_hits = np.compress(_UPTO.take(sizes[hit], 0).ravel(), self.ids.take(places[hit], 0))
+        if hit.all():
+            return of_hits, sizes
+        miss = np.flatnonzero(~hit)
+        joined = data[starts[0] : stops[-1]].tobytes()
+        words = [joined[a:b] for a, b in zip((starts[miss] - starts[0]).tolist(), (stops[miss] - starts[0]).tolist())]
+        fresh = self._learn(list(dict.fromkeys(words)))
+        found = [fresh[w] for w in words]
+        sizes[miss] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        self._keep(keys[miss], places[miss], sizes[miss], flat, short[miss])
+        of_hit = np.repeat(hit, sizes)
+        out = np.empty(len(of_hit), "<u4")
+        out[of_hit], out[~of_hit] = of_hits, flat
+        return out, sizes
+
+    def _keep(self, keys: np.ndarray, places: np.ndarray, sizes: np.ndarray, flat: np.ndarray, short: np.ndarray) -> None:
+        fits = np.flatnonzero(short & (sizes <= WORD_IDS))
+        places, first = np.unique(places[fits], return_index=True)  # one word a place
+        free = ~self.again[places]
+        self.again[places] = False
+        places, rows = places[free], fits[first][free]
+        inside = _UPTO[sizes[rows]]
+        taken = ((np.cumsum(sizes) - sizes)[rows, None] + np.arange(WORD_IDS))[inside]
+        ids = np.zeros(inside.shape, "<u4")
+        ids[inside] = flat[taken]
+        self.known[places], self.ids[places], self.sizes[places] = keys[rows], ids, sizes[rows]
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         out = {}
@@ -77,9 +121,10 @@ class WordTokens:
         joined = [b" ".join(part).decode("latin-1") for part in lists]
         for part, one in zip(lists, self.bare.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(one.ids, "<u4")
-            stops = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            stops = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             if len(stops) == len(part):
-                out.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *stops], stops))
+                ids = ids.tobytes()
+                out.update((w, ids[a:b]) for w, a, b in zip(part, [0, *stops], stops))
             else:  # a character the white-space border does not see as it is here
                 out.update((w, self.direct(w.decode("latin-1"))) for w in part)
         return out
@@ -100,7 +145,7 @@ class WordTokens:
         if not plain:
             return out
         # A blank after each text keeps pre-tokens inside it.
-        data = _LOWER[np.frombuffer(b" ".join(plain) + b" ", np.uint8)]
+        data = _LOWER[np.frombuffer(b" ".join([*plain, b" " * 8 * LANES]), np.uint8)]
         ends = np.cumsum([len(p) + 1 for p in plain])
         kind = _CLASS[data]
         border = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2)])
@@ -108,17 +153,9 @@ class WordTokens:
         stops = np.append(starts[1:], len(data))
         solid = kind[starts] > 0
         starts, stops = starts[solid], stops[solid]
-        _, first, which = np.unique(hash_runs(data, starts, stops), return_index=True, return_inverse=True)
-        joined = data.tobytes()
-        ids = self.words([joined[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())])
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        heads = np.cumsum(sizes) - sizes
-        count = sizes[which]
-        upto = np.cumsum(count)
-        take = np.repeat(heads[which] - (upto - count), count) + np.arange(int(upto[-1]) if len(upto) else 0)
-        tokens = flat[take]
-        cuts = np.concatenate([[0], upto])[np.searchsorted(starts, ends)]
+        parts = [self.words(data, starts[i : i + STRETCH], stops[i : i + STRETCH]) for i in range(0, len(starts), STRETCH)]
+        tokens, count = (np.concatenate(p) for p in zip(*parts or [(np.empty(0, "<u4"), np.empty(0, np.int64))]))
+        cuts = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(starts, ends)]
         for place, a, b in zip(places, [0, *cuts.tolist()], cuts.tolist()):
             out[place] = tokens[a:b].tobytes()
         return out

@@ -201,3 +201,31 @@ def test_word_tokens_equal_the_tokenizer(messy):
         assert words.encode(texts) == [words.direct(t or "") for t in texts]
     finally:
         packing.WORDS = keep
+
+
+def test_word_tokens_in_few_places(messy):
+    keep = packing.WORDS, packing.STRETCH
+    packing.WORDS, packing.STRETCH = 16, 7
+    try:
+        words = packing.WordTokens(tokenizer_path())
+        texts = [r.text for r in messy.select("text").collect()] + ["", "  ", "a\x00 a a\x00\x00 \x00", "zqxjkvbw" * 3, "zqxjkvbw" * 3 + "z", "é" * 24 + " " + "é" * 25, "qzxqzxqzxqzxqzxqzx qzx", "last"]
+        want = [words.direct(t or "") for t in texts]
+        for _ in range(3):
+            assert words.encode(texts) == want
+            assert [words.encode([t])[0] for t in texts] == want
+    finally:
+        packing.WORDS, packing.STRETCH = keep
+
+
+def test_word_tokens_remember_many_words():
+    words = packing.WordTokens(tokenizer_path())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [letters[i % 26] + letters[i // 26 % 26] + letters[i // 676 % 26] + letters[i // 17576] for i in range(150_000)]
+    texts = [" ".join(names[i : i + 10_000]) for i in range(0, len(names), 10_000)]
+    learn, learned = words._learn, []
+    words._learn = lambda new: learned.append(len(new)) or learn(new)
+    first = [words.encode([t]) for t in texts]
+    assert sum(learned) == len(names)
+    learned.clear()
+    assert [words.encode([t]) for t in texts] == first
+    assert sum(learned) < len(names) // 4
